@@ -40,7 +40,7 @@ LOOSE = [
 ]
 #: Words that stand near personal data, by kind, and words that speak against it.
 CUES = {
-    "email": r"e-?mail|contact|write to|reach|address",
+    "email": r"mail|contact|write to|reach|address",
     "ip": r"\bip\b|ipv6|host|server|client|logged in|address",
     "card": r"card|visa|master|amex|credit|debit|pay",
     "phone": r"phone|\btel\b|\bcall\b|mobile|\bcell\b|\bfax\b|dial|contact|whatsapp|\bsms\b",
@@ -50,7 +50,7 @@ CUES = {
 LABELLED = [
     ("write to jane.doe [at] mail [dot] example [dot] com for details", 1), ("contact: john (at) example.org", 1), ("email bob.smith(at)example(dot)net today", 1),
     ("my address is kim [at] post.example.com", 1), ("reach us: help {at} example {dot} org", 1), ("e-mail mara_k [at] example.com please", 1),
-    ("meet me (at) noon. Then we go", 0), ("values x (at) y.z are sampled", 0), ("the array a [at] i.j holds it", 0), ("we stop (at) five. It is late", 0),
+    ("jo [at] ex [dot] com", 1), ("ann (at) example (dot) org", 1), ("or lee [at] example.net now", 1), ("the room (at) hall [dot] b is big", 0), ("meet me (at) noon. Then we go", 0), ("values x (at) y.z are sampled", 0), ("the array a [at] i.j holds it", 0), ("we stop (at) five. It is late", 0),
     ("ip 2001:0db8:85a3:0000:0000:8a2e:0370:7334 logged in", 1), ("client address 2001:db8:0:0:0:0:2:1 seen", 1), ("host fe80:0:0:0:202:b3ff:fe1e:8329 is up", 1),
     ("ipv6 2607:f0d0:1002:51:0:0:0:4 on server", 1), ("total 12:34:56:78:90:12:34:56 ratio", 0), ("figure 1:2:3:4:5:6:7:8 shows it", 0), ("score 01:02:03:04:05:06:07:08", 0),
     ("visa card 4111.1111.1111.1111 was charged", 1), ("pay with 5500/0000/0000/0004 credit", 1), ("my credit card: 4012_8888_8888_1881", 1), ("debit card 6011.1111.1111.1117 ok", 1),
@@ -59,7 +59,8 @@ LABELLED = [
     ("dial 202-555-0175 for help", 1), ("my cell: 512-555-0133", 1), ("order 123-456-7890 was sent", 0), ("invoice 555.123.4567 total", 0), ("serial 111 222 3333 model", 0),
     ("the numbers 100 200 3000 are round", 0), ("ticket 987-654-3210 closed", 0), ("figure 250 500 1000 values", 0), ("isbn 123-456-7890", 0), ("sku 321 654 0987", 0),
 ]
-FEATURES = ["is_email", "is_ip", "is_card", "is_phone", "digits", "letters", "length", "luhn", "cue", "against", "words_at", "brackets"]
+TOP_DOMAINS = r"(?i)[.)\]} ](?:com|org|net|edu|gov|int|info|biz|io|ai|app|dev|eu|uk|de|fr|es|it|nl|ch|at|be|pl|se|us|ca|au|jp|cn|in|br|mx|ru)$"
+FEATURES = ["is_email", "is_ip", "is_card", "is_phone", "digits", "letters", "length", "luhn", "cue", "against", "dot", "top_domain"]
 TREES, RATE = 24, 0.4
 
 
@@ -158,7 +159,7 @@ def features(s: Column) -> list[Column]:
     luhn = F.when((s["kind"] == 2) & digits.between(12, 19), _luhn(_digits(value))).otherwise(F.lit(False))
     return [number(s["kind"] == k) for k in range(4)] + [
         digits.cast("double"), F.length(F.regexp_replace(value, "[^A-Za-z]", "")).cast("double"), F.length(value).cast("double"), number(luhn), number(cue), number(near.rlike(CUES["against"])),
-        number(value.rlike(r"[A-Za-z0-9] ?[(\[{] ?at")), number(value.rlike(r"[(\[{] ?dot")),
+        number(value.rlike(r"[(\[{] ?dot")), number(value.rlike(TOP_DOMAINS)),
     ]
 
 
