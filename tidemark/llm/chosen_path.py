@@ -263,27 +263,32 @@ def _leaves(sets: DataFrame, recall: float) -> DataFrame:
     nodes = sets.select("key", "low", F.explode(tries).alias("t")).select("key", F.xxhash64("t.r", "t.c", F.element_at("low", F.col("t.c") + 1)).alias("node"))
     done = None
     for depth in range(DEPTH + 1):
-        counts = written(nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"))
-        shared = nodes.join(counts, "node")
-        small = shared.where(F.col("n") <= SMALL).select("node", "key", "n")
-        big = counts.where(F.col("n") > SMALL)
+        counts = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        met = written(_join(nodes, counts, "node").select("node", "key", "n"))
+        small, big = met.where(F.col("n") <= SMALL), met.where(F.col("n") > SMALL)
         done = small if done is None else done.union(small)
         if not big.head(1):
             break
-        big = written(shared.where(F.col("n") > SMALL).join(sets.select("key", "low"), "key").select("node", "key", "n", "low"))
         if depth == DEPTH:
-            done = done.union(big.select("node", "key", "n"))
+            done = done.union(big)
             break
-        alike = big.select("node", "n", F.posexplode(F.slice("low", 1, 8)).alias("c", "v")).groupBy("node", "n", "c", "v").agg(F.count("*").alias("m"))
-        alike = alike.groupBy("node").agg((F.sum(F.col("m") * F.col("m") / F.col("n") / F.col("n")) / 8).alias("alike"))
-        big = written(big.join(alike, "node"))
-        done = done.union(big.where("alike >= 0.5").select("node", "key", "n"))
         one = F.pmod(F.xxhash64("node", F.lit("one")), F.lit(COORDINATES)).cast("int")
         two = F.pmod(one + 1 + F.pmod(F.xxhash64("node", F.lit("two")), F.lit(COORDINATES - 1)).cast("int"), F.lit(COORDINATES))
-        nodes = big.where("alike < 0.5").select("key", "node", "low", F.explode(F.array(one, two)).alias("c")).select("key", F.xxhash64("node", "c", F.element_at("low", F.col("c") + 1)).alias("node"))
+        split = _join(big, sets.select("key", "low"), "key").select("key", "node", "n", "low", F.explode(F.array(one, two)).alias("c"))
+        split = written(split.select("key", F.col("node").alias("parent"), "n", F.xxhash64("node", "c", F.element_at("low", F.col("c") + 1)).alias("node")))
+        # the chance that two sets of a parent hold one token at a split coordinate is their mean similarity
+        alike = split.groupBy("parent", "n", "node").agg(F.count("*").alias("m")).groupBy("parent").agg((F.sum(F.col("m") * F.col("m") / F.col("n") / F.col("n")) / 2).alias("alike"))
+        dense = alike.where("alike >= 0.5").select(F.col("parent").alias("node"))
+        done = done.union(_join(big, dense, "node", "left_semi"))
+        nodes = _join(split, dense.withColumnRenamed("node", "parent"), "parent", "left_anti").select("key", "node")
     return done
 
 
+def _join(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join that never broadcasts: neither side has a bound."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def _two(run: int) -> list[int]:
     """The coordinates that a run's first split samples; no two runs share one while there are enough."""
     order = np.random.default_rng(99).permutation(COORDINATES).tolist()
@@ -302,7 +307,7 @@ def near_duplicates(docs: DataFrame, recall: float = 0.999) -> DataFrame:
     placed = leaves.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key")
-    placed = placed.join(sets.join(mine, "key").select("key", "copies", "size", "low", "leaves"), "key")
+    placed = _join(placed, _join(sets, mine, "key").select("key", "copies", "size", "low", "leaves"), "key")
     picked = written(
         placed.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_select, "node long, i int, j int, block int, key binary, copies long, leaves array<long>")
     )
@@ -313,15 +318,15 @@ def near_duplicates(docs: DataFrame, recall: float = 0.999) -> DataFrame:
     sent = spark.sparkContext.broadcast(wanted)  # 2 MB, whatever the corpus
 
     fetched = texts.mapInArrow(_fetcher(sent), "key binary, shingles binary").dropDuplicates(["key"])
-    work = picked.join(fetched, "key").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    work = _join(picked, fetched, "key").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
     found = written(work.mapInArrow(_verify, "key binary, links long, root binary"))
     roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    info = sets.select("key", "least", "copies").join(links, "key", "left").join(roots.withColumnRenamed("a", "key"), "key", "left")
+    info = _join(_join(sets.select("key", "least", "copies"), links, "key", "left"), roots.withColumnRenamed("a", "key"), "key", "left")
     info = info.where("copies > 1 or links > 0 or root is not null").withColumn("root", F.coalesce("root", "key"))
     classes = info.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    info = info.join(classes, "root").select("key", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = rows.select("doc_id", "key").join(info, "key", "left")
+    info = _join(info, classes, "root").select("key", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = _join(rows.select("doc_id", "key"), info, "key", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
@@ -330,5 +335,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     classes = near_duplicates(docs)
     kept = classes.where("doc_id = class_id").select("doc_id").distinct()
     rows = packed(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")
-    one = rows.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    one = rows.where("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return unpacked(one.select("_row").union(rows.where("doc_id is null").select("_row")))

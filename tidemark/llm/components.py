@@ -13,10 +13,10 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        out = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        out = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
     else:
         least = edges.groupBy("a").agg(F.min("b").alias("low"))
-        out = edges.join(least, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).union(least.select("a", F.col("low").alias("b")))
+        out = edges.join(least.hint("merge"), "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).union(least.select("a", F.col("low").alias("b")))
     return out.where("a <> b").distinct()
 
 
