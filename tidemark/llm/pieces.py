@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 
 from .wordhash import mix, text_buffers
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
+#: Bytes of new distinct segments that are indexed at once, unless a single segment is longer.
+INDEX_BYTES = 384 << 10
 LONG = 96
 #: Distinct segments that a Python worker remembers, about.
-REMEMBERED = 1_500_000
+REMEMBERED = 600_000
 BLANK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SCHEMA = "doc_id long, n_pieces long, ids array<int>, ids_sha256 string, decoded string, round_trip boolean"
@@ -195,9 +197,19 @@ def _heap(start: list[int], end: list[int], rank: list[int], border: np.ndarray,
 
 def encode_segments(text: np.ndarray, begin: np.ndarray, end: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all segments text[begin:end] in order, and where each segment's ids start (one more at the end)."""
+    total = np.cumsum(end - begin)
+    ids, cuts, at = [], [np.zeros(1, np.int64)], 0
+    while at < len(begin):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + INDEX_BYTES, "right")))
+        part, cut = _encode_part(text, begin[at:to], end[at:to], pieces)
+        ids.append(part)
+        cuts.append(cut[1:] + cuts[-1][-1])
+        at = to
+    return np.concatenate(ids) if ids else np.zeros(0, np.int32), np.concatenate(cuts)
+
+
+def _encode_part(text: np.ndarray, begin: np.ndarray, end: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     length = end - begin
-    if not len(begin):
-        return np.zeros(0, np.int32), np.zeros(1, np.int64)
     own = np.concatenate([[0], np.cumsum(length)])
     joined = text[np.repeat(begin - own[:-1], length) + np.arange(own[-1])]
     n = len(joined)
