@@ -28,9 +28,9 @@ def stable_teams(spark, sf_dir):
 
 
 def lead_by_year(spark, sf_dir):
-    """Days from creation to completion: interpolated median and quartiles."""
+    """Days from creation to completion: interpolated percentiles, to six decimals."""
     rows = model.issues(spark, sf_dir).where("completed_at is not null").withColumn("d", seconds("created_at", "completed_at") / 86400.0)
-    return rows.groupBy(F.year("completed_at").cast("long").alias("y")).agg(F.count("*").alias("n"), *[F.percentile("d", p / 100).alias(f"p{p}") for p in (50, 75, 90)])
+    return rows.groupBy(F.year("completed_at").cast("long").alias("y")).agg(F.count("*").alias("n"), *[F.round(F.percentile("d", p / 100), 6).alias(f"p{p}") for p in (50, 75, 90)])
 
 
 def cancel_rate(spark, sf_dir):

@@ -77,7 +77,7 @@ _ALL = {
     "latest_events": (delivery.latest_events, "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS place FROM events) WHERE place = 1", ()),
     "completions_per_quarter": (tracker.completions_per_quarter, "SELECT team, quarter_label, count(*) AS n FROM (SELECT unnest([team_key, '(all)']) AS team, year(completed_at) || '-Q' || quarter(completed_at) AS quarter_label FROM issues WHERE completed_at IS NOT NULL) GROUP BY 1, 2", ()),
     "stable_teams": (tracker.stable_teams, f"SELECT team_key, prior, recent, CASE WHEN prior > 0 THEN (recent - prior) * 100.0::DOUBLE / prior END AS change_pct, qs = 8 AS stable FROM (SELECT team_key, {_if('q < last - 4')} AS prior, {_if('q >= last - 4')} AS recent, count(DISTINCT q) AS qs FROM (SELECT team_key, q, max(q) OVER () AS last FROM (SELECT team_key, year(completed_at) * 4 + quarter(completed_at) - 1 AS q FROM issues WHERE completed_at IS NOT NULL)) WHERE q < last AND q >= last - 8 GROUP BY team_key)", ()),
-    "lead_by_year": (tracker.lead_by_year, "SELECT year(completed_at) AS y, count(*) AS n, quantile_cont(d, 0.5) AS p50, quantile_cont(d, 0.75) AS p75, quantile_cont(d, 0.9) AS p90 FROM (SELECT *, CAST(date_diff('microsecond', created_at, completed_at) // 1000000 AS DOUBLE) / 86400.0 AS d FROM issues WHERE completed_at IS NOT NULL) GROUP BY 1", ()),
+    "lead_by_year": (tracker.lead_by_year, "SELECT year(completed_at) AS y, count(*) AS n, round(quantile_cont(d, 0.5), 6) AS p50, round(quantile_cont(d, 0.75), 6) AS p75, round(quantile_cont(d, 0.9), 6) AS p90 FROM (SELECT *, CAST(date_diff('microsecond', created_at, completed_at) // 1000000 AS DOUBLE) / 86400.0 AS d FROM issues WHERE completed_at IS NOT NULL) GROUP BY 1", ()),
     "cancel_rate": (tracker.cancel_rate, "SELECT y, c + x + d AS closed, c AS completed, x AS canceled, d AS duplicate, CASE WHEN c + x + d > 0 THEN x * 100.0::DOUBLE / (c + x + d) END AS cancel_pct FROM (SELECT year(created_at) AS y, count(*) FILTER (WHERE state_type = 'completed') AS c, count(*) FILTER (WHERE state_type = 'canceled') AS x, count(*) FILTER (WHERE state_type = 'duplicate') AS d FROM issues GROUP BY 1)", ()),
     "title_tags": (tracker.title_tags, r"SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_extract(title, '^((?:\[[^\]]+\])*)', 1), '\[([^\]]+)\]', 1)) AS tag FROM issues) GROUP BY tag", ()),
     "concentration": (tracker.concentration, "SELECT team_key, CAST(sum(n) AS BIGINT) AS completions, " + ", ".join(f"CAST(sum(CASE WHEN place <= {k} THEN n ELSE 0 END) AS BIGINT) * 100.0::DOUBLE / CAST(sum(n) AS BIGINT) AS top{k}_pct" for k in (1, 3, 5)) + " FROM (SELECT *, row_number() OVER (PARTITION BY team_key ORDER BY n DESC, assignee_id) AS place FROM (SELECT team_key, assignee_id, count(*) AS n FROM issues WHERE state_type = 'completed' AND assignee_id IS NOT NULL GROUP BY 1, 2)) GROUP BY team_key", ()),
