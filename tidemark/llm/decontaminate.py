@@ -119,7 +119,7 @@ def _result(ids, n_words, n_hit, items, row=None) -> pa.RecordBatch:
     n_hit = np.asarray(n_hit, np.int64)
     columns = [ids, pa.array(np.asarray(n_words, np.int64)), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()), pa.array(digest, pa.string()), pa.array(n_hit > 0)]
     names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    return pa.RecordBatch.from_arrays(columns + [row] * (row is not None), names=names + ["_row"] * (row is not None))
+    return pa.RecordBatch.from_arrays(columns + ([] if row is None else [row]), names=names + ([] if row is None else ["_row"]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, chars: int = BROADCAST_CHARS, whole: bool = False) -> DataFrame:

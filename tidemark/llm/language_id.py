@@ -150,7 +150,7 @@ def identify(docs: DataFrame, model: dict | None = None, whole: bool = False) ->
             lang[~lettered | (lang == None)] = "und"  # noqa: E711
             score = np.where(lang == "und", 0.0, score)
             columns, names = [batch.column("doc_id"), batch.column("held_out"), pa.array(lang.tolist(), pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"]
-            yield pa.RecordBatch.from_arrays(columns + [batch.column("_row")] * whole, names=names + ["_row"] * whole)
+            yield pa.RecordBatch.from_arrays(columns + ([batch.column("_row")] if whole else []), names=names + (["_row"] if whole else []))
 
     schema = StructType.fromDDL(SCHEMA)
     if whole:
