@@ -30,3 +30,17 @@ def upserted(stored: DataFrame, new: DataFrame, key: list[str], order: list) ->
 def added(stored: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Stored rows, and one new row of each key that isn't stored."""
     return stored.unionByName(new.dropDuplicates(key).join(stored.select(*key), key, "left_anti").select(*stored.columns))
+
+
+def rebuild(df: DataFrame, path: str) -> None:
+    """The whole table anew. Spark writes beside what is there and commits at the end; the table must not be one that df reads."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def write_markdown(df: DataFrame, path: str, title: str, order: list, most: int = 10) -> None:
+    """The first rows by ``order`` as a table under a heading; a report of at most ``most`` rows, so one file of a few lines."""
+    cells = [F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in df.columns]
+    head = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
+    top = df.orderBy(*order).limit(most).select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    body = top.agg(F.array_join(F.concat(F.array(*[F.lit(h) for h in head]), F.collect_list("line")), "\n").alias("value"))
+    body.coalesce(1).write.mode("overwrite").text(path)
