@@ -81,14 +81,16 @@ def authorship_marks(spark, sf_dir):
     k = F.col("id")
     message = F.when(k % 3 == 0, F.col("message")).otherwise(F.concat("message", F.lit("\n\nBody text.\n"), _choice(TRAILERS, F.floor(k / 3)), F.lit("\n")))
     email = F.when(k % 50 == 7, "devin-ai-integration[bot]@users.x").otherwise(F.col("author_email"))
-    rows = model.commits(spark, sf_dir).select("id", linking.mark(message, email).alias("m"))
+    rows = model.commits(spark, sf_dir).select("id", message.alias("message"), email.alias("email"))
+    rows = rows.select("id", linking.mark(F.col("message"), F.col("email")).alias("m"))
     return rows.select("id", "m.tool", "m.mode", "m.method")
 
 
 def weighted_votes(spark, sf_dir):
     """The one best category of each message, or none, with its confidence of at most 0.95."""
-    rows = model.commits(spark, sf_dir).select("id", linking.vote(F.col("message"), F.col("is_merge")).alias("v"))
-    return rows.select("id", F.col("v.category").alias("category"), (F.when(F.col("v.points") > 95, 95).otherwise(F.col("v.points")) / F.lit(100.0)).alias("confidence"))
+    rows = linking.voted(model.commits(spark, sf_dir).select("id", "message", "is_merge"))
+    points = F.col("vote.points")
+    return rows.select("id", F.col("vote.category").alias("category"), (F.when(points > 95, 95).otherwise(points) / F.lit(100.0)).alias("confidence"))
 
 
 def exact_words(spark, sf_dir):
