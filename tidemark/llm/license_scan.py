@@ -1,11 +1,13 @@
 """Licence scans by a trained paragraph classifier, in DataFrame functions only.
 
-A paragraph is a line of a document. Its features are the presence of word 1-, 2- and 3-grams (lower case, words of ASCII letters, digits
-and characters beyond ASCII). A multinomial logistic regression over the n-grams of the small table ``LABELLED`` gives each family's
+A paragraph is a run of lines that aren't blank. Its sentences (cut at line ends too) are pieces; a unit is a run of pieces of one paragraph, and from each
+piece on, units grow until they hold more words than the longest template, so a notice is found whole however it is wrapped and whatever stands around it.
+A unit's features are the presence of word 1-, 2- and 3-grams (lower case, words of ASCII letters,
+digits and characters beyond ASCII). A multinomial logistic regression over the n-grams of the small table ``LABELLED`` gives each family's
 probability, and that of ``unknown`` (prose, code and notices without a licence); its temperature is fitted by leaving each
-row of the table out in turn. A family is reported when its calibrated probability reaches ``THRESHOLD`` and the paragraph holds at least
-``CONFIRM`` of the words of one of the family's templates; else the paragraph is unknown. Only paragraphs with one of the ``CUES`` are scored: without
-one no family's template can be confirmed, as every template's confirmation needs a cue.
+row of the table out in turn. A family is reported when its calibrated probability reaches ``THRESHOLD`` and the unit holds at least
+``CONFIRM`` of the words of one of the family's templates; else the unit is unknown. Of units that overlap, the one with the largest share of a template counts,
+then the shortest, the most probable, the first. Only texts with one of the ``CUES`` are scored.
 
 The model is fitted from the fixed table when the plan is built and sent as literals, so nothing grows with the corpus. Null and empty texts
 have no paragraphs. Repeated rows are scanned each; extra columns are ignored. Whole texts are scanned.
@@ -56,6 +58,7 @@ LABELLED = [
     ("cc0", "SPDX-License-Identifier: CC0-1.0"),
     ("proprietary", "Copyright. All rights reserved. No part of this work may be reproduced without written permission."),
     ("proprietary", "Confidential and proprietary. All rights reserved."),
+    ("proprietary", "All rights reserved."),
     (UNKNOWN, "The driver must carry a valid license and the version of the form that was released under the rules."),
     (UNKNOWN, "He was licensed to practise law and published the general terms of the contract."),
     (UNKNOWN, "The public library is free and the software was released in version 2.0 with new conditions."),
@@ -71,6 +74,8 @@ LABELLED = [
 #: A cue of every family, as a pattern on the lower-cased paragraph.
 CUES = r"licen[cs]e|spdx|permission is hereby|redistribution and use|general public|public license|creative commons|cc0|cc by|rights reserved|public domain|apache|mozilla"
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: What a line that isn't blank has, and where a sentence ends.
+INK, SENTENCE = r"[^ \t\n\x0B\f\r]", r"(?<=[.;:!?])[ \t]+"
 
 
 def grams(text: str) -> list[str]:
@@ -112,18 +117,50 @@ def model() -> tuple[dict[str, int], list[str], np.ndarray, float]:
     return vocabulary, families, _fit(LABELLED, vocabulary, families), float(min(losses, key=losses.get))
 
 
+def _templates() -> dict[str, list[list[str]]]:
+    """Sorted distinct words of each template of each family."""
+    families = model()[1]
+    return {f: [sorted(set(_WORD.findall(t.lower()))) for g, t in LABELLED if g == f] for f in families[:-1]}
+
+
+#: A unit takes in pieces until those after its first hold so many words.
+LONGEST = max(len(_WORD.findall(t.lower())) for f, t in LABELLED if f != UNKNOWN)
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """One row per document row: doc_id, n_paragraphs, n_license, families (sorted, comma-joined), paragraphs (index:family of each, comma-joined), score (largest)."""
+    """One row per document row: doc_id, n_paragraphs, n_license, families (sorted, comma-joined), paragraphs (line where it starts:family of each notice, comma-joined), score (largest)."""
     vocabulary, families, w, temperature = model()
     names = F.split(F.lit(" ".join(families)), " ")
     numbers = lambda row: [round(float(v), 6) for v in row]
     weights = F.from_json(F.lit(json.dumps({g: numbers(w[k]) for g, k in vocabulary.items()}, ensure_ascii=False)), "map<string,array<double>>")
     bias = F.from_json(F.lit(json.dumps(numbers(w[-1]))), "array<double>")
-    templates = {f: [F.split(F.lit(" ".join(sorted(set(_WORD.findall(t.lower()))))), " ") for g, t in LABELLED if g == f] for f in families[:-1]}
+    templates = {f: [F.split(F.lit(" ".join(t)), " ") for t in lists] for f, lists in _templates().items()}
+
+    def pieces(line, at):
+        def piece(t):
+            return F.struct(at.alias("at"), F.regexp_extract_all(F.lower(t), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)")).alias("words"), F.lit(False).alias("blank"))
+
+        gap = F.array(F.struct(at.alias("at"), F.array().cast("array<string>").alias("words"), F.lit(True).alias("blank")))
+        return F.when(line.rlike(INK), F.transform(F.split(line, SENTENCE), piece)).otherwise(gap)
 
-    def score(p):
-        words = F.regexp_extract_all(F.lower(p["text"]), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"))
-        return F.struct(p["at"].alias("at"), words.alias("words"))
+    def units(i):
+        """The units that start at piece i."""
+        state = lambda n, k, more: F.struct(n.cast("int").alias("n"), k.cast("int").alias("k"), more.alias("more"))
+
+        def take(acc, x):
+            ok = acc["more"] & ~x["blank"] & (acc["n"] < LONGEST)
+            return F.when(ok, state(acc["n"] + F.when(acc["k"] == 0, 0).otherwise(F.size(x["words"])), acc["k"] + 1, F.lit(True))).otherwise(state(acc["n"], acc["k"], F.lit(False)))
+
+        most = F.aggregate(F.slice("s", i, LONGEST + 1), state(F.lit(0), F.lit(0), F.lit(True)), take, lambda acc: acc["k"])
+        return F.transform(F.filter(F.sequence(F.lit(0), most), lambda k: k > 0), lambda k: F.struct(F.element_at("s", i)["at"].alias("at"), i.alias("first"), (i + k - 1).alias("last"), F.flatten(F.transform(F.slice("s", i, k), lambda x: x["words"])).alias("words")))
+
+    def place(p):
+        return [p[c].alias(c) for c in ("at", "first", "last")]
+
+    def confirm(p):
+        words = F.array_distinct(p["words"])
+        share = F.array(*[F.greatest(*[F.size(F.array_intersect(words, t)) / F.size(t) for t in lists], F.lit(0.0)) for lists in templates.values()], F.lit(0.0))
+        return F.struct(*place(p), p["words"].alias("words"), share.alias("share"))
 
     def features(p):
         words = p["words"]
@@ -133,28 +170,34 @@ def scan(docs: DataFrame) -> DataFrame:
             return F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))
 
         found = F.array_distinct(F.concat(*[F.when(n >= k, of(k)).otherwise(F.array().cast("array<string>")) for k in (1, 2, 3)]))
-        return F.struct(p["at"].alias("at"), F.array_distinct(words).alias("words"), F.filter(F.transform(found, lambda g: F.try_element_at(weights, g)), lambda v: v.isNotNull()).alias("rows"))
+        return F.struct(*place(p), p["share"].alias("share"), F.filter(F.transform(found, lambda g: F.try_element_at(weights, g)), lambda v: v.isNotNull()).alias("rows"))
 
     def logits(p):
         total = F.aggregate(p["rows"], bias, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
-        return F.struct(p["at"].alias("at"), p["words"].alias("words"), F.transform(total, lambda z: F.exp(z / temperature)).alias("e"))
+        return F.struct(*place(p), p["share"].alias("share"), F.transform(total, lambda z: F.exp(z / temperature)).alias("e"))
 
     def decide(p):
         top = F.array_max(p["e"])
-        best = F.element_at(names, F.array_position(p["e"], top).cast("int"))
-        confirmed = F.lit(False)
-        for f, lists in templates.items():
-            share = F.greatest(*[F.size(F.array_intersect(p["words"], t)) / F.size(t) for t in lists], F.lit(0.0))
-            confirmed = F.when(best == f, share >= CONFIRM).otherwise(confirmed)
-        return F.struct(p["at"].alias("at"), F.when(confirmed, best).otherwise(F.lit(UNKNOWN)).alias("family"), (top / F.aggregate(p["e"], F.lit(0.0), lambda a, b: a + b)).alias("score"))
+        best = F.array_position(p["e"], top).cast("int")
+        score = top / F.aggregate(p["e"], F.lit(0.0), lambda a, b: a + b)
+        return F.struct((-F.element_at(p["share"], best)).alias("less"), (p["last"] - p["first"]).alias("length"), F.round(-score, 4).alias("doubt"), *[p[c].alias(c) for c in ("first", "last", "at")], F.element_at(names, best).alias("family"), score.alias("score"))
+
+    def apart(kept, p):
+        return F.when(F.exists(kept, lambda q: (q["first"] <= p["last"]) & (p["first"] <= q["last"])), kept).otherwise(F.concat(kept, F.array(p)))
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("lines", F.split("text", "\n", -1))
-    cued = F.when(F.col("text").rlike("(?i)" + CUES), F.filter(F.transform("lines", lambda t, i: F.struct(i.alias("at"), t.alias("text"))), lambda p: F.lower(p["text"]).rlike(CUES)))
-    out = out.select("doc_id", F.size(F.filter("lines", lambda t: F.trim(t) != "")).cast("long").alias("n_paragraphs"), F.coalesce(cued, F.array().cast("array<struct<at:int,text:string>>")).alias("p"))
-    for step in (score, features, logits, decide):
+    starts = F.size(F.filter("lines", lambda t, i: t.rlike(INK) & ((i == 0) | ~F.get("lines", i - 1).rlike(INK))))
+    none = F.array().cast("array<struct<at:int,words:array<string>,blank:boolean>>")
+    out = out.select("doc_id", starts.cast("long").alias("n_paragraphs"), F.when(F.col("text").rlike("(?i)" + CUES), F.flatten(F.transform("lines", pieces))).otherwise(none).alias("s"))
+    out = out.withColumn("s", F.filter("s", lambda x: x["blank"] | (F.size(x["words"]) > 0)))
+    out = out.withColumn("p", F.flatten(F.transform(F.filter(F.sequence(F.lit(0), F.size("s")), lambda i: i > 0), units))).drop("s")
+    out = out.withColumn("p", F.filter(F.transform("p", confirm), lambda p: F.array_max(p["share"]) >= CONFIRM))
+    for step in (features, logits, decide):
         out = out.withColumn("p", F.transform("p", step))
-    out = out.withColumn("p", F.filter("p", lambda p: (p["family"] != UNKNOWN) & (p["score"] >= THRESHOLD)))
+    out = out.withColumn("p", F.array_sort(F.filter("p", lambda p: (p["family"] != UNKNOWN) & (p["score"] >= THRESHOLD) & (-p["less"] >= CONFIRM))))
+    out = out.withColumn("p", F.aggregate("p", F.filter("p", lambda p: F.lit(False)), apart))
+    out = out.withColumn("p", F.array_sort(F.transform("p", lambda p: F.struct(*[p[c].alias(c) for c in ("first", "at", "family", "score")]))))
     return out.select(
         "doc_id", "n_paragraphs", F.size("p").cast("long").alias("n_license"), F.array_join(F.array_sort(F.array_distinct(F.transform("p", lambda p: p["family"]))), ",").alias("families"),
         F.array_join(F.transform("p", lambda p: F.concat_ws(":", p["at"].cast("string"), p["family"])), ",").alias("paragraphs"), F.coalesce(F.array_max(F.transform("p", lambda p: p["score"])), F.lit(0.0)).alias("score"),
@@ -164,17 +207,37 @@ def scan(docs: DataFrame) -> DataFrame:
 def scan_text(text: str | None) -> tuple[int, str, str]:
     """The same decisions in plain Python, for tests: n_license, families, paragraphs."""
     vocabulary, families, w, temperature = model()
-    found = []
-    for at, line in enumerate((text or "").split("\n")):
-        if not re.search(CUES, line.lower()):
-            continue
-        z = w[-1].copy()
-        for g in set(grams(line)):
-            if g in vocabulary:
-                z = z + w[vocabulary[g]]
-        p = _softmax(z / temperature)
-        family, own = families[int(p.argmax())], set(_WORD.findall(line.lower()))
-        share = max((len(own & set(_WORD.findall(t.lower()))) / len(set(_WORD.findall(t.lower()))) for f, t in LABELLED if f == family), default=0)
-        if family != UNKNOWN and p.max() >= THRESHOLD and share >= CONFIRM:
-            found.append((at, family))
-    return len(found), ",".join(sorted({f for _, f in found})), ",".join(f"{a}:{f}" for a, f in found)
+    templates, text = _templates(), text or ""
+    if not re.search(CUES, text.lower()):
+        return 0, "", ""
+    pieces = []
+    for at, line in enumerate(text.split("\n")):
+        if not re.search(INK, line):
+            pieces.append((at, None))
+        else:
+            pieces += [(at, words) for t in re.split(SENTENCE, line) if (words := _WORD.findall(t.lower()))]
+    hits = []
+    for first in range(len(pieces)):
+        words, after = [], 0
+        for last in range(first, len(pieces)):
+            if pieces[last][1] is None or after >= LONGEST:
+                break
+            words = words + pieces[last][1]
+            after += len(pieces[last][1]) if last > first else 0
+            share = {f: max(len(set(words) & set(t)) / len(t) for t in lists) for f, lists in templates.items()}
+            if max(share.values()) < CONFIRM:
+                continue
+            z = w[-1].copy()
+            for g in {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}:
+                if g in vocabulary:
+                    z = z + w[vocabulary[g]]
+            p = _softmax(z / temperature)
+            family = families[int(p.argmax())]
+            if family != UNKNOWN and p.max() >= THRESHOLD and share[family] >= CONFIRM:
+                hits.append((-share[family], last - first, round(-float(p.max()), 4), first, last, pieces[first][0], family))
+    kept = []
+    for h in sorted(hits):
+        if not any(k[3] <= h[4] and h[3] <= k[4] for k in kept):
+            kept.append(h)
+    kept.sort(key=lambda h: h[3])
+    return len(kept), ",".join(sorted({h[6] for h in kept})), ",".join(f"{h[5]}:{h[6]}" for h in kept)
