@@ -10,6 +10,14 @@ in the Software without restriction, including without limitation the rights
 to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"""
 BSD = """Redistribution and use in source and binary forms, with or without
 modification, are permitted provided that the following conditions are met:"""
+#: Notices without the words that notices mostly have.
+PLAIN = [
+    ("Distributed under the GNU GPL version 2.", "gpl", "0:gpl"),
+    ("Shared under CC-BY-SA 4.0.", "cc-by-sa", "0:cc-by-sa"),
+    ("Released under CC-BY 4.0", "cc-by", "0:cc-by"),
+    ("Released under the BSD 3-Clause terms", "bsd", "0:bsd"),
+    ("\n".join(MIT.split()[:30]), "mit", None),
+]
 PLANTED = [
     ("All rights reserved.", "proprietary", "0:proprietary"),
     ("Ñga ezque de para co los.\nAll rights reserved.\nçèai queou", "proprietary", "1:proprietary"),
@@ -24,10 +32,11 @@ PLANTED = [
 ]
 
 
-def test_planted_notices(spark):
-    frame = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(PLANTED)], "doc_id long, text string")
+@pytest.mark.parametrize("notices", [PLANTED, PLAIN])
+def test_planted_notices(spark, notices):
+    frame = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(notices)], "doc_id long, text string")
     for r in license_scan.scan(frame).collect():
-        text, families, paragraphs = PLANTED[r.doc_id]
+        text, families, paragraphs = notices[r.doc_id]
         assert r.families == families and paragraphs in (None, r.paragraphs), (text, r)
         assert (r.n_license, r.families, r.paragraphs) == license_scan.scan_text(text)
 
@@ -35,3 +44,10 @@ def test_planted_notices(spark):
 def test_paragraphs_are_runs_of_lines(spark):
     frame = spark.createDataFrame([(0, "a\nb\n \t\r\nc\n\n\nd"), (1, "\n\n"), (2, None)], "doc_id long, text string")
     assert {r.doc_id: r.n_paragraphs for r in license_scan.scan(frame).collect()} == {0: 3, 1: 0, 2: 0}
+
+
+def test_cues_are_in_all_that_can_be_confirmed():
+    cues = set(license_scan.cues())
+    for lists in license_scan._templates().values():
+        for t in lists:
+            assert len(set(t) - cues) / len(t) < license_scan.CONFIRM, t

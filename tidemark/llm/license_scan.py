@@ -7,7 +7,8 @@ digits and characters beyond ASCII). A multinomial logistic regression over the
 probability, and that of ``unknown`` (prose, code and notices without a licence); its temperature is fitted by leaving each
 row of the table out in turn. A family is reported when its calibrated probability reaches ``THRESHOLD`` and the unit holds at least
 ``CONFIRM`` of the words of one of the family's templates; else the unit is unknown. Of units that overlap, the one with the largest share of a template counts,
-then the shortest, the most probable, the first. Only texts with one of the ``CUES`` are scored.
+then the shortest, the most probable, the first. Only units with one of the
+``cues`` are scored: they are so many words of every template that the others are less than ``CONFIRM`` of it, so what has none can't be confirmed.
 
 The model is fitted from the fixed table when the plan is built and sent as literals, so nothing grows with the corpus. Null and empty texts
 have no paragraphs. Repeated rows are scanned each; extra columns are ignored. Whole texts are scanned.
@@ -71,8 +72,6 @@ LABELLED = [
     (UNKNOWN, "La licence de pêche est disponible à la mairie."),
     (UNKNOWN, "The creative team met in the commons to talk about the domain and its public image."),
 ]
-#: A cue of every family, as a pattern on the lower-cased paragraph.
-CUES = r"licen[cs]e|spdx|permission is hereby|redistribution and use|general public|public license|creative commons|cc0|cc by|rights reserved|public domain|apache|mozilla"
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: What a line that isn't blank has, and where a sentence ends.
 INK, SENTENCE = r"[^ \t\n\x0B\f\r]", r"(?<=[.;:!?])[ \t]+"
@@ -123,6 +122,19 @@ def _templates() -> dict[str, list[list[str]]]:
     return {f: [sorted(set(_WORD.findall(t.lower()))) for g, t in LABELLED if g == f] for f in families[:-1]}
 
 
+#: Words that any prose has; as cues they come last.
+COMMON = frozenset("a an and any are as at be by can for from in is it may not of on or that the this to with you".split())
+
+
+def cues() -> list[str]:
+    """Words of which every share of ``CONFIRM`` or more of any template has one: as few of each template as that takes, long and rare ones first."""
+    found: set[str] = set()
+    for t in (t for lists in _templates().values() for t in lists):
+        rest = max(k for k in range(len(t)) if k / len(t) < CONFIRM)  # so many words alone never confirm
+        found.update(sorted(t, key=lambda v: (v not in COMMON, len(v), v), reverse=True)[: len(t) - rest])
+    return sorted(found)
+
+
 #: A unit takes in pieces until those after its first hold so many words.
 LONGEST = max(len(_WORD.findall(t.lower())) for f, t in LABELLED if f != UNKNOWN)
 
@@ -135,12 +147,14 @@ def scan(docs: DataFrame) -> DataFrame:
     weights = F.from_json(F.lit(json.dumps({g: numbers(w[k]) for g, k in vocabulary.items()}, ensure_ascii=False)), "map<string,array<double>>")
     bias = F.from_json(F.lit(json.dumps(numbers(w[-1]))), "array<double>")
     templates = {f: [F.split(F.lit(" ".join(t)), " ") for t in lists] for f, lists in _templates().items()}
+    cued = r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:" + "|".join(cues()) + r")(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
 
     def pieces(line, at):
         def piece(t):
-            return F.struct(at.alias("at"), F.regexp_extract_all(F.lower(t), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)")).alias("words"), F.lit(False).alias("blank"))
+            words = F.regexp_extract_all(F.lower(t), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"))
+            return F.struct(at.alias("at"), words.alias("words"), F.lit(False).alias("blank"), F.lower(t).rlike(cued).alias("cued"))
 
-        gap = F.array(F.struct(at.alias("at"), F.array().cast("array<string>").alias("words"), F.lit(True).alias("blank")))
+        gap = F.array(F.struct(at.alias("at"), F.array().cast("array<string>").alias("words"), F.lit(True).alias("blank"), F.lit(False).alias("cued")))
         return F.when(line.rlike(INK), F.transform(F.split(line, SENTENCE), piece)).otherwise(gap)
 
     def units(i):
@@ -152,7 +166,7 @@ def scan(docs: DataFrame) -> DataFrame:
             return F.when(ok, state(acc["n"] + F.when(acc["k"] == 0, 0).otherwise(F.size(x["words"])), acc["k"] + 1, F.lit(True))).otherwise(state(acc["n"], acc["k"], F.lit(False)))
 
         most = F.aggregate(F.slice("s", i, LONGEST + 1), state(F.lit(0), F.lit(0), F.lit(True)), take, lambda acc: acc["k"])
-        return F.transform(F.filter(F.sequence(F.lit(0), most), lambda k: k > 0), lambda k: F.struct(F.element_at("s", i)["at"].alias("at"), i.alias("first"), (i + k - 1).alias("last"), F.flatten(F.transform(F.slice("s", i, k), lambda x: x["words"])).alias("words")))
+        return F.transform(F.filter(F.sequence(F.lit(0), most), lambda k: (k > 0) & F.exists(F.slice("s", i, k), lambda x: x["cued"])), lambda k: F.struct(F.element_at("s", i)["at"].alias("at"), i.alias("first"), (i + k - 1).alias("last"), F.flatten(F.transform(F.slice("s", i, k), lambda x: x["words"])).alias("words")))
 
     def place(p):
         return [p[c].alias(c) for c in ("at", "first", "last")]
@@ -188,10 +202,10 @@ def scan(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("lines", F.split("text", "\n", -1))
     starts = F.size(F.filter("lines", lambda t, i: t.rlike(INK) & ((i == 0) | ~F.get("lines", i - 1).rlike(INK))))
-    none = F.array().cast("array<struct<at:int,words:array<string>,blank:boolean>>")
-    out = out.select("doc_id", starts.cast("long").alias("n_paragraphs"), F.when(F.col("text").rlike("(?i)" + CUES), F.flatten(F.transform("lines", pieces))).otherwise(none).alias("s"))
+    none = F.array().cast("array<struct<at:int,words:array<string>,blank:boolean,cued:boolean>>")
+    out = out.select("doc_id", starts.cast("long").alias("n_paragraphs"), F.when(F.lower("text").rlike(cued), F.flatten(F.transform("lines", pieces))).otherwise(none).alias("s"))
     out = out.withColumn("s", F.filter("s", lambda x: x["blank"] | (F.size(x["words"]) > 0)))
-    out = out.withColumn("p", F.flatten(F.transform(F.filter(F.sequence(F.lit(0), F.size("s")), lambda i: i > 0), units))).drop("s")
+    out = out.withColumn("p", F.flatten(F.transform(F.filter(F.sequence(F.lit(0), F.size("s")), lambda i: (i > 0) & F.exists(F.slice("s", F.greatest(i, F.lit(1)), LONGEST + 1), lambda x: x["cued"])), units))).drop("s")
     out = out.withColumn("p", F.filter(F.transform("p", confirm), lambda p: F.array_max(p["share"]) >= CONFIRM))
     for step in (features, logits, decide):
         out = out.withColumn("p", F.transform("p", step))
@@ -208,8 +222,6 @@ def scan_text(text: str | None) -> tuple[int, str, str]:
     """The same decisions in plain Python, for tests: n_license, families, paragraphs."""
     vocabulary, families, w, temperature = model()
     templates, text = _templates(), text or ""
-    if not re.search(CUES, text.lower()):
-        return 0, "", ""
     pieces = []
     for at, line in enumerate(text.split("\n")):
         if not re.search(INK, line):
