@@ -65,14 +65,16 @@ def severities(spark, sf_dir):
 
 
 def citations(spark, sf_dir):
-    """Whether the cited line has the quoted text, another line has it, or none."""
+    """Whether the cited line has the quoted text, another line has it, or none. Every document is cited: any of its lines may be quoted and any cited."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     docs = model.table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"))
-    cited = docs.where("doc_id % 5 = 0").select("doc_id", (F.col("doc_id") % 3 + 1).alias("line"), F.when(F.col("doc_id") % 4 == 0, "no such line").otherwise(F.trim(F.element_at("lines", F.least(F.size("lines"), F.lit(2))))).alias("quote"))
-    rows = docs.select("doc_id", F.posexplode("lines").alias("at", "text"))
-    hit = F.trim("text") == F.col("quote")
-    met = rows.join(cited, "doc_id").groupBy("doc_id", "line").agg(F.max(hit & (F.col("at") + 1 == F.col("line"))).alias("here"), F.max(hit).alias("somewhere"))
-    return met.select("doc_id", "line", F.when(F.col("here"), "verified").when(F.col("somewhere"), "moved").otherwise("missing").alias("verdict"))
+    n, k = F.size("lines").cast("long"), F.col("doc_id")
+    quoted = F.pmod(k * 7, n)  # from 0
+    quote = F.when(k % 4 == 0, "no such line").otherwise(F.trim(F.get("lines", quoted.cast("int"))))
+    cited = docs.select("doc_id", "lines", (F.pmod(quoted + F.when(k % 3 == 0, 1).otherwise(0), n) + 1).alias("line"), quote.alias("quote"))
+    here = F.trim(F.get("lines", (F.col("line") - 1).cast("int"))) == F.col("quote")
+    somewhere = F.exists("lines", lambda t: F.trim(t) == F.col("quote"))
+    return cited.select("doc_id", "line", F.when(here, "verified").when(somewhere, "moved").otherwise("missing").alias("verdict"))
 
 
 def coverage_rollup(spark, sf_dir):
