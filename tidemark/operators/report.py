@@ -207,7 +207,11 @@ def debt_rollup(spark, sf_dir):
 
 
 def untracked(spark, sf_dir):
-    return model.commits(spark, sf_dir).where("not is_merge and not ticketed").select("sha", "repository", "ts", F.substring("message", 1, 40).alias("subject"))
+    """Commits without a ticket that aren't boilerplate: the author's name over all commits, and the whole first line."""
+    rows = _classified(spark, sf_dir).where("not ticketed and category <> 'boilerplate'")
+    names = author_summary(spark, sf_dir).select("author_email", "name")
+    subject = F.regexp_replace(F.split_part("message", F.lit("\n"), F.lit(1)), "\r$", "")
+    return rows.join(names, "author_email", "left").select("sha", F.coalesce("name", "author_name").alias("author"), "repository", "ts", subject.alias("subject"))
 
 
 def classified_commits(spark, sf_dir):
