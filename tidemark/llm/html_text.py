@@ -47,6 +47,19 @@ LABELLED = np.array([
     [9, 0.00, 60, 0.00, 0, 0.00, 0, 0, 1, 0], [25, 0.30, 50, 0.00, 0, 0.00, 0, 0, 1, 0], [70, 0.00, 40, 0.00, 30, 0.00, 0, 0, 1, 0], [5, 0.00, 2, 0.00, 3, 0.00, 1, 0, 1, 0],
     [15, 0.80, 10, 0.90, 12, 0.70, 0, 0, 0, 0], [3, 1.00, 2, 1.00, 4, 1.00, 0, 0, 0, 0], [2, 0.00, 2, 1.00, 3, 1.00, 0, 0, 0, 0], [6, 0.00, 3, 1.00, 2, 1.00, 0, 0, 0, 0],
     [4, 0.00, 5, 0.00, 2, 0.50, 0, 0, 0, 0], [8, 0.75, 60, 0.00, 6, 1.00, 0, 0, 0, 0], [5, 0.00, 4, 1.00, 6, 1.00, 1, 0, 0, 0], [30, 0.90, 20, 0.90, 25, 0.80, 0, 0, 0, 0],
+    # In an article, before blocks of links: the last paragraph, text before references, a paragraph that is a third links.
+    [40, 0.00, 55, 0.00, 3, 1.00, 0, 1, 0, 1], [20, 0.00, 60, 0.00, 5, 1.00, 0, 1, 0, 1], [58, 0.05, 30, 0.00, 12, 0.80, 0, 1, 0, 1], [8, 0.00, 30, 0.00, 4, 1.00, 0, 1, 0, 1],
+    [30, 0.33, 40, 0.00, 2, 1.00, 0, 1, 0, 1], [35, 0.00, 40, 0.00, 25, 0.33, 0, 1, 0, 1], [10, 0.60, 9, 0.70, 11, 0.60, 0, 1, 0, 1], [3, 0.00, 45, 0.00, 8, 0.70, 1, 1, 0, 1],
+    [16, 0.00, 4, 1.00, 5, 1.00, 0, 1, 0, 1], [1, 0.00, 6, 1.00, 3, 1.00, 0, 1, 0, 1], [6, 1.00, 7, 1.00, 50, 0.00, 0, 1, 0, 0], [2, 1.00, 3, 1.00, 35, 0.00, 0, 1, 0, 0],
+    # In an article, short: titles after navigation, short lines between links.
+    [1, 0.00, 3, 1.00, 40, 0.00, 1, 1, 0, 1], [2, 0.00, 2, 1.00, 3, 1.00, 0, 1, 0, 1], [6, 0.00, 3, 1.00, 2, 1.00, 0, 1, 0, 1], [4, 0.00, 5, 0.00, 2, 0.50, 0, 1, 0, 1],
+    [5, 0.00, 4, 1.00, 6, 1.00, 1, 1, 0, 1], [2, 0.00, 4, 0.00, 12, 0.00, 0, 1, 0, 1], [1, 0.00, 1, 0.00, 1, 0.00, 0, 1, 0, 1], [3, 0.00, 0, 0.00, 4, 1.00, 1, 1, 0, 1],
+    # In furniture, before long blocks: adverts, notices, comments of any length.
+    [20, 0.00, 10, 0.00, 60, 0.00, 0, 0, 1, 0], [15, 0.00, 0, 0.00, 80, 0.00, 0, 0, 1, 0], [45, 0.00, 3, 0.00, 50, 0.00, 0, 0, 1, 0], [120, 0.00, 40, 0.00, 90, 0.00, 0, 0, 1, 0],
+    [35, 0.05, 8, 0.00, 50, 0.02, 0, 0, 1, 0], [4, 0.00, 2, 0.00, 45, 0.00, 1, 0, 1, 0], [80, 0.00, 70, 0.00, 3, 1.00, 0, 0, 1, 0], [12, 0.50, 60, 0.00, 70, 0.00, 0, 0, 1, 0],
+    [65, 0.00, 20, 0.00, 0, 0.00, 0, 0, 1, 0], [2, 0.00, 0, 0.00, 34, 0.00, 0, 0, 1, 0], [3, 1.00, 2, 1.00, 40, 0.00, 0, 0, 1, 0], [25, 0.00, 90, 0.00, 36, 0.00, 0, 0, 1, 0],
+    # In neither: text before links, links before text.
+    [45, 0.00, 50, 0.00, 3, 1.00, 0, 0, 0, 1], [24, 0.00, 40, 0.00, 4, 1.00, 0, 0, 0, 1], [4, 1.00, 3, 1.00, 50, 0.00, 0, 0, 0, 0], [2, 1.00, 2, 1.00, 38, 0.00, 0, 0, 0, 0],
 ])
 
 
