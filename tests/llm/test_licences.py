@@ -18,6 +18,13 @@ PLAIN = [
     ("Released under the BSD 3-Clause terms", "bsd", "0:bsd"),
     ("\n".join(MIT.split()[:30]), "mit", None),
 ]
+HEADINGS = [
+    ("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007", "gpl", None), ("GNU GENERAL PUBLIC LICENSE Version 3", "gpl", "0:gpl"), ("License: MIT", "mit", "0:mit"), ("MIT License\n\nCopyright (c) 2020 A", "mit", None),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above", "isc", None),
+    ("This is free and unencumbered software released into the public domain.", "unlicense", "0:unlicense"), ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999", "lgpl", None),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.", "mpl", None), ("Licensed under CC BY-NC-SA 4.0.", "cc-by-nc-sa", "0:cc-by-nc-sa"),
+    ("The licence of the pub at MIT was renewed, and the public may use it.", "", ""), ("Permission was granted to the students to use the library for any purpose.", "", ""),
+]
 PLANTED = [
     ("All rights reserved.", "proprietary", "0:proprietary"),
     ("Ñga ezque de para co los.\nAll rights reserved.\nçèai queou", "proprietary", "1:proprietary"),
@@ -32,7 +39,7 @@ PLANTED = [
 ]
 
 
-@pytest.mark.parametrize("notices", [PLANTED, PLAIN])
+@pytest.mark.parametrize("notices", [PLANTED, PLAIN, HEADINGS])
 def test_planted_notices(spark, notices):
     frame = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(notices)], "doc_id long, text string")
     for r in license_scan.scan(frame).collect():

@@ -5,7 +5,7 @@ piece on, units grow until they hold more words than the longest template, so a
 A unit's features are the presence of word 1-, 2- and 3-grams (lower case, words of ASCII letters,
 digits and characters beyond ASCII). A multinomial logistic regression over the n-grams of the small table ``LABELLED`` gives each family's
 probability, and that of ``unknown`` (prose, code and notices without a licence); its temperature is fitted by leaving each
-row of the table out in turn. A family is reported when its calibrated probability reaches ``THRESHOLD`` and the unit holds at least
+fold of the table out in turn. A family is reported when its calibrated probability reaches ``THRESHOLD`` and the unit holds at least
 ``CONFIRM`` of the words of one of the family's templates; else the unit is unknown. Of units that overlap, the one with the largest share of a template counts,
 then the shortest, the most probable, the first. Only units with one of the
 ``cues`` are scored: they are so many words of every template that the others are less than ``CONFIRM`` of it, so what has none can't be confirmed.
@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-THRESHOLD, CONFIRM = 0.5, 0.6
+THRESHOLD, CONFIRM, FOLDS = 0.5, 0.6, 8
 UNKNOWN = "unknown"
 #: Fixed values: (family, paragraph).
 LABELLED = [
@@ -60,6 +60,40 @@ LABELLED = [
     ("proprietary", "Copyright. All rights reserved. No part of this work may be reproduced without written permission."),
     ("proprietary", "Confidential and proprietary. All rights reserved."),
     ("proprietary", "All rights reserved."),
+    ("proprietary", "Unauthorized copying of this file, via any medium, is strictly prohibited."),
+    ("apache", "Apache License Version 2.0, January 2004"),
+    ("apache", "License: Apache-2.0"),
+    ("mit", "The MIT License (MIT)"),
+    ("mit", "License: MIT"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("gpl", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("gpl", "Distributed under the terms of the GNU General Public License v2 or later."),
+    ("gpl", "License: GPL-3.0"),
+    ("lgpl", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation."),
+    ("agpl", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation."),
+    ("bsd", "BSD 3-Clause License"),
+    ("bsd", "BSD 2-Clause License"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("isc", "Released under the ISC License."),
+    ("isc", "SPDX-License-Identifier: ISC"),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("unlicense", "Released under the Unlicense."),
+    ("unlicense", "SPDX-License-Identifier: Unlicense"),
+    ("mpl", "Mozilla Public License Version 2.0"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("epl", "SPDX-License-Identifier: EPL-2.0"),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("zlib", "SPDX-License-Identifier: Zlib"),
+    ("boost", "Distributed under the Boost Software License, Version 1.0."),
+    ("boost", "SPDX-License-Identifier: BSL-1.0"),
+    ("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0."),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("cc-by-nd", "Licensed under CC BY-ND 4.0."),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     (UNKNOWN, "The driver must carry a valid license and the version of the form that was released under the rules."),
     (UNKNOWN, "He was licensed to practise law and published the general terms of the contract."),
     (UNKNOWN, "The public library is free and the software was released in version 2.0 with new conditions."),
@@ -70,6 +104,15 @@ LABELLED = [
     (UNKNOWN, "A fishing licence costs ten dollars and the rights are reserved for members."),
     (UNKNOWN, "Der Führerschein und die Lizenz sind im Amt erhältlich."),
     (UNKNOWN, "La licence de pêche est disponible à la mairie."),
+    (UNKNOWN, "He got a driving license while he was a student at MIT."),
+    (UNKNOWN, "The clause of the second bill has three parts and the license of the pub was lost."),
+    (UNKNOWN, "The general public may use the library in June, as the version of 2007 says."),
+    (UNKNOWN, "A notice shall be included with all copies of the letter, and the above holds for any purpose."),
+    (UNKNOWN, "The foundation has published a free program of the concert, and you can buy it at the door."),
+    (UNKNOWN, "The names of its contributors and the holder of the record were read, and prior permission was given."),
+    (UNKNOWN, "The software is provided by the firm, and the authors will be at the event in January 2004."),
+    (UNKNOWN, "All members have the rights that were reserved, and copying of files is part of the work."),
+    (UNKNOWN, "An eclipse of the sun is to be seen by the public, with a mozilla on the boost of the rocket."),
     (UNKNOWN, "The creative team met in the commons to talk about the domain and its public image."),
 ]
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -106,12 +149,13 @@ def model() -> tuple[dict[str, int], list[str], np.ndarray, float]:
     families = sorted({f for f, _ in LABELLED} - {UNKNOWN}) + [UNKNOWN]
     vocabulary = {g: k for k, g in enumerate(sorted({g for _, t in LABELLED for g in grams(t)}))}
     held = []
-    for k, (family, text) in enumerate(LABELLED):
-        w = _fit(LABELLED[:k] + LABELLED[k + 1 :], vocabulary, families, 60)
-        x = np.zeros(len(vocabulary) + 1)
-        x[[vocabulary[g] for g in grams(text)]] = 1
-        x[-1] = 1
-        held.append((x @ w, families.index(family)))
+    for fold in range(FOLDS):
+        w = _fit([row for k, row in enumerate(LABELLED) if k % FOLDS != fold], vocabulary, families, 60)
+        for family, text in LABELLED[fold::FOLDS]:
+            x = np.zeros(len(vocabulary) + 1)
+            x[[vocabulary[g] for g in grams(text)]] = 1
+            x[-1] = 1
+            held.append((x @ w, families.index(family)))
     losses = {t: -np.mean([np.log(_softmax(z / t)[i] + 1e-12) for z, i in held]) for t in np.geomspace(0.25, 4, 17)}
     return vocabulary, families, _fit(LABELLED, vocabulary, families), float(min(losses, key=losses.get))
 
