@@ -7,8 +7,8 @@ digits and characters beyond ASCII). A multinomial logistic regression over the
 probability, and that of ``unknown`` (prose, code and notices without a licence); its temperature is fitted by leaving each
 fold of the table out in turn. A family is reported when its calibrated probability reaches ``THRESHOLD`` and the unit holds at least
 ``CONFIRM`` of the words of one of the family's templates; else the unit is unknown. Of units that overlap, the one with the largest share of a template counts,
-then the shortest, the most probable, the first. Only units with one of the
-``cues`` are scored: they are so many words of every template that the others are less than ``CONFIRM`` of it, so what has none can't be confirmed.
+then the shortest, the most probable, the first. Only texts with one of the ``cues``, and in them units with two of ``cues(2)``, are scored: these are so many
+words of every template that the others (with one of them) are less than ``CONFIRM`` of it, so what has fewer can't be confirmed.
 
 The model is fitted from the fixed table when the plan is built and sent as literals, so nothing grows with the corpus. Null and empty texts
 have no paragraphs. Repeated rows are scanned each; extra columns are ignored. Whole texts are scanned.
@@ -63,7 +63,6 @@ LABELLED = [
     ("proprietary", "Unauthorized copying of this file, via any medium, is strictly prohibited."),
     ("apache", "Apache License Version 2.0, January 2004"),
     ("apache", "License: Apache-2.0"),
-    ("mit", "The MIT License (MIT)"),
     ("mit", "License: MIT"),
     ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("gpl", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
@@ -170,12 +169,13 @@ def _templates() -> dict[str, list[list[str]]]:
 COMMON = frozenset("a an and any are as at be by can for from in is it may not of on or that the this to with you".split())
 
 
-def cues() -> list[str]:
-    """Words of which every share of ``CONFIRM`` or more of any template has one: as few of each template as that takes, long and rare ones first."""
+def cues(least: int = 1) -> list[str]:
+    """Words of which every share of ``CONFIRM`` or more of any template has ``least``: as few of each template as that takes, those of other templates, long and rare ones first."""
     found: set[str] = set()
-    for t in (t for lists in _templates().values() for t in lists):
+    for t in sorted((t for lists in _templates().values() for t in lists), key=len):
         rest = max(k for k in range(len(t)) if k / len(t) < CONFIRM)  # so many words alone never confirm
-        found.update(sorted(t, key=lambda v: (v not in COMMON, len(v), v), reverse=True)[: len(t) - rest])
+        order = sorted(t, key=lambda v: (v not in COMMON, v in found and len(v) > 1, len(v), v), reverse=True)
+        found.update(order[: len(t) - rest + least - 1])
     return sorted(found)
 
 
@@ -191,16 +191,21 @@ def scan(docs: DataFrame) -> DataFrame:
     weights = F.from_json(F.lit(json.dumps({g: numbers(w[k]) for g, k in vocabulary.items()}, ensure_ascii=False)), "map<string,array<double>>")
     bias = F.from_json(F.lit(json.dumps(numbers(w[-1]))), "array<double>")
     templates = {f: [F.split(F.lit(" ".join(t)), " ") for t in lists] for f, lists in _templates().items()}
+    pair, gate = F.split(F.lit(" ".join(cues(2))), " "), r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:" + "|".join(cues(2)) + r")(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
+    known = F.split(F.lit(" ".join(sorted({v for lists in _templates().values() for t in lists for v in t}))), " ")
     cued = r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:" + "|".join(cues()) + r")(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
 
     def pieces(line, at):
         def piece(t):
             words = F.regexp_extract_all(F.lower(t), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"))
-            return F.struct(at.alias("at"), words.alias("words"), F.lit(False).alias("blank"), F.lower(t).rlike(cued).alias("cued"))
+            return F.struct(at.alias("at"), words.alias("words"), F.lit(False).alias("blank"), F.when(F.lower(t).rlike(gate), F.size(F.array_intersect(words, pair))).otherwise(F.lit(0)).alias("cued"))
 
-        gap = F.array(F.struct(at.alias("at"), F.array().cast("array<string>").alias("words"), F.lit(True).alias("blank"), F.lit(False).alias("cued")))
+        gap = F.array(F.struct(at.alias("at"), F.array().cast("array<string>").alias("words"), F.lit(True).alias("blank"), F.lit(0).alias("cued")))
         return F.when(line.rlike(INK), F.transform(F.split(line, SENTENCE), piece)).otherwise(gap)
 
+    def enough(pieces):
+        return F.aggregate(pieces, F.lit(0), lambda acc, x: acc + x["cued"]) >= 2
+
     def units(i):
         """The units that start at piece i."""
         state = lambda n, k, more: F.struct(n.cast("int").alias("n"), k.cast("int").alias("k"), more.alias("more"))
@@ -210,13 +215,16 @@ def scan(docs: DataFrame) -> DataFrame:
             return F.when(ok, state(acc["n"] + F.when(acc["k"] == 0, 0).otherwise(F.size(x["words"])), acc["k"] + 1, F.lit(True))).otherwise(state(acc["n"], acc["k"], F.lit(False)))
 
         most = F.aggregate(F.slice("s", i, LONGEST + 1), state(F.lit(0), F.lit(0), F.lit(True)), take, lambda acc: acc["k"])
-        return F.transform(F.filter(F.sequence(F.lit(0), most), lambda k: (k > 0) & F.exists(F.slice("s", i, k), lambda x: x["cued"])), lambda k: F.struct(F.element_at("s", i)["at"].alias("at"), i.alias("first"), (i + k - 1).alias("last"), F.flatten(F.transform(F.slice("s", i, k), lambda x: x["words"])).alias("words")))
+        return F.transform(F.filter(F.sequence(F.lit(0), most), lambda k: (k > 0) & enough(F.slice("s", i, k))), lambda k: F.struct(F.element_at("s", i)["at"].alias("at"), i.alias("first"), (i + k - 1).alias("last"), F.flatten(F.transform(F.slice("s", i, k), lambda x: x["words"])).alias("words")))
 
     def place(p):
         return [p[c].alias(c) for c in ("at", "first", "last")]
 
+    def told(p):
+        return F.struct(*place(p), p["words"].alias("words"), F.array_intersect(p["words"], known).alias("known"))
+
     def confirm(p):
-        words = F.array_distinct(p["words"])
+        words = p["known"]
         share = F.array(*[F.greatest(*[F.size(F.array_intersect(words, t)) / F.size(t) for t in lists], F.lit(0.0)) for lists in templates.values()], F.lit(0.0))
         return F.struct(*place(p), p["words"].alias("words"), share.alias("share"))
 
@@ -246,11 +254,11 @@ def scan(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("lines", F.split("text", "\n", -1))
     starts = F.size(F.filter("lines", lambda t, i: t.rlike(INK) & ((i == 0) | ~F.get("lines", i - 1).rlike(INK))))
-    none = F.array().cast("array<struct<at:int,words:array<string>,blank:boolean,cued:boolean>>")
+    none = F.array().cast("array<struct<at:int,words:array<string>,blank:boolean,cued:int>>")
     out = out.select("doc_id", starts.cast("long").alias("n_paragraphs"), F.when(F.lower("text").rlike(cued), F.flatten(F.transform("lines", pieces))).otherwise(none).alias("s"))
     out = out.withColumn("s", F.filter("s", lambda x: x["blank"] | (F.size(x["words"]) > 0)))
-    out = out.withColumn("p", F.flatten(F.transform(F.filter(F.sequence(F.lit(0), F.size("s")), lambda i: (i > 0) & F.exists(F.slice("s", F.greatest(i, F.lit(1)), LONGEST + 1), lambda x: x["cued"])), units))).drop("s")
-    out = out.withColumn("p", F.filter(F.transform("p", confirm), lambda p: F.array_max(p["share"]) >= CONFIRM))
+    out = out.withColumn("p", F.flatten(F.transform(F.filter(F.sequence(F.lit(0), F.size("s")), lambda i: (i > 0) & enough(F.slice("s", F.greatest(i, F.lit(1)), LONGEST + 1))), units))).drop("s")
+    out = out.withColumn("p", F.filter(F.transform(F.filter(F.transform("p", told), lambda p: F.size(p["known"]) >= 2), confirm), lambda p: F.array_max(p["share"]) >= CONFIRM))
     for step in (features, logits, decide):
         out = out.withColumn("p", F.transform("p", step))
     out = out.withColumn("p", F.array_sort(F.filter("p", lambda p: (p["family"] != UNKNOWN) & (p["score"] >= THRESHOLD) & (-p["less"] >= CONFIRM))))
