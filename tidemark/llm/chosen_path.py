@@ -3,15 +3,17 @@
 A document is the set of its runs of five words (fewer words: one run of them all). Documents with equal sets are one class from the
 start. Each set gets ``COORDINATES`` min-hashes, a sample of its tokens in random orders. A run splits the sets on two sampled
 coordinates: sets that hold the same token there go to one node. A node that holds over ``SMALL`` sets is split again by
-two coordinates of its own, unless its sets are alike already (estimated from its tokens' frequencies); what stays is brute-forced.
-Two sets of similarity s keep a common node with a chance of at least 0.937 a run for s >= 0.8, so ``runs(recall)`` independent runs
-reach the target recall.
+two coordinates of its own that no node above it used, unless its sets are alike already (estimated from its tokens' frequencies); what stays is brute-forced.
+All runs draw from the same coordinates, so a pair's chance is a mixture: of 64 coordinates it agrees in Bin(64, s), and given a share x of them a
+run loses it with a chance of at most ((1 - x) / x)². ``runs(recall)`` averages over that mixture and repeats runs until the target recall, at any depth.
 
 Brute force is exact and in two steps: min-hashes select which sets of a node may have a partner, then their whole sets are
-compared. A node of many sets is cut into blocks, each pair of blocks is a piece of work of its own, and no pair of sets
+compared. A node of many sets or long ones is cut into blocks, each pair of blocks is a piece of work of its own, and no pair of sets
 is ever a row: a piece of work returns for each set its number of links and a root it hangs from. A pair that meets in
-several nodes counts in the first of them only. Classes are the connected components of the links.
+several nodes counts in the first of them only. Classes are the connected components of the links. Joins on nodes, classes and copies
+go by ``join_hot``, so none of them is a single task's.
 
+``n_links`` never counts a pair that isn't a link, and may miss one with the chance that the recall leaves: it is a lower bound.
 Null texts and texts without words have no partners. Repeated rows are copies of each other. A null doc_id gets the class of its
 copies, or null. Empty tables give empty tables. Extra columns are ignored.
 """
@@ -28,23 +30,32 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .rows import packed, unpacked
-from .shared import written
+from .shared import join_hot, written
 from .wordhash import mix, slices, windows, words
 
 WORDS, SIMILARITY = 5, (4, 5)  # the similarity as a fraction
-COORDINATES, SMALL, BLOCK, DEPTH = 32, 64, 512, 12
-#: Of COORDINATES equal min-hashes, fewer than this rule a pair out (a pair of similarity 0.8 is below it once in 100,000).
-AGREE = 15
-#: Bits of the filter that tells which sets to fetch; beyond its capacity more are fetched than needed.
-FILTER_WORDS = 1 << 18
+COORDINATES, SMALL, BLOCK, DEPTH = 64, 64, 512, 12
+#: Of COORDINATES equal min-hashes, fewer than this rule a pair out (a pair of similarity 0.8 is below it once in a million).
+AGREE = 35
+#: Tokens of a block of sets, about.
+BLOCK_TOKENS = 1 << 20
+#: Longs of the filter that tells which sets to fetch: four bits a set wanted, 64 MB at most; beyond its capacity more are fetched than needed.
+LEAST_WORDS, MOST_WORDS = 1 << 12, 1 << 23
+
+
+def lost(runs: int, similarity: float = 0.8) -> float:
+    """The chance that so many runs miss a pair: over the coordinates it agrees in, a branching process with two tries a node in each run."""
+    out = 0.0
+    for agree in range(COORDINATES + 1):
+        x = agree / COORDINATES
+        chance = math.comb(COORDINATES, agree) * similarity**agree * (1 - similarity) ** (COORDINATES - agree)
+        out += chance * (1.0 if x <= 0.5 else ((1 - x) / x) ** (2 * runs))
+    return out
 
 
-def runs(recall: float = 0.999, similarity: float = 0.8) -> int:
-    """Independent runs for the recall: a pair's common nodes are a branching process with two tries a node."""
-    lost = 0.0
-    for _ in range(100):
-        lost = (1 - similarity + similarity * lost) ** 2
-    return max(1, math.ceil(math.log(1 - recall) / math.log(lost)))
+def runs(recall: float = 0.9999, similarity: float = 0.8) -> int:
+    """The fewest runs with the recall."""
+    return next((r for r in range(1, COORDINATES // 2) if lost(r, similarity) <= 1 - recall), COORDINATES // 2)
 
 
 def _seeds() -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +174,7 @@ def _select(batches):
         for a, b in _pairs(_bounds(table, _GROUP), block, i, j):
             ok = np.minimum(size[a], size[b]) * SIMILARITY[1] >= np.maximum(size[a], size[b]) * SIMILARITY[0]
             a, b = a[ok], b[ok]
-            same = np.zeros(len(a), np.int16)
+            same = np.zeros(len(a), np.uint8)
             for c in range(COORDINATES):
                 same += low[a, c] == low[b, c]
             ok = same >= AGREE
@@ -235,7 +246,7 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in at], pa.binary()), pa.array(links[at]), pa.array([keys[k] for k in root[at]], pa.binary())], names=["key", "links", "root"])
 
 
-def _fetcher(wanted):
+def _fetcher(wanted, bits: int):
     """Whole sets of the documents whose key the filter holds, each key once a task at most while it is remembered."""
 
     def fetch(batches):
@@ -246,7 +257,7 @@ def _fetcher(wanted):
                 key = _key(shingles)
                 if key is None or key in seen:
                     continue
-                bit = int.from_bytes(key[:7], "big") % (FILTER_WORDS * 64)
+                bit = int.from_bytes(key[:7], "big") % bits
                 if int(wanted.value[bit // 64]) >> (bit % 64) & 1:
                     keys.append(key)
                     values.append(shingles.tobytes())
@@ -258,29 +269,32 @@ def _fetcher(wanted):
 
 
 def _leaves(sets: DataFrame, recall: float) -> DataFrame:
-    """(node, key, n): the nodes of two sets or more that are brute-forced."""
+    """(node, key, size, n, tokens): the nodes of two sets or more that are brute-forced."""
     tries = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in range(runs(recall)) for c in _two(r)])
-    nodes = sets.select("key", "low", F.explode(tries).alias("t")).select("key", F.xxhash64("t.r", "t.c", F.element_at("low", F.col("t.c") + 1)).alias("node"))
-    done = None
+    nodes = sets.select("key", "size", "low", F.explode(tries).alias("t")).select("key", "size", F.array("t.c").alias("used"), F.xxhash64("t.r", "t.c", F.element_at("low", F.col("t.c") + 1)).alias("node"))
+    kept, done = ["node", "key", "size", "n", "tokens"], None
     for depth in range(DEPTH + 1):
-        counts = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        met = written(_join(nodes, counts, "node").select("node", "key", "n"))
-        small, big = met.where(F.col("n") <= SMALL), met.where(F.col("n") > SMALL)
+        nodes = written(nodes)
+        total = nodes.count()
+        counts = nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("tokens")).where("n > 1")
+        met = written(join_hot(nodes, counts, "node", "n", total).select(*kept, "used"))
+        small, big = met.where(F.col("n") <= SMALL).select(*kept), met.where(F.col("n") > SMALL)
         done = small if done is None else done.union(small)
         if not big.head(1):
             break
         if depth == DEPTH:
-            done = done.union(big)
+            done = done.union(big.select(*kept))
             break
-        one = F.pmod(F.xxhash64("node", F.lit("one")), F.lit(COORDINATES)).cast("int")
-        two = F.pmod(one + 1 + F.pmod(F.xxhash64("node", F.lit("two")), F.lit(COORDINATES - 1)).cast("int"), F.lit(COORDINATES))
-        split = _join(big, sets.select("key", "low"), "key").select("key", "node", "n", "low", F.explode(F.array(one, two)).alias("c"))
-        split = written(split.select("key", F.col("node").alias("parent"), "n", F.xxhash64("node", "c", F.element_at("low", F.col("c") + 1)).alias("node")))
+        free = F.array_except(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), "used")
+        pick = lambda salt: F.element_at("free", (F.pmod(F.xxhash64("node", F.lit(salt)), F.size("free")) + 1).cast("int"))
+        split = big.withColumn("free", free).withColumn("one", pick("one")).withColumn("free", F.array_remove("free", F.col("one"))).withColumn("two", pick("two")).drop("free")
+        split = _join(split, sets.select("key", "low"), "key").withColumn("c", F.explode(F.array("one", "two")))
+        split = written(split.select("key", "size", "n", "tokens", F.col("node").alias("parent"), F.concat("used", F.array("c")).alias("used"), F.xxhash64("node", "c", F.element_at("low", F.col("c") + 1)).alias("node")))
         # the chance that two sets of a parent hold one token at a split coordinate is their mean similarity
-        alike = split.groupBy("parent", "n", "node").agg(F.count("*").alias("m")).groupBy("parent").agg((F.sum(F.col("m") * F.col("m") / F.col("n") / F.col("n")) / 2).alias("alike"))
-        dense = alike.where("alike >= 0.5").select(F.col("parent").alias("node"))
-        done = done.union(_join(big, dense, "node", "left_semi"))
-        nodes = _join(split, dense.withColumnRenamed("node", "parent"), "parent", "left_anti").select("key", "node")
+        alike = split.groupBy("parent", "n", "node").agg(F.count("*").alias("m")).groupBy("parent", "n").agg((F.sum(F.col("m") * F.col("m") / F.col("n") / F.col("n")) / 2).alias("alike"))
+        dense = written(alike.where("alike >= 0.5").select(F.col("parent").alias("node"), F.col("n").alias("rows")))
+        done = done.union(join_hot(big, dense, "node", "rows", total).select(*kept))
+        nodes = join_hot(split, dense.withColumnRenamed("node", "parent"), "parent", "rows", total, "left_anti").select("key", "size", "used", "node")
     return done
 
 
@@ -295,14 +309,14 @@ def _two(run: int) -> list[int]:
     return [order[(2 * run) % COORDINATES], order[(2 * run + 1) % COORDINATES]]
 
 
-def near_duplicates(docs: DataFrame, recall: float = 0.999) -> DataFrame:
-    """One row per document row: doc_id, class_id (smallest doc_id of its class), n_links (documents of similarity 0.8 or more to it), class_size."""
+def near_duplicates(docs: DataFrame, recall: float = 0.9999) -> DataFrame:
+    """One row per document row: doc_id, class_id (smallest doc_id of its class), n_links (documents of similarity 0.8 or more to it, a lower bound), class_size."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(texts.mapInArrow(_sketch, "doc_id long, key binary, size long, low array<int>"))
     sets = written(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("low").alias("low")))
     leaves = written(_leaves(sets, recall))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
     mine = leaves.groupBy("key").agg(F.collect_set("node").alias("leaves"))
     placed = leaves.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -311,22 +325,27 @@ def near_duplicates(docs: DataFrame, recall: float = 0.999) -> DataFrame:
     picked = written(
         placed.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_select, "node long, i int, j int, block int, key binary, copies long, leaves array<long>")
     )
-    bits = picked.select(F.pmod(F.conv(F.hex(F.substring("key", 1, 7)), 16, 10).cast("long"), F.lit(FILTER_WORDS * 64)).alias("bit"))
+    words = LEAST_WORDS
+    while words < MOST_WORDS and words * 16 < picked.count():
+        words *= 4
+    bits = picked.select(F.pmod(F.conv(F.hex(F.substring("key", 1, 7)), 16, 10).cast("long"), F.lit(words * 64)).alias("bit"))
     bits = bits.groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(bit, 64) AS int)))").alias("bits")).toArrow()
-    wanted = np.zeros(FILTER_WORDS, np.int64)
+    wanted = np.zeros(words, np.int64)
     wanted[np.array(bits["word"].to_pylist(), np.int64)] = np.array(bits["bits"].to_pylist(), np.int64)
-    sent = spark.sparkContext.broadcast(wanted)  # 2 MB, whatever the corpus
+    sent = spark.sparkContext.broadcast(wanted)  # 64 MB at most
 
-    fetched = texts.mapInArrow(_fetcher(sent), "key binary, shingles binary").dropDuplicates(["key"])
+    fetched = texts.mapInArrow(_fetcher(sent, words * 64), "key binary, shingles binary").dropDuplicates(["key"])
     work = _join(picked, fetched, "key").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
     found = written(work.mapInArrow(_verify, "key binary, links long, root binary"))
     roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     info = _join(_join(sets.select("key", "least", "copies"), links, "key", "left"), roots.withColumnRenamed("a", "key"), "key", "left")
-    info = info.where("copies > 1 or links > 0 or root is not null").withColumn("root", F.coalesce("root", "key"))
-    classes = info.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    info = _join(info, classes, "root").select("key", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = _join(rows.select("doc_id", "key"), info, "key", "left")
+    info = written(info.where("copies > 1 or links > 0 or root is not null").withColumn("root", F.coalesce("root", "key")))
+    classes = written(info.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("sets")))
+    info = join_hot(info, classes, "root", "sets", info.count())
+    info = info.select("key", "copies", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = join_hot(rows.where("key is not null").select("doc_id", "key"), written(info), "key", "copies", rows.count(), "left")
+    out = out.select("doc_id", "class_id", "n_links", "class_size").union(rows.where("key is null").select("doc_id", F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("long")))
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 

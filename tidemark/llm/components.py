@@ -5,28 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import join_hot, written
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+def _stars(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """One round. Rows (a, b) with a > b; each a or b is hung below the smallest of its (larger or smaller) neighbours."""
     if large:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        out = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")).select("a", F.least("a", "low").alias("low"), "n")
+        out = join_hot(both, least, "a", "n", 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
     else:
-        least = edges.groupBy("a").agg(F.min("b").alias("low"))
-        out = edges.join(least.hint("merge"), "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).union(least.select("a", F.col("low").alias("b")))
+        least = edges.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
+        out = join_hot(edges, least, "a", "n", total).where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).union(least.select("a", F.col("low").alias("b")))
     return out.where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, root) for every node a that isn't the smallest of its component. ``edges``: columns a and b, any order, loops and repeats allowed."""
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    mark = None
+    mark, total = None, edges.count()
     while True:
-        edges = written(_stars(_stars(edges, True), False))
+        edges = written(_stars(written(_stars(edges, True, total)), False, total))
         row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (row.n, row.h) == mark:
             return edges.select("a", F.col("b").alias("root"))
-        mark = (row.n, row.h)
+        mark, total = (row.n, row.h), row.n

@@ -1,4 +1,4 @@
-"""Tables written to the folder that driver and executors share, to cut lineage."""
+"""Tables written to the folder that driver and executors share, to cut lineage; joins on keys that may be hot."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -23,3 +24,22 @@ def written(df: DataFrame) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+#: At most so many keys can be hot, as a hot key has more than the HOT-th part of all rows.
+HOT = 4096
+
+
+def join_hot(rows: DataFrame, side: DataFrame, on: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined to a side that has each key once and, as ``weight``, how many of the ``total`` rows hold it: inner, left or left_anti.
+
+    Keys with more than total / HOT rows (fewer than HOT of them, so they are broadcast) join where their rows are; all others are shuffled, and none is large.
+    """
+    bound = max(1, total // HOT)
+    few = F.broadcast(side.where(F.col(weight) > bound))
+    rest = side.where(F.col(weight) <= bound).hint("merge")
+    cold = rows.join(F.broadcast(side.where(F.col(weight) > bound).select(on)), on, "left_anti")
+    if how == "left_anti":
+        return cold.join(rest, on, "left_anti")
+    out = cold.join(rest, on, how)
+    return out.unionByName(rows.join(few, on).select(*out.columns))
