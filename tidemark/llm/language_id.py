@@ -7,7 +7,8 @@ Decisions are votes, ties go to the larger summed margin, then to the name that
 of a sigmoid of the smallest winning margin of each level.
 
 Null texts and texts without a letter come out as ``und`` with score 0, without a model too. Labels that are null are
-never learned. With no label at all every document is ``und``. Repeated rows are predicted each; extra columns are ignored.
+never learned. With no label at all every document is ``und``. Repeated rows are predicted each; of a repeated id the smallest label and
+text are learned. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .rows import packed, unpacked
-from .sampling import chosen, remainder
+from .sampling import chosen, remainder, texts_of
 from .wordhash import _LOWER, CHUNK, slices, text_buffers
 
 #: Rows that the model is fitted on, at most.
@@ -118,14 +119,14 @@ def predict(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, most: int = SAMPLE_ROWS) -> dict | None:
     """Fitted on documents whose crc32(doc_id) mod 4 isn't 2 and whose lang isn't null."""
     picked = chosen(docs.select("doc_id", "lang").where(remainder("doc_id", 4) != 2), "doc_id", "lang", most)
-    texts = docs.where(remainder("doc_id", 4) != 2).select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # of ``most`` rows
+    texts = texts_of(docs, picked, "doc_id", "lang")  # ``most`` rows
 
     def make(batches):
         for batch in slices(batches):
             x = features(batch.column("text")).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "lang", "x"])
 
-    rows = texts.select("doc_id", "text", "lang").mapInArrow(make, "doc_id long, lang string, x binary").limit(most).toArrow().sort_by("doc_id")
+    rows = texts.select("doc_id", "text", "lang").mapInArrow(make, "doc_id long, lang string, x binary").toArrow().sort_by("doc_id")
     if not rows.num_rows:
         return None
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float16).reshape(-1, DIMS).astype(np.float32)

@@ -61,7 +61,9 @@ def _matrix(column, rows: int) -> np.ndarray:
 
 
 def _cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact cosines of rows with one query; equal rows give equal bits."""
+    """Exact cosines of rows with one query; equal rows give equal bits. Powers of two keep squares from overflowing and change no bit."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None]) if len(x) else x
+    q = np.ldexp(q, -np.frexp(np.abs(q).max())[1])
     return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * math.sqrt((q * q).sum()))
 
 

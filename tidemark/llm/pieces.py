@@ -8,7 +8,8 @@ taken, until none is left, which is what merging the best pair first comes to. A
 through the same edges with a heap. Characters without a piece become byte pieces.
 
 Null texts give null ids, empty texts none. Text is kept as it is (the model normalises nothing but blanks); a literal U+2581
-reads as a blank, as in the model itself, so such texts decode with a blank there. Repeated rows are encoded each.
+reads as a blank, as in the model itself, so such texts decode with a blank there and their round_trip is false; a null's is true. Repeated rows are
+encoded each; extra columns are ignored. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -271,8 +272,32 @@ class Encoder:
     def forget(self) -> None:
         self.hashes, self.first, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in order, and the n+1 offsets of the texts in them."""
+    def alone(self, text: str) -> np.ndarray:
+        """Ids of one text without what is remembered."""
+        raw, _ = text_buffers(pa.array([" " + text.replace(BLANK, " ")], pa.large_string()))
+        blank = raw == 32
+        opens = blank.copy()
+        opens[1:] &= ~blank[:-1]
+        opens[0] = True
+        begin = np.flatnonzero(opens)
+        return encode_segments(raw, begin, np.append(begin[1:], len(raw)), self.pieces)[0]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Ids of all texts in order, the n+1 offsets of the texts in them, and the texts that they decode to.
+
+        Segments are remembered by a hash. Pieces spell the text, bytes included, so a text whose ids don't spell it has met the hash of another segment, and is encoded alone."""
+        ids, offsets = self._encode(column)
+        texts, back = column.to_pylist(), decode(ids, offsets, self.pieces)
+        wrong = [k for k, (a, b) in enumerate(zip(texts, back.to_pylist())) if a and a.replace(BLANK, " ") != b]
+        if wrong:
+            parts = [ids[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+            for k in wrong:
+                parts[k] = self.alone(texts[k])
+            ids, offsets = np.concatenate(parts).astype(np.int32), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+            back = decode(ids, offsets, self.pieces)
+        return ids, offsets, back
+
+    def _encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = pa.array([None if t is None or t == "" else " " + t.replace(BLANK, " ") for t in column.to_pylist()], pa.large_string())
         raw, offsets = text_buffers(column)
         if not len(raw):
@@ -334,13 +359,11 @@ def encode_decode(docs: DataFrame, path: str = MODEL, decoded: bool = False) ->
         if path not in _ENCODERS:
             _ENCODERS[path] = Encoder(Pieces(path))
         encoder = _ENCODERS[path]
-        pieces = encoder.pieces
         for batch in _cut(batches):
             texts = batch.column("text")
-            ids, offsets = encoder.encode(texts)
+            ids, offsets, back = encoder.encode(texts)
             null = np.array(texts.is_null())
-            back = decode(ids, offsets, pieces)
-            same = [a is None or a.replace(BLANK, " ") == b for a, b in zip(texts.to_pylist(), back.to_pylist())]
+            same = [a is None or a == b for a, b in zip(texts.to_pylist(), back.to_pylist())]
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids), mask=pa.array(null)) if null.any() else pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
             raw = memoryview(ids.astype("<i4").tobytes())
             digest = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:])]

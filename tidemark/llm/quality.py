@@ -9,7 +9,7 @@ its number of tokens. The network (tanh, then logistic) is fitted on a bounded s
 on every fifth row of that sample calibrates its probabilities.
 
 Null and empty texts have no tokens and get the score of a document of zeros. Labels of ids that aren't in documents are unused;
-null labels too. Without labels of both kinds every score is the share of label 1 (0.5 without any). Repeated rows are
+null labels too; of an id with several labels or texts the smallest are learned. Without labels of both kinds every score is the share of label 1 (0.5 without any). Repeated rows are
 scored each; extra columns are ignored.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import chosen, remainder
+from .sampling import chosen, remainder, texts_of
 from .wordhash import slices, text_buffers, words
 
 #: Labelled rows that the network is fitted on, at most.
@@ -145,14 +145,14 @@ def probability(model: dict, x: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, vectors, most: int = SAMPLE_ROWS) -> dict:
     """Fitted on labels whose crc32(doc_id) mod 5 isn't 0."""
     picked = chosen(labels.where(remainder("doc_id", 5) != 0), "doc_id", "quality", most)
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # of ``most`` rows
+    texts = texts_of(docs, picked, "doc_id", "quality")  # ``most`` rows
 
     def make(batches):
         for batch in slices(batches):
             x = pooled(batch, vectors.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "x"])
 
-    rows = texts.mapInArrow(make, "doc_id long, quality int, x binary").limit(most).toArrow().sort_by("doc_id")
+    rows = texts.mapInArrow(make, "doc_id long, quality int, x binary").toArrow().sort_by("doc_id")
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, 2 * DIMS + 3)
     return fit(x, np.array(rows["quality"].to_pylist(), np.float64))
 
