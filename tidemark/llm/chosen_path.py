@@ -3,7 +3,8 @@
 A document is the set of its runs of five words (fewer words: one run of them all). Documents with equal sets are one class from the
 start. Each set gets ``COORDINATES`` min-hashes, a sample of its tokens in random orders. A run splits the sets on two sampled
 coordinates: sets that hold the same token there go to one node. A node that holds over ``SMALL`` sets is split again by
-two coordinates of its own that no node above it used, unless its sets are alike already (estimated from its tokens' frequencies); what stays is brute-forced.
+two coordinates of its own that no node above it used, unless its sets are alike already (estimated from its tokens' frequencies) or all such nodes
+together have no more than ``WORK`` pairs a set; what stays is brute-forced.
 All runs draw from the same coordinates, so a pair's chance is a mixture: of 64 coordinates it agrees in Bin(64, s), and given a share x of them a
 run loses it with a chance of at most ((1 - x) / x)². ``runs(recall)`` averages over that mixture and repeats runs until the target recall, at any depth.
 
@@ -37,6 +38,8 @@ WORDS, SIMILARITY = 5, (4, 5)  # the similarity as a fraction
 COORDINATES, SMALL, BLOCK, DEPTH = 64, 64, 512, 12
 #: Of COORDINATES equal min-hashes, fewer than this rule a pair out (a pair of similarity 0.8 is below it once in a million).
 AGREE = 35
+#: So many pairs a set are compared rather than split further.
+WORK = 1024
 #: Tokens of a block of sets, about.
 BLOCK_TOKENS = 1 << 20
 #: Longs of the filter that tells which sets to fetch: four bits a set wanted, 64 MB at most; beyond its capacity more are fetched than needed.
@@ -128,17 +131,28 @@ def _first_common(leaves: np.ndarray, a: np.ndarray, b: np.ndarray, node: np.nda
     return least == node
 
 
+def _apart(leaves: np.ndarray, node: int) -> np.ndarray:
+    """The same for all pairs of a group of one node: which have no smaller node in common."""
+    row, col = np.nonzero(leaves < node)
+    _, which, count = np.unique(leaves[row, col], return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    ok = count[which] > 1
+    m = np.zeros((len(leaves), int((count > 1).sum())), np.float32)
+    m[row[ok], shared[which[ok]]] = 1
+    return (m @ m.T) == 0
+
+
 def _padded(column: pa.ChunkedArray) -> np.ndarray:
     lists = column.to_pylist()
     width = max(map(len, lists), default=1)
     return np.array([sorted(x) + [np.iinfo(np.int64).max] * (width - len(x)) for x in lists], np.int64)
 
 
-def _pairs(bounds: np.ndarray, block: np.ndarray, i: np.ndarray, j: np.ndarray, most: int = 1 << 18):
+def _pairs(begin: np.ndarray, end: np.ndarray, block: np.ndarray, i: np.ndarray, j: np.ndarray, most: int = 1 << 18):
     """Pairs (a, b) of rows of the same group, of its two blocks, in parts."""
     left, right = [], []
     held = 0
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+    for a, b in zip(begin.tolist(), end.tolist()):
         at = np.arange(a, b)
         if i[a] == j[a]:
             sides = [(at[k : k + 256], at[k:]) for k in range(0, len(at), 256)]
@@ -163,6 +177,16 @@ def _pairs(bounds: np.ndarray, block: np.ndarray, i: np.ndarray, j: np.ndarray,
 _GROUP = ["node", "i", "j"]
 
 
+def _alike(low: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs (a, b) may be similar, by their sizes and min-hashes."""
+    ok = np.flatnonzero(np.minimum(size[a], size[b]) * SIMILARITY[1] >= np.maximum(size[a], size[b]) * SIMILARITY[0])
+    a, b = a[ok], b[ok]
+    same = np.zeros(len(a), np.uint8)
+    for c in range(COORDINATES):
+        same += low[a, c] == low[b, c]
+    return ok[same >= AGREE]
+
+
 def _select(batches):
     """Which sets of a group may have a partner there, by their min-hashes and sizes."""
     for table in _grouped(batches, _GROUP):
@@ -170,18 +194,21 @@ def _select(batches):
         block, size = np.asarray(table.column("block")), np.asarray(table.column("size"))
         low = np.asarray(table.column("low").combine_chunks().flatten()).reshape(-1, COORDINATES)
         leaves = _padded(table.column("leaves"))
-        chosen = np.zeros(table.num_rows, bool)
-        for a, b in _pairs(_bounds(table, _GROUP), block, i, j):
-            ok = np.minimum(size[a], size[b]) * SIMILARITY[1] >= np.maximum(size[a], size[b]) * SIMILARITY[0]
-            a, b = a[ok], b[ok]
-            same = np.zeros(len(a), np.uint8)
-            for c in range(COORDINATES):
-                same += low[a, c] == low[b, c]
-            ok = same >= AGREE
-            a, b = a[ok], b[ok]
-            for k in range(0, len(a), 1 << 16):
-                x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
-                ok = _first_common(leaves, x, y, node[x])
+        chosen, bounds = np.zeros(table.num_rows, bool), _bounds(table, _GROUP)
+        large = np.flatnonzero(np.diff(bounds) > SMALL)
+        for a, b in _pairs(np.delete(bounds[:-1], large), np.delete(bounds[1:], large), block, i, j):
+            ok = _alike(low, size, a, b)
+            for k in range(0, len(ok), 1 << 16):
+                x, y = a[ok[k : k + (1 << 16)]], b[ok[k : k + (1 << 16)]]
+                first = _first_common(leaves, x, y, node[x])
+                chosen[x[first]] = chosen[y[first]] = True
+        for a, b in zip(bounds[large].tolist(), bounds[large + 1].tolist()):
+            pairs = _apart(leaves[a:b], node[a])
+            pairs = np.triu(pairs, 1) if i[a] == j[a] else pairs & (block[a:b, None] == i[a]) & (block[None, a:b] == j[a])
+            for k in range(0, b - a, 32):  # a set with a partner needs no other
+                x, y = np.nonzero(pairs[k : k + 32] & ~(chosen[a + k : min(a + k + 32, b), None] & chosen[None, a:b]))
+                x, y = x + a + k, y + a
+                ok = _alike(low, size, x, y)
                 chosen[x[ok]] = chosen[y[ok]] = True
         at = np.flatnonzero(chosen)
         if len(at):
@@ -230,7 +257,7 @@ def _verify(batches):
             if i[a] != j[a]:
                 near &= (block[a:b, None] == i[a]) & (block[None, a:b] == j[a])
             x, y = np.nonzero(np.triu(near, 1) if i[a] == j[a] else near)
-            ok = np.concatenate([_first_common(leaves, x[k : k + 65536] + a, y[k : k + 65536] + a, node[a]) for k in range(0, len(x), 65536)]) if len(x) else np.zeros(0, bool)
+            ok = _apart(leaves[a:b], node[a])[x, y]
             links[a:b] += np.bincount(x[ok], weights=copies[a + y[ok]], minlength=b - a).astype(np.int64) + np.bincount(y[ok], weights=copies[a + x[ok]], minlength=b - a).astype(np.int64)
             label = np.arange(b - a)
             while len(x):
@@ -268,21 +295,18 @@ def _fetcher(wanted, bits: int):
     return fetch
 
 
-def _leaves(sets: DataFrame, recall: float) -> DataFrame:
+def _leaves(sets: DataFrame, size: int, recall: float) -> DataFrame:
     """(node, key, size, n, tokens): the nodes of two sets or more that are brute-forced."""
     tries = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in range(runs(recall)) for c in _two(r)])
     nodes = sets.select("key", "size", "low", F.explode(tries).alias("t")).select("key", "size", F.array("t.c").alias("used"), F.xxhash64("t.r", "t.c", F.element_at("low", F.col("t.c") + 1)).alias("node"))
-    kept, done = ["node", "key", "size", "n", "tokens"], None
+    kept, done, total = ["node", "key", "size", "n", "tokens"], None, size * 2 * runs(recall)
     for depth in range(DEPTH + 1):
-        nodes = written(nodes)
-        total = nodes.count()
         counts = nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("tokens")).where("n > 1")
         met = written(join_hot(nodes, counts, "node", "n", total).select(*kept, "used"))
         small, big = met.where(F.col("n") <= SMALL).select(*kept), met.where(F.col("n") > SMALL)
         done = small if done is None else done.union(small)
-        if not big.head(1):
-            break
-        if depth == DEPTH:
+        work = big.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.count("*").alias("rows")).first()  # twice the pairs of the nodes that could be split
+        if depth == DEPTH or work.pairs <= WORK * size:
             done = done.union(big.select(*kept))
             break
         free = F.array_except(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), "used")
@@ -294,7 +318,8 @@ def _leaves(sets: DataFrame, recall: float) -> DataFrame:
         alike = split.groupBy("parent", "n", "node").agg(F.count("*").alias("m")).groupBy("parent", "n").agg((F.sum(F.col("m") * F.col("m") / F.col("n") / F.col("n")) / 2).alias("alike"))
         dense = written(alike.where("alike >= 0.5").select(F.col("parent").alias("node"), F.col("n").alias("rows")))
         done = done.union(join_hot(big, dense, "node", "rows", total).select(*kept))
-        nodes = join_hot(split, dense.withColumnRenamed("node", "parent"), "parent", "rows", total, "left_anti").select("key", "size", "used", "node")
+        total = 2 * work.rows
+        nodes = written(join_hot(split, dense.withColumnRenamed("node", "parent"), "parent", "rows", total, "left_anti").select("key", "size", "used", "node"))
     return done
 
 
@@ -315,7 +340,8 @@ def near_duplicates(docs: DataFrame, recall: float = 0.9999) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(texts.mapInArrow(_sketch, "doc_id long, key binary, size long, low array<int>"))
     sets = written(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("low").alias("low")))
-    leaves = written(_leaves(sets, recall))
+    n_rows, n_sets = rows.count(), sets.count()
+    leaves = written(_leaves(sets, n_sets, recall))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
     mine = leaves.groupBy("key").agg(F.collect_set("node").alias("leaves"))
     placed = leaves.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
@@ -325,8 +351,8 @@ def near_duplicates(docs: DataFrame, recall: float = 0.9999) -> DataFrame:
     picked = written(
         placed.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_select, "node long, i int, j int, block int, key binary, copies long, leaves array<long>")
     )
-    words = LEAST_WORDS
-    while words < MOST_WORDS and words * 16 < picked.count():
+    words, n_picked = LEAST_WORDS, picked.count()
+    while words < MOST_WORDS and words * 16 < n_picked:
         words *= 4
     bits = picked.select(F.pmod(F.conv(F.hex(F.substring("key", 1, 7)), 16, 10).cast("long"), F.lit(words * 64)).alias("bit"))
     bits = bits.groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(bit, 64) AS int)))").alias("bits")).toArrow()
@@ -342,9 +368,9 @@ def near_duplicates(docs: DataFrame, recall: float = 0.9999) -> DataFrame:
     info = _join(_join(sets.select("key", "least", "copies"), links, "key", "left"), roots.withColumnRenamed("a", "key"), "key", "left")
     info = written(info.where("copies > 1 or links > 0 or root is not null").withColumn("root", F.coalesce("root", "key")))
     classes = written(info.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("sets")))
-    info = join_hot(info, classes, "root", "sets", info.count())
+    info = join_hot(info, classes, "root", "sets", n_sets)
     info = info.select("key", "copies", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = join_hot(rows.where("key is not null").select("doc_id", "key"), written(info), "key", "copies", rows.count(), "left")
+    out = join_hot(rows.where("key is not null").select("doc_id", "key"), written(info), "key", "copies", n_rows, "left")
     out = out.select("doc_id", "class_id", "n_links", "class_size").union(rows.where("key is null").select("doc_id", F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("long")))
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 

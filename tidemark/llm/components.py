@@ -23,10 +23,9 @@ def _stars(edges: DataFrame, large: bool, total: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(a, root) for every node a that isn't the smallest of its component. ``edges``: columns a and b, any order, loops and repeats allowed."""
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    mark, total = None, edges.count()
     while True:
-        edges = written(_stars(written(_stars(edges, True, total)), False, total))
-        row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (row.n, row.h) == mark:
-            return edges.select("a", F.col("b").alias("root"))
-        mark, total = (row.n, row.h), row.n
+        sizes = edges.groupBy("a").agg(F.count("*").alias("n"))
+        row = sizes.agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+        if row.n is None or (row.most == 1 and not edges.select("b").distinct().join(sizes.select(F.col("a").alias("b")).hint("merge"), "b", "left_semi").head(1)):
+            return edges.select("a", F.col("b").alias("root"))  # stars: each a below one b, and no b below another
+        edges = written(_stars(written(_stars(edges, True, row.n)), False, 2 * row.n))

@@ -26,16 +26,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-#: At most so many keys can be hot, as a hot key has more than the HOT-th part of all rows.
-HOT = 4096
+#: A hot key has more than the HOT-th part of all rows, so at most so many keys are hot; and more than LEAST_HOT rows, which any task can read.
+HOT, LEAST_HOT = 4096, 1000
 
 
 def join_hot(rows: DataFrame, side: DataFrame, on: str, weight: str, total: int, how: str = "inner") -> DataFrame:
     """rows joined to a side that has each key once and, as ``weight``, how many of the ``total`` rows hold it: inner, left or left_anti.
 
-    Keys with more than total / HOT rows (fewer than HOT of them, so they are broadcast) join where their rows are; all others are shuffled, and none is large.
+    Keys with more than total / HOT rows and LEAST_HOT (fewer than HOT of them, so they are broadcast) join where their rows are; all others are shuffled, and none is large.
     """
-    bound = max(1, total // HOT)
+    bound = max(LEAST_HOT, total // HOT)
     few = F.broadcast(side.where(F.col(weight) > bound))
     rest = side.where(F.col(weight) <= bound).hint("merge")
     cold = rows.join(F.broadcast(side.where(F.col(weight) > bound).select(on)), on, "left_anti")
