@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def upper_middle(rows: DataFrame, value: str, bins: int = 4096) -> DataFrame:
+    """One row, ``median_hours``: the upper middle of all values of a column, null of none. No task holds all values: counts by bin find the bin of the middle, then only that bin is ranked."""
+    span = rows.agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count(value).alias("_n"))  # one row
+    width = F.greatest((F.col("_high") - F.col("_low")) / bins, F.lit(1e-300))
+    binned = rows.where(F.col(value).isNotNull()).crossJoin(F.broadcast(span)).select(F.col(value).alias("_v"), F.floor((F.col(value) - F.col("_low")) / width).alias("_bin"), F.floor(F.col("_n") / 2).alias("_at"))
+    counts = binned.groupBy("_bin", "_at").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy("_at").orderBy("_bin")) - F.col("_c")  # a row a bin
+    middle = counts.withColumn("_before", before).where("_before <= _at and _at < _before + _c").select("_bin", "_before")  # one row
+    values = binned.join(F.broadcast(middle), "_bin").groupBy("_v", "_at", "_before").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("_at").orderBy("_v")) + F.col("_before")  # a row a value of one bin
+    return values.withColumn("_upto", upto).where("_upto > _at").agg(F.min("_v").alias("median_hours"))
+
+
 def upper_median(values) -> Column:
     """The upper middle of the sorted values: index n/2, not interpolated."""
     ordered = F.array_sort(F.collect_list(values))

@@ -26,6 +26,12 @@ def ticket(message) -> Column:
     return F.coalesce(F.nullif(key, F.lit("")), F.nullif(number, F.lit("")))
 
 
+def is_test_path(path: Column) -> Column:
+    """Test files as effort counts them: a tests or __tests__ folder, test_ before or _test.rs behind the name, spec or test before the last dot."""
+    p = F.lower(path)
+    return p.rlike(r"(?:^|/)(?:tests|__tests__)/|^tests$|_test\.rs$|(?:^|/)test_[^/]*$|(?:^|/)[^/]*\.(?:spec|test)\.[^./]*$")
+
+
 def word_count(text) -> Column:
     trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"\s+"))).cast("long")

@@ -11,6 +11,10 @@ from ..sources import model
 from . import classify as cascade
 
 
+#: Factors of the activity score and their weights.
+ACTIVITY_WEIGHTS = [("commits", 0.22), ("prs", 0.26), ("lines", 0.26), ("files_per_commit", 0.11), ("categorised", 0.15)]
+
+
 def _classified(spark, sf_dir, merges: bool = False) -> DataFrame:
     rows = model.commits(spark, sf_dir)
     return cascade.classify(rows if merges else rows.where("not is_merge")).withColumn("week_label", iso_week("ts"))
@@ -73,7 +77,8 @@ def pr_cycle_stats(spark, sf_dir):
     """Cycle times between half an hour and 720 hours: mean, upper median, merges per week that has merges."""
     rows = _merged(spark, sf_dir).where("h between 0.5 and 720").withColumn("w", iso_week("merged_at"))
     secs = F.sum(F.timestamp_diff("SECOND", F.col("created_at"), F.col("merged_at")))
-    return rows.agg(F.count("*").alias("merged"), (secs / F.count("*") / 3600.0).alias("avg_hours"), scoring.upper_median("h").alias("median_hours"), (F.count("*") / F.countDistinct("w")).alias("per_week"))
+    out = rows.agg(F.count("*").alias("merged"), F.try_divide(secs, F.count("*") * 3600.0).alias("avg_hours"), F.try_divide(F.count("*"), F.countDistinct("w")).alias("per_week"))
+    return out.crossJoin(F.broadcast(scoring.upper_middle(rows, "h"))).select("merged", "avg_hours", "median_hours", "per_week")  # two single rows
 
 
 def weekly_velocity(spark, sf_dir):
@@ -95,15 +100,16 @@ def pr_metrics(spark, sf_dir):
 
 def pr_drilldown(spark, sf_dir):
     """Upper median and, from twenty merges, the value at index n*95/100."""
-    rows = _merged(spark, sf_dir).where("h between 0.5 and 720").groupBy("author").agg(F.array_sort(F.collect_list("h")).alias("hs"))
-    n = F.size("hs")
-    return rows.select("author", n.cast("long").alias("n"), F.try_element_at("hs", (F.floor(n / 2) + 1).cast("int")).alias("median_hours"), F.when(n >= 20, F.try_element_at("hs", (F.floor(n * 95 / 100) + 1).cast("int"))).alias("p95_hours"))
+    rows = _merged(spark, sf_dir).where("h between 0.5 and 720").select("author", "h")
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("author").orderBy("h"))).withColumn("n", F.count("*").over(Window.partitionBy("author")))
+    at = lambda place: F.max(F.when(F.col("place") == place, F.col("h")))
+    return rows.groupBy("author", "n").agg(at(F.floor(F.col("n") / 2) + 1).alias("median_hours"), F.when(F.col("n") >= 20, at(F.floor(F.col("n") * 95 / 100) + 1)).alias("p95_hours"))
 
 
 def _efforts(spark, sf_dir):
     rows = model.files(spark, sf_dir)
     loc = F.col("insertions") + F.col("deletions")
-    test = F.when(F.col("path").rlike(r"_test\.rs$"), loc).otherwise(0)
+    test = F.when(textfx.is_test_path(F.col("path")), loc).otherwise(0)
     rows = rows.groupBy("commit_id").agg(F.sum(loc).alias("loc"), F.countDistinct("path").alias("n_files"), F.sum(test).alias("test_loc"))
     return rows.withColumn("score", scoring.effort(F.col("loc"), F.col("n_files"), F.col("test_loc")))
 
@@ -145,8 +151,10 @@ def weekly_quality(spark, sf_dir):
 def quality_summary(spark, sf_dir):
     rows = _classified(spark, sf_dir).agg(F.count("*").alias("commits"), _n(F.col("category") == "bugfix", "b"), _n(textfx.is_revert(F.col("message")), "reverts"))
     rows = rows.withColumn("bugfixes", F.greatest("b", "reverts"))
-    score = 1 - F.lit(0.4) * F.col("bugfixes") / F.col("commits") - F.lit(0.6) * F.col("reverts") / F.col("commits")
-    return rows.select("commits", "bugfixes", "reverts", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"), (F.col("bugfixes") / (F.col("commits") - F.col("bugfixes"))).alias("defect_ratio"))
+    score = 1 - F.lit(0.4) * F.try_divide("bugfixes", "commits") - F.lit(0.6) * F.try_divide("reverts", "commits")
+    score = F.when(F.col("commits") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).otherwise(F.lit(0.0))
+    defects = F.when(F.col("commits") > F.col("bugfixes"), F.try_divide("bugfixes", F.col("commits") - F.col("bugfixes"))).otherwise(F.lit(0.0))
+    return rows.select("commits", F.coalesce("bugfixes", F.lit(0)).alias("bugfixes"), F.coalesce("reverts", F.lit(0)).alias("reverts"), score.alias("score"), defects.alias("defect_ratio"))
 
 
 def weekly_engineer(spark, sf_dir):
@@ -156,12 +164,17 @@ def weekly_engineer(spark, sf_dir):
 
 
 def developer_activity(spark, sf_dir):
-    """Min-max normalised weighted score; a factor without range counts 0."""
-    rows = model.commits(spark, sf_dir).where("not is_merge").groupBy("author_email").agg(F.count("*").alias("commits"), F.sum(F.col("insertions") + F.col("deletions")).alias("lines"), F.sum("files_changed").alias("files"), F.countDistinct(F.to_date("ts")).alias("days"))
-    span = rows.agg(*[f(c).alias(f"{n}_{c}") for c in ("commits", "lines", "files", "days") for n, f in (("low", F.min), ("high", F.max))])  # one row
+    """Min-max normalised score of five factors: commits, pull requests (not known by author: constant 0), lines, files a commit, and commits with a category.
+
+    A factor without range counts 0. The work type is the most frequent category, ties to the first by name."""
+    rows = _classified(spark, sf_dir)
+    kinds = rows.groupBy("author_email", "category").agg(F.count("*").alias("n")).groupBy("author_email").agg(F.min(F.struct(-F.col("n"), "category"))["category"].alias("work_type"), F.sum("n").alias("categorised"))
+    rows = rows.groupBy("author_email").agg(F.count("*").alias("commits"), F.sum(F.col("insertions") + F.col("deletions")).alias("lines"), (F.sum("files_changed") / F.count("*")).alias("files_per_commit"), F.countDistinct("week_label").alias("weeks"))
+    rows = rows.join(kinds, "author_email").withColumn("prs", F.lit(0).cast("long"))
+    span = rows.agg(*[f(c).alias(f"{n}_{c}") for c, _ in ACTIVITY_WEIGHTS for n, f in (("low", F.min), ("high", F.max))])  # one row
     unit = lambda c: F.when(F.col(f"high_{c}") == F.col(f"low_{c}"), F.lit(0.0)).otherwise((F.col(c) - F.col(f"low_{c}")) / (F.col(f"high_{c}") - F.col(f"low_{c}")))
-    score = F.lit(0.22) * unit("commits") + F.lit(0.26) * unit("lines") + F.lit(0.11) * unit("files") + F.lit(0.15) * unit("days")
-    return rows.crossJoin(F.broadcast(span)).select("author_email", "commits", "lines", "files", "days", score.alias("score"))
+    score = sum((F.lit(w) * unit(c) for c, w in ACTIVITY_WEIGHTS), F.lit(0.0))
+    return rows.crossJoin(F.broadcast(span)).select("author_email", "commits", "prs", "lines", "files_per_commit", "categorised", "weeks", (F.col("commits") / F.col("weeks")).alias("commits_per_week"), "work_type", score.alias("score"))
 
 
 def coverage(spark, sf_dir):
@@ -202,8 +215,8 @@ def churn(spark, sf_dir):
 def debt_rollup(spark, sf_dir):
     """Counts by tier, dimension, repository and tier, tier and dimension, and in total, in one pass."""
     rows = _classified(spark, sf_dir).select("repository", F.when(F.col("insertions") > 400, "high").when(F.col("insertions") > 150, "medium").otherwise("low").alias("tier"), F.col("top_level").alias("dimension"))
-    rows.createOrReplaceTempView("tidemark_debt")
-    return rows.sparkSession.sql("SELECT tier, dimension, repository, count(*) AS n FROM tidemark_debt GROUP BY GROUPING SETS ((tier), (dimension), (repository, tier), (tier, dimension), ())")
+    tier, dimension, repository = F.col("tier"), F.col("dimension"), F.col("repository")
+    return rows.groupingSets([[tier], [dimension], [repository, tier], [tier, dimension], []], tier, dimension, repository).agg(F.count("*").alias("n"))
 
 
 def untracked(spark, sf_dir):
@@ -246,8 +259,9 @@ def week_gaps(spark, sf_dir):
 
 
 def repository_trend(spark, sf_dir):
-    """Least-squares slope of commits over months: improving beyond 0.1, declining below -0.1."""
-    rows = model.commits(spark, sf_dir).groupBy("repository", (F.year("ts") * 12 + F.month("ts")).alias("x")).agg(F.count("*").alias("y"))
+    """Least-squares slope of commits over the months that have commits, numbered from 0: improving beyond 0.1, declining below -0.1."""
+    rows = model.commits(spark, sf_dir).groupBy("repository", (F.year("ts") * 12 + F.month("ts")).alias("month")).agg(F.count("*").alias("y"))
+    rows = rows.withColumn("x", F.row_number().over(Window.partitionBy("repository").orderBy("month")) - 1)
     x, y = F.col("x").cast("long"), F.col("y")
     n, sx, sy, sxy, sxx = F.count("*"), F.sum(x), F.sum(y), F.sum(x * y), F.sum(x * x)
     slope = F.when(n * sxx - sx * sx == 0, F.lit(0.0)).otherwise((n * sxy - sx * sy) / (n * sxx - sx * sx))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
@@ -85,11 +85,23 @@ def _people(spark, sf_dir):
 
 
 def near_identities(spark, sf_dir):
-    """Pairs of one domain whose local parts differ by one or two edits; the domain blocks the join."""
-    a = _people(spark, sf_dir)
-    b = a.select(F.col("id").alias("other"), "domain", F.col("local").alias("other_local"))
-    d = F.levenshtein("local", "other_local")
-    pairs = a.join(b, "domain").where("id < other").withColumn("edits", d.cast("long")).where("edits between 1 and 2")
+    """Pairs of one domain whose local parts differ by one or two edits."""
+    return near_people(_people(spark, sf_dir))
+
+
+def _shorter(words):
+    """The words, and each without any one of its characters."""
+    return F.array_distinct(F.concat(words, F.flatten(F.transform(words, lambda s: F.transform(F.filter(F.sequence(F.lit(0), F.length(s)), lambda i: i > 0), lambda i: F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1)))))))
+
+
+def near_people(people: DataFrame) -> DataFrame:
+    """id, other, edits, confidence of people (id, domain, local) of one domain with local parts one or two edits apart.
+
+    Two words within two edits have a form in common after at most two deletions each, so they meet on (domain, form), never all pairs of a domain."""
+    forms = people.select("id", "domain", "local", F.explode(_shorter(_shorter(F.array("local")))).alias("form"))
+    other = forms.select(F.col("id").alias("other"), "domain", F.col("local").alias("other_local"), "form")
+    pairs = forms.join(other, ["domain", "form"]).where("id < other").select("id", "other", "local", "other_local").distinct()
+    pairs = pairs.withColumn("edits", F.levenshtein("local", "other_local").cast("long")).where("edits between 1 and 2")
     return pairs.select("id", "other", "edits", F.when(F.col("edits") == 1, 0.85).otherwise(0.78).alias("confidence"))
 
 

@@ -21,7 +21,7 @@ QUERIES = {
     "licence_policy": (auditing.licence_policy, f"SELECT CASE WHEN e = '' THEN 'unlicensed' ELSE {auditing.VERDICTS}[CASE WHEN list_min(r) = 1 THEN 1 ELSE list_max(r) END] END AS verdict, count(*) AS packages FROM (SELECT e, list_transform(regexp_split_to_array(e, ' (?:AND|OR) '), lambda t: {_RANK}) AS r FROM (SELECT {_choice(auditing.EXPRESSIONS, 'p_partkey')} AS e FROM part)) GROUP BY 1", ()),
     "advisory_rollup": (auditing.advisory_rollup, "SELECT p_partkey, points, uses, severity FROM scored_parts JOIN (SELECT l_partkey AS p_partkey, count(*) AS uses FROM lineitem GROUP BY 1) USING (p_partkey) ORDER BY points DESC, uses DESC, p_partkey LIMIT 10", (_SCORED,)),
     "severities": (auditing.severities, "SELECT severity, count(*) AS packages FROM scored_parts GROUP BY 1", (_SCORED,)),
-    "citations": (auditing.citations, "SELECT doc_id, line, CASE WHEN trim(lines[line]) = quote THEN 'verified' WHEN list_contains(list_transform(lines, lambda x: trim(x)), quote) THEN 'moved' ELSE 'missing' END AS verdict FROM (SELECT doc_id, lines, doc_id % 3 + 1 AS line, CASE WHEN doc_id % 4 = 0 THEN 'no such line' ELSE trim(lines[least(len(lines), 2)]) END AS quote FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents WHERE doc_id % 5 = 0))", ()),
+    "citations": (auditing.citations, "SELECT doc_id, line, CASE WHEN trim(lines[line]) = quote THEN 'verified' WHEN list_contains(list_transform(lines, lambda x: trim(x)), quote) THEN 'moved' ELSE 'missing' END AS verdict FROM (SELECT doc_id, lines, (quoted + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END) % len(lines) + 1 AS line, CASE WHEN doc_id % 4 = 0 THEN 'no such line' ELSE trim(lines[quoted + 1]) END AS quote FROM (SELECT doc_id, lines, doc_id * 7 % len(lines) AS quoted FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)))", ()),
     "coverage_rollup": (auditing.coverage_rollup, "SELECT repository, count(*) AS n, floor(count(*) FILTER (WHERE ticketed) * 1000.0::DOUBLE / count(*) + 0.5::DOUBLE) / 10.0::DOUBLE AS pct FROM commits WHERE NOT is_merge GROUP BY 1", ()),
     "text_scan": (auditing.text_scan, " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count({c}) AS n, count(*) - count({c}) AS nulls, max(length({c})) AS longest, count(*) FILTER (WHERE regexp_matches({c}, {_q(auditing.DIFF)})) AS diff_like FROM {t}" for t, c in auditing.TEXTS), ()),
     "table_counts": (auditing.table_counts, " UNION ALL ".join(f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS n, (SELECT count(*) FROM (DESCRIBE {t})) AS n_columns" for t in auditing.TABLES), ()),

@@ -52,28 +52,28 @@ _ALL = {
     "commit_summary": (report.commit_summary, f"SELECT author_email, count(*) AS commits, {_if('ticketed')} AS ticketed, min(ts) AS first_at, max(ts) AS last_at, array_to_string(list_sort(list(DISTINCT repository)), ',') AS repositories FROM commits WHERE NOT is_merge GROUP BY author_email", ()),
     "period_trends": (report.period_trends, f"SELECT author_email, CAST(date_diff('day', anchor, monday) // 28 AS BIGINT) AS period, count(*) AS commits, {_if(chr(99) + 'ategory = ' + repr('bugfix'))} AS bugfixes, CAST(sum(insertions) AS BIGINT) AS insertions FROM (SELECT *, CAST(date_trunc('week', ts) AS DATE) AS monday, min(CAST(date_trunc('week', ts) AS DATE)) OVER (PARTITION BY author_email) AS anchor FROM classified WHERE NOT is_merge) GROUP BY 1, 2", (CLASSIFIED,)),
     "weekly_quality": (report.weekly_quality, f"SELECT *, CASE WHEN score <= 0.20::DOUBLE THEN 'XS' WHEN score <= 2.0::DOUBLE * 0.20::DOUBLE THEN 'S' WHEN score <= 3.0::DOUBLE * 0.20::DOUBLE THEN 'M' WHEN score <= 4.0::DOUBLE * 0.20::DOUBLE THEN 'L' ELSE 'XL' END AS size FROM (SELECT author_email, week_label, repository, commits, reverts, bugfixes, ticketed, 0.35::DOUBLE * (1 - least(reverts / commits, 1.0::DOUBLE)) + 0.40::DOUBLE * (1 - least(bugfixes / commits, 1.0::DOUBLE)) + 0.25::DOUBLE * least(ticketed / commits, 1.0::DOUBLE) AS score FROM ({_ACTIVITY}))", (CLASSIFIED,)),
-    "quality_summary": (report.quality_summary, f"SELECT commits, bugfixes, reverts, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - 0.4::DOUBLE * bugfixes / commits - 0.6::DOUBLE * reverts / commits)) AS score, bugfixes / (commits - bugfixes) AS defect_ratio FROM (SELECT commits, greatest(b, reverts) AS bugfixes, reverts FROM (SELECT count(*) AS commits, {_if(chr(99) + 'ategory = ' + repr('bugfix'))} AS b, {_if(_REVERT)} AS reverts FROM classified WHERE NOT is_merge))", (CLASSIFIED,)),
+    "quality_summary": (report.quality_summary, f"SELECT commits, bugfixes, reverts, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - 0.4::DOUBLE * bugfixes / commits - 0.6::DOUBLE * reverts / commits)) AS score, CASE WHEN commits > bugfixes THEN bugfixes / (commits - bugfixes) ELSE 0.0::DOUBLE END AS defect_ratio FROM (SELECT commits, greatest(b, reverts) AS bugfixes, reverts FROM (SELECT count(*) AS commits, {_if(chr(99) + 'ategory = ' + repr('bugfix'))} AS b, {_if(_REVERT)} AS reverts FROM classified WHERE NOT is_merge))", (CLASSIFIED,)),
     "weekly_engineer": (report.weekly_engineer, f"SELECT week_label, author_email, repository, greatest(commits - reverts, 0) AS net, CASE WHEN commits > reverts THEN ai_assisted * 100.0::DOUBLE / (commits - reverts) ELSE 0.0::DOUBLE END AS agentic_pct FROM ({_ACTIVITY})", (CLASSIFIED,)),
-    "developer_activity": (report.developer_activity, "SELECT author_email, commits, lines, files, days, " + " + ".join(f"{w}::DOUBLE * (CASE WHEN max({c}) OVER () = min({c}) OVER () THEN 0.0::DOUBLE ELSE ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) END)" for c, w in (("commits", 0.22), ("lines", 0.26), ("files", 0.11), ("days", 0.15))) + " AS score FROM (SELECT author_email, count(*) AS commits, CAST(sum(insertions + deletions) AS BIGINT) AS lines, CAST(sum(files_changed) AS BIGINT) AS files, count(DISTINCT CAST(ts AS DATE)) AS days FROM commits WHERE NOT is_merge GROUP BY author_email)", ()),
+    "developer_activity": (report.developer_activity, "SELECT author_email, commits, prs, lines, files_per_commit, categorised, weeks, commits / weeks AS commits_per_week, work_type, " + " + ".join(["0.0::DOUBLE"] + [f"{w}::DOUBLE * (CASE WHEN max({c}) OVER () = min({c}) OVER () THEN 0.0::DOUBLE ELSE ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) END)" for c, w in (("commits", 0.22), ("prs", 0.26), ("lines", 0.26), ("files_per_commit", 0.11), ("categorised", 0.15))]) + f" AS score FROM (SELECT author_email, count(*) AS commits, CAST(0 AS BIGINT) AS prs, CAST(sum(insertions + deletions) AS BIGINT) AS lines, CAST(sum(files_changed) AS DOUBLE) / count(*) AS files_per_commit, count(category) AS categorised, count(DISTINCT {_ISO.format('ts')}) AS weeks FROM classified WHERE NOT is_merge GROUP BY author_email) JOIN (SELECT author_email, category AS work_type FROM (SELECT author_email, category, row_number() OVER (PARTITION BY author_email ORDER BY count(*) DESC, category) AS place FROM classified WHERE NOT is_merge GROUP BY 1, 2) WHERE place = 1) USING (author_email)", (CLASSIFIED,)),
     "coverage": (report.coverage, f"SELECT coalesce(repository, '(all)') AS repository, count(*) AS total, {_if('confidence > 0.3::DOUBLE')} AS classified, {_if('confidence > 0.3::DOUBLE')} * 100.0::DOUBLE / count(*) AS pct FROM classified GROUP BY ROLLUP (repository)", (CLASSIFIED,)),
     "bus_factor": (report.bus_factor, "SELECT subsystem, max(total) AS touches, count(*) AS authors, max(n) * 100.0::DOUBLE / max(total) AS top_pct, min(CASE WHEN run * 2 >= total THEN place END) AS bus_factor FROM (SELECT subsystem, n, CAST(sum(n) OVER (PARTITION BY subsystem ORDER BY n DESC, author_email ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run, row_number() OVER (PARTITION BY subsystem ORDER BY n DESC, author_email) AS place, CAST(sum(n) OVER (PARTITION BY subsystem) AS BIGINT) AS total FROM (SELECT split_part(path, '/', 1) AS subsystem, author_email, count(*) AS n FROM touched GROUP BY 1, 2)) GROUP BY subsystem", (_TOUCHED,)),
     "single_author_paths": (report.single_author_paths, "SELECT path, count(DISTINCT author_email) AS authors, min(author_email) AS author, count(*) AS touches FROM touched GROUP BY path HAVING count(DISTINCT author_email) = 1", (_TOUCHED,)),
     "monthly_trajectory": (report.monthly_trajectory, "SELECT strftime(ts, '%Y-%m') AS month, count(DISTINCT author_email) AS authors, count(DISTINCT sha) AS commits FROM commits GROUP BY 1 ORDER BY 1 DESC LIMIT 12", ()),
     "churn": (report.churn, "SELECT path, count(DISTINCT commit_id) AS commits, count(DISTINCT author_email) AS authors, CAST(sum(insertions) AS BIGINT) AS insertions, CAST(sum(deletions) AS BIGINT) AS deletions, CASE WHEN count(DISTINCT commit_id) >= 20 THEN 'red' WHEN count(DISTINCT commit_id) >= 5 THEN 'amber' ELSE 'green' END AS severity FROM touched GROUP BY path ORDER BY commits DESC, path LIMIT 20", (_TOUCHED,)),
     "debt_rollup": (report.debt_rollup, "SELECT tier, dimension, repository, count(*) AS n FROM (SELECT repository, CASE WHEN insertions > 400 THEN 'high' WHEN insertions > 150 THEN 'medium' ELSE 'low' END AS tier, top_level AS dimension FROM classified WHERE NOT is_merge) GROUP BY GROUPING SETS ((tier), (dimension), (repository, tier), (tier, dimension), ())", (CLASSIFIED,)),
-    "untracked": (report.untracked, "SELECT sha, repository, ts, substr(message, 1, 40) AS subject FROM commits WHERE NOT is_merge AND NOT ticketed", ()),
+    "untracked": (report.untracked, "SELECT sha, name AS author, repository, ts, regexp_replace(split_part(message, chr(10), 1), '\\r$', '') AS subject FROM classified JOIN (SELECT author_email, arg_min(author_name, ROW(-strlen(author_name), CAST(substr(author_name, 5) AS INTEGER))) AS name FROM commits WHERE NOT is_merge GROUP BY 1) USING (author_email) WHERE NOT is_merge AND NOT ticketed AND category <> 'boilerplate'", (CLASSIFIED,)),
     "classified_commits": (report.classified_commits, "SELECT sha, CASE WHEN id % 19 = 0 THEN 'override' ELSE rule_id END AS rule_id, CASE WHEN id % 19 = 0 THEN 'override' ELSE category END AS category, CASE WHEN id % 19 = 0 THEN 1.0::DOUBLE ELSE confidence END AS confidence, CASE WHEN id % 19 = 0 THEN 'manual' ELSE method END AS method, CASE WHEN id % 19 = 0 THEN 'platform' ELSE top_level END AS top_level, CASE WHEN id % 19 = 0 THEN 'upkeep' ELSE bucket END AS bucket FROM classified", (CLASSIFIED,)),
     "bucket_counts": (report.bucket_counts, "SELECT bucket, count(*) AS n, count(DISTINCT author_email) AS authors FROM classified WHERE NOT is_merge GROUP BY bucket", (CLASSIFIED,)),
     "tickets": (report.tickets, f"SELECT sha, coalesce(nullif(regexp_extract(message, '\\b([A-Z][A-Z0-9]+-[0-9]+)\\b', 1), ''), nullif(regexp_extract(message, '(#[0-9]+)', 1), '')) AS ticket, {_REVERT} AS is_revert, CAST(len(string_split(trim(message), ' ')) AS BIGINT) AS words FROM commits", ()),
     "week_drift": (report.week_drift, f"SELECT week_label, repositories, lag(repositories) OVER (ORDER BY week_label) AS before, repositories - lag(repositories) OVER (ORDER BY week_label) AS drift FROM (SELECT {_ISO.format('ts')} AS week_label, count(DISTINCT repository) AS repositories FROM commits GROUP BY 1)", ()),
-    "week_gaps": (report.week_gaps, f"SELECT {_ISO.format('monday')} AS week_label, coalesce(n, 0) AS commits FROM (SELECT unnest(generate_series(min(date_trunc('week', ts)), max(date_trunc('week', ts)), INTERVAL 7 DAY)) AS monday FROM commits WHERE id % 40 = 1) LEFT JOIN (SELECT date_trunc('week', ts) AS monday, count(*) AS n FROM commits WHERE id % 40 = 1 GROUP BY 1) USING (monday)", ()),
-    "repository_trend": (report.repository_trend, "SELECT repository, slope, CASE WHEN slope > 0.1 THEN 'improving' WHEN slope < -0.1 THEN 'declining' ELSE 'stable' END AS trend FROM (SELECT repository, CASE WHEN n * sxx - sx * sx = 0 THEN 0.0::DOUBLE ELSE CAST(n * sxy - sx * sy AS DOUBLE) / (n * sxx - sx * sx) END AS slope FROM (SELECT repository, count(*) AS n, CAST(sum(x) AS BIGINT) AS sx, CAST(sum(y) AS BIGINT) AS sy, CAST(sum(x * y) AS BIGINT) AS sxy, CAST(sum(x * x) AS BIGINT) AS sxx FROM (SELECT repository, year(ts) * 12 + month(ts) AS x, count(*) AS y FROM commits GROUP BY 1, 2) GROUP BY 1))", ()),
+    "week_gaps": (report.week_gaps, f"SELECT {_ISO.format('monday')} AS week_label, coalesce(n, 0) AS commits FROM (SELECT unnest(generate_series(min(date_trunc('week', ts)), max(date_trunc('week', ts)), INTERVAL 7 DAY)) AS monday FROM commits) LEFT JOIN (SELECT date_trunc('week', ts) AS monday, count(*) AS n FROM commits GROUP BY 1) USING (monday)", ()),
+    "repository_trend": (report.repository_trend, "SELECT repository, slope, CASE WHEN slope > 0.1 THEN 'improving' WHEN slope < -0.1 THEN 'declining' ELSE 'stable' END AS trend FROM (SELECT repository, CASE WHEN n * sxx - sx * sx = 0 THEN 0.0::DOUBLE ELSE CAST(n * sxy - sx * sy AS DOUBLE) / (n * sxx - sx * sx) END AS slope FROM (SELECT repository, count(*) AS n, CAST(sum(x) AS BIGINT) AS sx, CAST(sum(y) AS BIGINT) AS sy, CAST(sum(x * y) AS BIGINT) AS sxy, CAST(sum(x * x) AS BIGINT) AS sxx FROM (SELECT repository, row_number() OVER (PARTITION BY repository ORDER BY year(ts) * 12 + month(ts)) - 1 AS x, count(*) AS y FROM commits GROUP BY repository, year(ts) * 12 + month(ts)) GROUP BY 1))", ()),
     "deploy_frequency": (delivery.deploy_frequency, f"SELECT repo, {_CAL.format('triggered_at')} AS week_label, count(*) AS deployments FROM deployments WHERE status = 'success' GROUP BY 1, 2", ()),
     "lead_times": (delivery.lead_times, "SELECT deploy_id, repo, CAST(lead_hours AS DOUBLE) AS lead_hours FROM leads", (_LEADS,)),
     "deployment_failures": (delivery.deployment_failures, "SELECT deploy_id, repo, commit_id FROM failures", (_FAILED,)),
     "change_failure_rate": (delivery.change_failure_rate, f"SELECT {_CAL.format('triggered_at')} AS week_label, count(*) AS deployments, count(commit_id) AS failures, count(commit_id) * 100.0::DOUBLE / count(*) AS cfr_pct FROM deployments LEFT JOIN failures USING (deploy_id) GROUP BY 1", (_FAILED,)),
     "recovery_time": (delivery.recovery_time, "SELECT * FROM mttr", (_MTTR,)),
-    "delivery_summary": (delivery.delivery_summary, f"SELECT repo, deployments, deployments / weeks AS per_week, coalesce(leads, 0) AS leads, coalesce(failures, 0) * 100.0::DOUBLE / deployments AS cfr_pct, mttr_hours, CASE WHEN deployments / weeks >= 7 AND coalesce(failures, 0) * 100.0 / deployments <= 15 THEN 'elite' WHEN deployments / weeks >= 1 AND coalesce(failures, 0) * 100.0 / deployments <= 30 THEN 'high' WHEN deployments / weeks >= 0.25 THEN 'medium' ELSE 'low' END AS level FROM (SELECT repo, count(*) AS deployments, count(DISTINCT {_CAL.format('triggered_at')}) AS weeks FROM deployments GROUP BY 1) LEFT JOIN (SELECT repo, count(*) AS leads FROM leads GROUP BY 1) USING (repo) LEFT JOIN (SELECT repo, count(*) AS failures FROM failures GROUP BY 1) USING (repo) LEFT JOIN mttr USING (repo)", (_LEADS, _FAILED, _MTTR)),
+    "delivery_summary": (delivery.delivery_summary, f"SELECT repo, deployments, per_week, coalesce(leads, 0) AS leads, lead_hours, cfr_pct, mttr_hours, CASE WHEN per_week >= 1 AND coalesce(lead_hours, 1e300) < 1 AND cfr_pct / 100 < 0.15 AND coalesce(mttr_hours, 0) < 1 THEN 'elite' WHEN per_week >= 0.25 AND coalesce(lead_hours, 1e300) < 168 AND cfr_pct / 100 < 0.3 AND coalesce(mttr_hours, 0) < 24 THEN 'high' WHEN per_week >= 0.04 AND coalesce(lead_hours, 1e300) < 720 AND cfr_pct / 100 < 0.3 AND coalesce(mttr_hours, 0) < 168 THEN 'medium' ELSE 'low' END AS level FROM (SELECT *, deployments / weeks AS per_week, coalesce(failures, 0) * 100.0::DOUBLE / deployments AS cfr_pct FROM (SELECT repo, count(*) AS deployments, count(DISTINCT {_CAL.format('triggered_at')}) AS weeks FROM deployments GROUP BY 1) LEFT JOIN (SELECT repo, count(*) AS leads, CAST(round(sum(lead_hours * 3600)) AS BIGINT) / count(*) / 3600.0::DOUBLE AS lead_hours FROM leads GROUP BY 1) USING (repo) LEFT JOIN (SELECT repo, count(*) AS failures FROM failures GROUP BY 1) USING (repo) LEFT JOIN mttr USING (repo))", (_LEADS, _FAILED, _MTTR)),
     "bugfix_gap": (delivery.bugfix_gap, "SELECT repository, count(*) AS n, CASE WHEN count(*) < 2 THEN 0.0::DOUBLE ELSE CAST(date_diff('microsecond', min(ts), max(ts)) // 1000000 AS DOUBLE) / (count(*) - 1) / 3600.0 END AS gap_hours FROM activity WHERE message LIKE 'hotfix%' GROUP BY repository", ()),
     "latest_events": (delivery.latest_events, "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS place FROM events) WHERE place = 1", ()),
     "completions_per_quarter": (tracker.completions_per_quarter, "SELECT team, quarter_label, count(*) AS n FROM (SELECT unnest([team_key, '(all)']) AS team, year(completed_at) || '-Q' || quarter(completed_at) AS quarter_label FROM issues WHERE completed_at IS NOT NULL) GROUP BY 1, 2", ()),
@@ -93,7 +93,7 @@ _ALL = {
     "confusion": (tracker.confusion, "SELECT predicted, label, n FROM cells", (CLASSIFIED, _JUDGED)),
     "kappa": (tracker.kappa, "SELECT observed, expected, CASE WHEN expected < 1 THEN (observed - expected) / (1 - expected) END AS kappa FROM (SELECT CAST(same AS DOUBLE) / t AS observed, CAST(c AS DOUBLE) / (t * t) AS expected FROM (SELECT CAST(sum(n) AS BIGINT) AS t, CAST(sum(n) FILTER (WHERE predicted = label) AS BIGINT) AS same FROM cells), (SELECT CAST(sum(a * b) AS BIGINT) AS c FROM (SELECT predicted AS k, CAST(sum(n) AS BIGINT) AS a FROM cells GROUP BY 1) JOIN (SELECT label AS k, CAST(sum(n) AS BIGINT) AS b FROM cells GROUP BY 1) USING (k)))", (CLASSIFIED, _JUDGED)),
     "allocation": (tracker.allocation, "SELECT repository, n, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, repository) <= 1000 - CAST(sum(base) OVER () AS BIGINT) THEN 1 ELSE 0 END AS share FROM (SELECT repository, n, n * 1000 // total AS base, n * 1000 % total AS rest FROM (SELECT repository, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM commits GROUP BY repository))", ()),
-    "unlinked": (tracker.unlinked, "SELECT who, 'pr only' AS side FROM (SELECT who FROM p EXCEPT SELECT who FROM c) UNION ALL SELECT who, 'commit only' FROM (SELECT who FROM c EXCEPT SELECT who FROM p)", ("c AS (SELECT DISTINCT split_part(author_email, '@', 1) AS who FROM commits WHERE author_id % 4 <> 0), p AS (SELECT DISTINCT author AS who FROM pull_requests WHERE author <> '' AND pr_number % 3 = 0)",)),
+    "unlinked": (tracker.unlinked, "SELECT who, 'pr only' AS side FROM (SELECT who FROM p EXCEPT SELECT who FROM c) UNION ALL SELECT who, 'commit only' FROM (SELECT who FROM c EXCEPT SELECT who FROM p)", ("c AS (SELECT DISTINCT split_part(author_email, '@', 1) AS who FROM commits), p AS (SELECT DISTINCT author AS who FROM pull_requests WHERE author <> '')",)),
     "identities": (tracker.identities, "SELECT split_part(author_email, '@', 1) AS who FROM commits UNION SELECT author FROM pull_requests WHERE author <> ''", ()),
     "page_text": (tracker.page_text, "SELECT page_id, length(t) AS n_chars, CAST(CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS BIGINT) AS words FROM (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM pages)", ()),
     "redacted": (tracker.redacted, "SELECT doc_id, sha256(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '<email>', 'g')) AS text_sha256 FROM documents", ()),
