@@ -1,4 +1,4 @@
-"""The classification cascade as one ordered projection: overrides, exact words, ordered patterns, weighted and fuzzy rules, taxonomy, bucket."""
+"""A short classification for the reports: overrides, ordered patterns on the first line, taxonomy, bucket. The whole cascade is ``rule_engine``."""
 
 from __future__ import annotations
 

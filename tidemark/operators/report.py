@@ -9,6 +9,7 @@ from ..functions import scoring, textfx
 from ..functions.timefx import iso_week
 from ..sources import model
 from . import classify as cascade
+from . import rule_engine
 
 
 #: Factors of the activity score and their weights.
@@ -228,10 +229,13 @@ def untracked(spark, sf_dir):
 
 
 def classified_commits(spark, sf_dir):
-    """The whole cascade, with every nineteenth commit overridden by hand."""
-    rows = model.commits(spark, sf_dir)
-    overrides = rows.where("id % 19 = 0").select("sha", F.lit("override").alias("work_type"))
-    return cascade.classify(rows, overrides).select("sha", "rule_id", "category", "confidence", "method", "top_level", "bucket")
+    """The whole cascade with its built-in rules, with every nineteenth commit overridden by hand."""
+    rows = model.commits(spark, sf_dir).select("id", "sha", "message", "is_merge")
+    cores = spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # a small file is one split, and the cascade is all computation
+        rows = rows.repartition(cores)
+    overrides = rows.where("id % 19 = 0").select("sha", F.lit("platform").alias("work_type"))
+    return rule_engine.classify(rows, overrides=overrides).select("sha", "rule_id", "category", "subcategory", "confidence", "method", "top_level", "bucket", "ticket_id")
 
 
 def bucket_counts(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators import delivery, report, tracker
 from ..operators.classify import CLASSIFIED
 from ..sources.model import PRELUDE
-from . import auditing_sql, evaluation_sql, linking_sql, planning_sql, upkeep_sql
+from . import auditing_sql, evaluation_sql, linking_sql, planning_sql, rules_sql, upkeep_sql
 
 _ISO = "strftime({0}, '%G-W%V')"
 _CAL = "strftime({0}, '%Y-W%W')"
@@ -62,7 +62,7 @@ _ALL = {
     "churn": (report.churn, "SELECT path, count(DISTINCT commit_id) AS commits, count(DISTINCT author_email) AS authors, CAST(sum(insertions) AS BIGINT) AS insertions, CAST(sum(deletions) AS BIGINT) AS deletions, CASE WHEN count(DISTINCT commit_id) >= 20 THEN 'red' WHEN count(DISTINCT commit_id) >= 5 THEN 'amber' ELSE 'green' END AS severity FROM touched GROUP BY path ORDER BY commits DESC, path LIMIT 20", (_TOUCHED,)),
     "debt_rollup": (report.debt_rollup, "SELECT tier, dimension, repository, count(*) AS n FROM (SELECT repository, CASE WHEN insertions > 400 THEN 'high' WHEN insertions > 150 THEN 'medium' ELSE 'low' END AS tier, top_level AS dimension FROM classified WHERE NOT is_merge) GROUP BY GROUPING SETS ((tier), (dimension), (repository, tier), (tier, dimension), ())", (CLASSIFIED,)),
     "untracked": (report.untracked, "SELECT sha, name AS author, repository, ts, regexp_replace(split_part(message, chr(10), 1), '\\r$', '') AS subject FROM classified JOIN (SELECT author_email, arg_min(author_name, ROW(-strlen(author_name), CAST(substr(author_name, 5) AS INTEGER))) AS name FROM commits WHERE NOT is_merge GROUP BY 1) USING (author_email) WHERE NOT is_merge AND NOT ticketed AND category <> 'boilerplate'", (CLASSIFIED,)),
-    "classified_commits": (report.classified_commits, "SELECT sha, CASE WHEN id % 19 = 0 THEN 'override' ELSE rule_id END AS rule_id, CASE WHEN id % 19 = 0 THEN 'override' ELSE category END AS category, CASE WHEN id % 19 = 0 THEN 1.0::DOUBLE ELSE confidence END AS confidence, CASE WHEN id % 19 = 0 THEN 'manual' ELSE method END AS method, CASE WHEN id % 19 = 0 THEN 'platform' ELSE top_level END AS top_level, CASE WHEN id % 19 = 0 THEN 'upkeep' ELSE bucket END AS bucket FROM classified", (CLASSIFIED,)),
+    "classified_commits": (report.classified_commits, rules_sql.SELECT, (rules_sql.MORE,)),
     "bucket_counts": (report.bucket_counts, "SELECT bucket, count(*) AS n, count(DISTINCT author_email) AS authors FROM classified WHERE NOT is_merge GROUP BY bucket", (CLASSIFIED,)),
     "tickets": (report.tickets, f"SELECT sha, coalesce(nullif(regexp_extract(message, '\\b([A-Z][A-Z0-9]+-[0-9]+)\\b', 1), ''), nullif(regexp_extract(message, '(#[0-9]+)', 1), '')) AS ticket, {_REVERT} AS is_revert, CAST(len(string_split(trim(message), ' ')) AS BIGINT) AS words FROM commits", ()),
     "week_drift": (report.week_drift, f"SELECT week_label, repositories, lag(repositories) OVER (ORDER BY week_label) AS before, repositories - lag(repositories) OVER (ORDER BY week_label) AS drift FROM (SELECT {_ISO.format('ts')} AS week_label, count(DISTINCT repository) AS repositories FROM commits GROUP BY 1)", ()),
