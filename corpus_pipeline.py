@@ -40,7 +40,7 @@ STAGES = [
     ("personal_data", redact_personal_data),
     ("pieces", encode_pieces),
 ]
-#: Trained stages can't be said in SQL; tests hold the pipeline against plain Python.
+#: Trained stages can't be said in SQL; tests hold each stage's operator against plain Python, and the pipeline's rows against those operators.
 ORACLE_SQL = None
 
 
