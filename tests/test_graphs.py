@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators.evaluation import alike, tagged, tokens, water_fill
+from tidemark.operators.evaluation import alike, like_pairs, tagged, tokens, water_fill
 from tidemark.operators.graphs import strong_components
 
 
@@ -57,6 +57,20 @@ def test_findings_against_plain_python(spark):
     assert spark.range(1).select(alike(tokens(F.lit("a a b")), tokens(F.lit("A c"))).alias("x")).first().x == 2 / 3
 
 
+def test_like_pairs_against_all_pairs(spark):
+    rng = random.Random(7)
+    words = ["a", "a", "a", "b", "c", "d", "e", "f", "g"]
+    rows = [(i, f"p{i % 2}", [rng.choice(words) for _ in range(rng.randint(1, 9))]) for i in range(160)] + [(i, "p0", ["a"] * (i - 159)) for i in range(160, 168)]
+    frame = spark.createDataFrame(rows, "id long, profile string, tokens array<string>")
+    for least in (0.5, 0.7, 1.0):
+        want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and _likeness(" ".join(a[2]), " ".join(b[2])) >= least}
+        got = [tuple(r) for r in like_pairs(frame, least).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    empty = spark.createDataFrame([(3, "p", []), (1, "p", []), (2, "p", []), (4, "q", [])], frame.schema)
+    assert sorted(map(tuple, like_pairs(empty).collect())) == [(1, 2), (1, 3)]
+    assert like_pairs(frame.limit(0)).count() == 0
+
+
 def test_water_fill(spark):
     for sizes, total, want in [([5, 100, 100], 50, [5, 23, 22]), ([3, 4], 50, [3, 4]), ([10, 10, 10], 10, [4, 3, 3]), ([1, 2, 50], 9, [1, 2, 6])]:
         frame = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)], "stratum string, n long")

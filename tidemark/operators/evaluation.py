@@ -102,16 +102,37 @@ def alike(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
+def like_pairs(texts: DataFrame, least: float = 0.7) -> DataFrame:
+    """(a, b), a < b, of texts (id, profile, tokens) of one profile that are alike to ``least``: joined on a shared token, never all pairs.
+
+    Tokens are ordered by how many texts of the profile have them, rarest first. A list without repeats can miss at most 1 - least of its
+    own places, and so can the other, so both have a token in common before that many places from the end. A list with repeats may be like
+    a shorter one, so it misses at most what its own length allows and meets the other on any token. Empty lists are alike: each is paired
+    with the first of its profile, which is all that leaders need."""
+    words = texts.where(F.size("tokens") > 0).select("id", "profile", F.size("tokens").alias("size"), F.explode("tokens").alias("token")).groupBy("id", "profile", "size", "token").agg(F.count("*").alias("times"))
+    common = words.groupBy("profile", "token").agg(F.count("*").alias("texts"))
+    order = Window.partitionBy("id").orderBy("texts", "token")  # one text
+    words = words.join(common, ["profile", "token"]).withColumn("before", F.sum("times").over(order) - F.col("times")).withColumn("place", F.row_number().over(order) - 1).withColumn("kinds", F.count("*").over(Window.partitionBy("id")))
+    repeats = F.col("kinds") < F.col("size")
+    need = F.when(repeats, F.ceil(F.lit(least / (1 + least) - 1e-9) * (F.col("size") + 1))).otherwise(F.ceil(F.lit(least - 1e-9) * F.col("size")))
+    a = words.where(F.col("before") <= F.col("size") - need).select("profile", "token", F.col("id").alias("a"), repeats.alias("repeats"))
+    b = words.select("profile", "token", F.col("id").alias("b"), (F.col("place") <= F.col("kinds") - F.ceil(F.lit(least - 1e-9) * F.col("size"))).alias("early"))
+    met = a.join(b, ["profile", "token"]).where("a < b and (repeats or early)").select("a", "b").distinct()
+    lists = texts.select("id", "tokens")
+    met = met.join(lists.select(F.col("id").alias("a"), F.col("tokens").alias("a_tokens")), "a").join(lists.select(F.col("id").alias("b"), F.col("tokens").alias("b_tokens")), "b")
+    empty = texts.where(F.size("tokens") == 0)
+    first = empty.groupBy("profile").agg(F.min("id").alias("a"))
+    return met.where(alike(F.col("a_tokens"), F.col("b_tokens")) >= least).select("a", "b").union(empty.join(first, "profile").where("a < id").select("a", F.col("id").alias("b")))
+
+
 def tagged(findings: DataFrame, least: float = 0.7) -> DataFrame:
     """Adds leader and trend to findings (id, profile, period, text, confidence), ids in the order of time.
 
-    The first finding of a profile that a later one is like leads it. Equal texts are compared once; the pairs are those of different texts
-    within one profile, which has as many findings as a reviewer wrote. A cluster in the profile's last period is worsening if its last
+    The first finding of a profile that a later one is like leads it. Equal texts are compared once, and different ones only if they share
+    a rare enough token. A cluster in the profile's last period is worsening if its last
     confidence is more than 0.1 above its first, recurring if it is in an earlier period too, else new; a cluster that isn't is resolved."""
     texts = findings.groupBy("profile", F.coalesce("text", F.lit("")).alias("text")).agg(F.min("id").alias("id")).withColumn("tokens", tokens("text"))
-    a, b = (texts.select("profile", F.col("id").alias(n), F.col("tokens").alias(f"{n}_tokens")) for n in "ab")
-    pairs = a.join(b, "profile").where("a < b").where(alike(F.col("a_tokens"), F.col("b_tokens")) >= least)
-    lead = texts.join(leaders(texts, pairs), "id").select("profile", "text", "leader")
+    lead = texts.join(leaders(texts, like_pairs(texts, least)), "id").select("profile", "text", "leader")
     rows = findings.withColumn("text", F.coalesce("text", F.lit(""))).join(lead, ["profile", "text"])
     last = findings.groupBy("profile").agg(F.max_by("period", "id").alias("last"))
     rows = rows.join(last, "profile")
