@@ -1,9 +1,10 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import selection, work_items
+from tidemark.operators import contributors, evaluation, rule_engine, selection, upkeep, work_items
 
 
 def _values(spark, rows, schema, column):
@@ -83,3 +84,45 @@ def test_attachment_links(spark):
     items = spark.createDataFrame([("i1", "K-1"), (None, "K-2")], "linear_id string, identifier string")
     pulls = spark.createDataFrame([("OWN/repo", 5), ("Own/Repo", 5), ("own/repo", 6)], "repository string, pr_number long")
     assert [tuple(r) for r in work_items.attachment_links(attachments, items, pulls).collect()] == [("OWN/repo", 5, "K-1")]
+
+
+def test_story_points(spark):
+    raws = ['{"fields": {"Story Points": "5", "customfield_10004": 8}, "estimate": 3}', '{"fields": {"story_points": 90, "customfield_10016": 2.5}}', '{"estimate": 3}', '{"fields": {"storyPoints": {"v": 1}}, "customfield_13737": " 8 "}', '{"fields": null}', "no", None]
+    assert _values(spark, list(enumerate(raws)), "id int, raw string", work_items.story_points(F.col("raw"))) == [5.0, 2.5, 3.0, 8.0, None, None, None]
+
+
+def test_contributors(spark):
+    authors = [(1, "Ann@x", "Ann", '["ann-gh", "100%_a"]'), (2, "bo@x", "ANN", '["ann-gh2"]'), (3, None, None, None), (4, "c@x", "Cy", '["é😀b"]')]
+    authors = spark.createDataFrame(authors, "id long, canonical_email string, canonical_name string, aliases string")
+    typed = ["ANN@X", "ann", "-GH2", "gh", "%_a", "_%", "😀", "", None, "nobody", "ann"]
+    got = {r.query: (r.id, r.how) for r in contributors.find(spark.createDataFrame([(q,) for q in typed], "query string"), authors).collect()}
+    none = (None, "none")
+    assert got == {"ANN@X": (1, "email"), "ann": (1, "name"), "-GH2": (2, "alias"), "gh": (1, "alias"), "%_a": (1, "alias"), "_%": none, "😀": (4, "alias"), "": none, None: none, "nobody": none}
+    assert contributors.find(spark.createDataFrame([("x",)], "query string"), authors.limit(0)).first().how == "none"
+
+
+def test_alias_hits_against_all_pairs(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abA%_é") for _ in range(n))
+    texts, asked = [(i, word(rng.randint(0, 12))) for i in range(60)], [word(rng.randint(1, 5)) for _ in range(60)]
+    got = contributors.alias_hits(spark.createDataFrame([(q,) for q in asked], "query string"), spark.createDataFrame(texts, "id long, aliases string")).collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == {(q, i) for q in asked for i, t in texts if q.lower() in t.lower()}
+
+
+def test_walk_states(spark):
+    marks = [("a", 1, "start", "h1"), ("a", 2, "complete", "h1"), ("a", 3, "start", "h2"), ("b", 1, "start", None), ("c", 1, "start", "x"), ("c", 1, "complete", "x"), ("d", 1, "start", "x"), ("d", 2, "complete", "y"), ("e", 1, "other", "z")]
+    got = upkeep.walk_states(spark.createDataFrame(marks, "repository string, at int, kind string, head string")).collect()
+    assert {tuple(r) for r in got} == {("a", False, "h1", 3), ("b", False, None, 1), ("c", False, "x", 1), ("d", True, "y", 2)}
+
+
+def test_repredict(spark):
+    commits = spark.createDataFrame([("s1", "r", "fix: crash", False), ("s2", "r", "PROJ-1 words", False)], "sha string, repository string, message string, is_merge boolean")
+    sample = spark.createDataFrame([("s1", "r", "old", 2.0), ("s1", "r", "old", 3.0)], "sha string, repository string, category string, weight double")
+    rows = evaluation.repredict(sample, commits).collect()
+    assert sorted(r.weight for r in rows) == [2.0, 3.0] and {r.category for r in rows} != {"old"} and len({r.rules_sha256 for r in rows}) == 1
+    other = evaluation.repredict(sample, commits, rule_engine.RULES[:3]).first()
+    assert other.rules_sha256 != rows[0].rules_sha256
+    with pytest.raises(ValueError):
+        evaluation.repredict(sample.limit(0), commits)
+    with pytest.raises(ValueError):
+        evaluation.repredict(sample.withColumn("repository", F.lit("q")), commits)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import model
 from . import classify as cascade
+from . import rule_engine
 from .graphs import leaders
 from .linking import ticket_links
 
@@ -91,6 +94,31 @@ def ticket_coverage(spark, sf_dir):
     return rows.select("author", "n", "linked", "by_branch", (F.col("linked") * 100.0 / F.col("n")).alias("pct"))
 
 
+def repredict(sample: DataFrame, commits: DataFrame, rules: list[tuple] | None = None, **settings) -> DataFrame:
+    """The sample with its four prediction columns (category, subcategory, confidence, method) replaced by the cascade's verdict of today.
+
+    Rows are looked up by (sha, repository); all other columns stay. Adds ``rules_sha256``, the hash of the rules in use. A sample that is
+    empty or holds a commit that isn't known is refused, as its figures would be of other rows."""
+    predicted = ["category", "subcategory", "confidence", "method"]
+    if sample.isEmpty():
+        raise ValueError("the sample holds no rows")
+    if not sample.join(commits, ["sha", "repository"], "left_anti").isEmpty():
+        raise ValueError("the sample holds commits that are not known")
+    found = sample.select("sha", "repository").distinct().join(commits.select("sha", "repository", "message", "is_merge"), ["sha", "repository"]).dropDuplicates(["sha", "repository"])
+    verdicts = rule_engine.classify(found, rules, **settings).select("sha", "repository", *predicted)
+    used = repr(rule_engine.RULES if rules is None else rules) + repr(sorted(settings.items(), key=lambda s: s[0]))
+    rows = sample.drop(*predicted).join(verdicts, ["sha", "repository"])
+    return rows.withColumn("rules_sha256", F.lit(hashlib.sha256(used.encode()).hexdigest()))
+
+
+def repredicted(spark, sf_dir):
+    """The short classification of all commits beside the whole cascade's: how many rows change."""
+    commits = model.commits(spark, sf_dir)
+    sample = cascade.classify(commits).select("sha", "repository", "category", F.col("category").alias("before"))
+    rows = repredict(sample, commits).groupBy("before", F.col("category").alias("after")).agg(F.count("*").alias("n"))
+    return rows.withColumn("changed", ~F.col("before").eqNullSafe(F.col("after")))
+
+
 def tokens(text) -> Column:
     """Runs of letters and digits in lower case, repeats kept."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")

@@ -66,6 +66,24 @@ def walk_plan(spark, sf_dir):
     return rows.select("repository", plan.alias("p")).select("repository", "p.plan", "p.why")
 
 
+def walk_states(marks: DataFrame) -> DataFrame:
+    """repository, finished, head, changed_at from marks (repository, at, kind, head): kind is start before a walk and complete after it.
+
+    A walk that was started and never completed leaves its repository unfinished, with the head of the last complete walk (null: none);
+    at one time complete comes before start. Marks are only appended, so a lost job leaves no false state."""
+    start = F.col("kind") == "start"
+    latest, whole = F.max(F.struct("at", start.alias("start"))), F.max(F.when(F.col("kind") == "complete", F.struct("at", "head")))
+    rows = marks.where("kind in ('start', 'complete')").groupBy("repository").agg(latest.alias("l"), whole.alias("w"))
+    return rows.select("repository", (~F.col("l.start")).alias("finished"), F.col("w.head").alias("head"), F.col("l.at").alias("changed_at"))
+
+
+def walk_states_of_events(spark, sf_dir):
+    """Views as starts and purchases as completed walks of a repository."""
+    kind = F.when(F.col("event_type") == "view", "start").when(F.col("event_type") == "purchase", "complete")
+    marks = model.table(spark, sf_dir, "events").select(F.concat(F.lit("repo"), (F.col("user_id") % 25).cast("string")).alias("repository"), F.col("ts").alias("at"), kind.alias("kind"), F.col("event_id").alias("head"))
+    return walk_states(marks)
+
+
 def shared_commits(spark, sf_dir):
     """Addresses that share a commit: the pair, how many and the confidence. A commit's distinct addresses are two at most here, so min and max name the pair."""
     rows = model.commits(spark, sf_dir)

@@ -15,6 +15,11 @@ CREATED = ["$.fields.created", "$.fields['System.CreatedDate']", "$.created_at",
 PARENT = ["$.fields.parent", "$.fields['System.Parent']", "$.parent"]
 PARENT_KEYS = ["key", "identifier", "id", "number"]
 
+#: Names (letters and digits in lower case) and ids of fields for story points, and the points that are plausible.
+POINT_NAMES = ["storypoints", "storypointestimate", "estimate"]
+POINT_IDS = ["customfield_10004", "customfield_10016", "customfield_13001", "customfield_13737"]
+POINTS = (0.5, 40.0)
+
 #: Fixed value: the shape of a pull request's address.
 PULL_REQUEST = r"^https?://(?:www\.)?github\.com/([^/?#]+/[^/?#]+)/pull/\+?([0-9]+)(?:[/?#]|$)"
 
@@ -51,10 +56,26 @@ def parent(raw: Column) -> Column:
     return _first(raw, PARENT, PARENT_KEYS)
 
 
+def _keyed(key: str):
+    return lambda field: field["key"] == key
+
+
+def story_points(raw: Column) -> Column:
+    """Plausible points of a field by name (in order of names), else by id, in $.fields before the item itself; numbers or texts of numbers."""
+    tried = []
+    for text in (F.get_json_object(raw, "$.fields"), raw):
+        fields = F.array_sort(F.map_entries(F.from_json(text, "map<string,string>")))
+        named = F.filter(fields, lambda f: F.lower(F.regexp_replace(f["key"], r"[^\p{L}\p{N}]", "")).isin(POINT_NAMES))
+        by_id = [F.filter(fields, _keyed(i)) for i in POINT_IDS]
+        ordered = [F.transform(entries, lambda f: F.trim(f["value"]).try_cast("double")) for entries in [named, *by_id]]
+        tried += [F.try_element_at(F.filter(values, lambda v: v.between(*POINTS)), F.lit(1)) for values in ordered]
+    return F.coalesce(*tried)
+
+
 def fields_of(items: DataFrame) -> DataFrame:
-    """id, reporter, description, created_at and parent of items (id, raw as JSON text); null where no provider's path holds one or the text isn't JSON."""
+    """id, reporter, description, created_at, parent and points of items (id, raw as JSON text); null where no provider's path holds one or the text isn't JSON."""
     raw = F.col("raw")
-    return items.select("id", reporter(raw).alias("reporter"), description(raw).alias("description"), created(raw).alias("created_at"), parent(raw).alias("parent"))
+    return items.select("id", reporter(raw).alias("reporter"), description(raw).alias("description"), created(raw).alias("created_at"), parent(raw).alias("parent"), story_points(raw).alias("points"))
 
 
 def attachment_links(attachments: DataFrame, items: DataFrame, pull_requests: DataFrame) -> DataFrame:
@@ -74,13 +95,13 @@ def work_item_fields(spark, sf_dir):
     k, who = F.col("o_orderkey"), F.concat(F.lit("dev"), (F.col("o_custkey") % 97).cast("string"))
     day = F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00'Z'")
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    jira = text('{"fields": {"reporter": {"displayName": "', who, '"}, "created": "', day, '", "description": "<p>Do ', k.cast("string"), '</p>", "parent": {"key": "P-', (k % 50).cast("string"), '"}}}')
+    jira = text('{"fields": {"reporter": {"displayName": "', who, '"}, "Story Points": ', (k % 45).cast("string"), ', "created": "', day, '", "description": "<p>Do ', k.cast("string"), '</p>", "parent": {"key": "P-', (k % 50).cast("string"), '"}}}')
     azure = text('{"fields": {"creator": " ", "System.CreatedBy": "', who, '", "System.CreatedDate": "', day, '", "System.Parent": ', (k % 40).cast("string"), "}}")
     linear = text('{"creator": {"name": "", "emailAddress": "', who, '"}, "createdAt": "', day, '", "parent": {"identifier": "L-', (k % 30).cast("string"), '"}}')
     github = text('{"user": {"login": "', who, '"}, "created_at": "', day, '", "body": "Fix ', k.cast("string"), '"}')
     raw = F.when(k % 5 == 0, jira).when(k % 5 == 1, azure).when(k % 5 == 2, linear).when(k % 5 == 3, github).otherwise("not json")
     rows = fields_of(model.table(spark, sf_dir, "orders").select(k.alias("id"), raw.alias("raw")))
-    return rows.groupBy("reporter").agg(F.count("*").alias("n"), F.count("description").alias("described"), F.countDistinct("parent").alias("parents"), F.min("created_at").alias("first_at"))
+    return rows.groupBy("reporter").agg(F.count("*").alias("n"), F.count("description").alias("described"), F.countDistinct("parent").alias("parents"), F.min("created_at").alias("first_at"), F.sum("points").alias("points"))
 
 
 def pull_request_items(spark, sf_dir):

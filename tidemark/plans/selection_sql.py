@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import selection, work_items
+from ..operators import contributors, evaluation, selection, upkeep, work_items
 from ..operators.classify import CLASSIFIED
+from . import rules_sql
 from .linking_sql import _q
 
 _REVERTED = "regexp_matches(line, '^(revert[ :\"]|reverted )')"
@@ -29,6 +30,9 @@ _URLS = f"""urls AS (SELECT issue_id, team_key || '-' || issue_id AS identifier,
   CASE issue_id % 6 WHEN 0 THEN '/pull/' || issue_id WHEN 1 THEN '/pull/' || issue_id || '/files#r1' WHEN 2 THEN '/issues/' || issue_id WHEN 3 THEN '/pull/0' ELSE '/pull/' || issue_id || '?a=b' END AS url FROM issues),
 named AS (SELECT identifier, lower(regexp_extract(url, {_q(work_items.PULL_REQUEST)}, 1)) AS slug, TRY_CAST(regexp_extract(url, {_q(work_items.PULL_REQUEST)}, 2) AS BIGINT) AS number FROM urls)"""
 
+_ASKED = """asked AS (SELECT DISTINCT query, lower(query) AS low FROM (SELECT CASE c_custkey % 4 WHEN 0 THEN 'dev' || c_custkey || '@EXAMPLE.com' WHEN 1 THEN 'DEV ' || (c_custkey % 24) WHEN 2 THEN 'log_' || (c_custkey % 90) ELSE (c_custkey % 70) || '%' END AS query FROM customer)),
+parts AS (SELECT query, min(s_suppkey) AS a FROM asked JOIN supplier ON contains('["log_' || (s_suppkey * 7 % 60) || '%x"]', low) GROUP BY 1)"""
+
 #: name: (query, SELECT, further common table expressions)
 QUERIES = {
     "person_commits": (selection.person_commits, "SELECT category, count(*) AS n FROM classified WHERE NOT is_merge AND lower(CASE WHEN id % 7 = 0 THEN 'dev' || (id % 97) || '@example.com' ELSE author_email END) = 'dev7@example.com' GROUP BY 1", (CLASSIFIED,)),
@@ -45,6 +49,9 @@ QUERIES = {
     "delivery_origin": (selection.delivery_origin, f"{_period('with', 2024)} UNION ALL {_period('without', 1990)}", (_TOOK, _CYCLES)),
     "failure_proxy": (selection.failure_proxy, f"SELECT repository, count(*) AS commits, greatest(count(*) FILTER (WHERE category = 'bugfix'), count(*) FILTER (WHERE {_REVERTED})) / count(*) AS rate FROM classified WHERE NOT is_merge GROUP BY 1", (CLASSIFIED,)),
     "work_item_fields": (work_items.work_item_fields, """SELECT CASE WHEN o_orderkey % 5 < 4 THEN who END AS reporter, count(*) AS n, count(*) FILTER (WHERE o_orderkey % 5 IN (0, 3)) AS described,
-  count(DISTINCT CASE o_orderkey % 5 WHEN 0 THEN 'P-' || (o_orderkey % 50) WHEN 1 THEN '' || (o_orderkey % 40) WHEN 2 THEN 'L-' || (o_orderkey % 30) END) AS parents, min(CASE WHEN o_orderkey % 5 < 4 THEN CAST(o_orderdate AS DATE)::TIMESTAMP END) AS first_at FROM items GROUP BY 1""", (_ITEMS,)),
+  count(DISTINCT CASE o_orderkey % 5 WHEN 0 THEN 'P-' || (o_orderkey % 50) WHEN 1 THEN '' || (o_orderkey % 40) WHEN 2 THEN 'L-' || (o_orderkey % 30) END) AS parents, min(CASE WHEN o_orderkey % 5 < 4 THEN CAST(o_orderdate AS DATE)::TIMESTAMP END) AS first_at, CAST(sum(CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 45 BETWEEN 1 AND 40 THEN o_orderkey % 45 END) AS DOUBLE) AS points FROM items GROUP BY 1""", (_ITEMS,)),
     "pull_request_items": (work_items.pull_request_items, "SELECT repository, count(*) AS links, min(number) AS first, max(identifier) AS last FROM (SELECT DISTINCT 'org/' || repository AS repository, number, identifier FROM named JOIN pull_requests ON slug = 'org/' || repository AND number = pr_number WHERE number > 0) GROUP BY 1", (_URLS,)),
+    "contributor_queries": (contributors.contributor_queries, "SELECT query, coalesce(e, n, a) AS id, CASE WHEN e IS NOT NULL THEN 'email' WHEN n IS NOT NULL THEN 'name' WHEN a IS NOT NULL THEN 'alias' ELSE 'none' END AS how FROM asked LEFT JOIN (SELECT 'dev' || s_suppkey || '@example.com' AS low, min(s_suppkey) AS e FROM supplier GROUP BY 1) USING (low) LEFT JOIN (SELECT 'dev ' || (s_suppkey % 12) AS low, min(s_suppkey) AS n FROM supplier GROUP BY 1) USING (low) LEFT JOIN parts USING (query)", (_ASKED,)),
+    "walk_states": (upkeep.walk_states_of_events, "SELECT repository, finished, first_head AS head, at_ AS changed_at FROM (SELECT repository, arg_max(k, ROW(ts, k)) = 'purchase' AS finished, arg_max(event_id, ROW(ts, event_id)) FILTER (WHERE k = 'purchase') AS first_head, max(ts) AS at_ FROM (SELECT 'repo' || (user_id % 25) AS repository, event_type AS k, ts, event_id FROM events WHERE event_type IN ('view', 'purchase')) GROUP BY 1)", ()),
+    "repredicted": (evaluation.repredicted, "SELECT c.category AS before, n.category AS after, count(*) AS n, c.category IS DISTINCT FROM n.category AS changed FROM classified c JOIN plain n USING (sha) GROUP BY 1, 2, 4", (CLASSIFIED, rules_sql.MORE.replace("judged AS", "judged2 AS").replace("FROM judged)", "FROM judged2)"), "plain AS (SELECT sha, category FROM judged2)")),
 }
