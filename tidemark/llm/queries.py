@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, chosen_path, decontaminate, html_text, language_id, license_scan, neighbours, personal_data, pieces, quality
+from . import chat, chosen_path, decontaminate, html_text, language_id, license_scan, merkle, neighbours, personal_data, pieces, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,8 +51,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_text, op2_personal_data, op3_ngram_join, op4_decontaminate, op5_quality, op6_chat_format, op7_neighbours, op8_pieces, op9_language_id, op10_license_scan)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_html_text, op2_personal_data, op3_ngram_join, op4_decontaminate, op5_quality, op6_chat_format, op7_neighbours, op8_pieces, op9_language_id, op10_license_scan,
+            op11_merkle_manifest,
+        )
+    }
 
 
 #: The main text of pages as the tables have them: what one article element holds.
@@ -66,4 +76,4 @@ FROM (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_html_text": _OP1, "op4_decontaminate": decontaminate.ORACLE_SQL, "op6_chat_format": chat.ORACLE_SQL}
+    return {"op1_html_text": _OP1, "op4_decontaminate": decontaminate.ORACLE_SQL, "op6_chat_format": chat.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL}
