@@ -165,7 +165,8 @@ def manifest(rows: DataFrame, per_part: int = LEAVES, merged: int = MERGED) -> M
     starts = starts.select(F.col("pid").alias("home"), (F.sum("m").over(Window.orderBy("pid")) - F.col("m")).alias("base"))  # a row a partition
     ranks = spans.where("pid = home").join(F.broadcast(starts), "home").select(F.col("source").alias("named"), (F.col("base") + F.row_number().over(Window.partitionBy("home").orderBy("source")) - 1).alias("tree"))
     spans = written(spans.join(ranks, F.col("source").eqNullSafe(F.col("named"))).select("pid", "source", "n", "before", "size", F.col("tree").cast("long").alias("tree")))
-    sources = spans.where("before = 0").count()
+    found = spans.agg(F.count_if(F.col("before") == 0).alias("sources"), F.max("pid").alias("last")).first()
+    sources, groups = found.sources, (found.last or 0) + 1
 
     def climb(key, rows, spans):
         if not len(rows):
@@ -181,7 +182,7 @@ def manifest(rows: DataFrame, per_part: int = LEAVES, merged: int = MERGED) -> M
         return _rows(key[0], left, made, nodes, sizes)
 
     state = written(ordered.groupBy("pid").cogroup(spans.groupBy("pid")).applyInPandas(climb, _NODE))
-    nodes, groups = state, parts
+    nodes = state
     while groups > 1:
         groups = math.ceil(groups / merged)
         state = written(state.where("open").withColumn("grp", F.floor(F.col("grp") / merged)).groupBy("grp").applyInPandas(merge, _NODE))

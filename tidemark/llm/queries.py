@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, chosen_path, decontaminate, html_text, language_id, license_scan, merkle, neighbours, personal_data, pieces, quality
+from . import chat, chosen_path, decontaminate, html_text, language_id, license_scan, merkle, neighbours, personal_data, pieces, quality, repair
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,12 +55,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digests(_table(spark, sf_dir, "documents"))
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
             op1_html_text, op2_personal_data, op3_ngram_join, op4_decontaminate, op5_quality, op6_chat_format, op7_neighbours, op8_pieces, op9_language_id, op10_license_scan,
-            op11_merkle_manifest,
+            op11_merkle_manifest, op13_structure_repair,
         )
     }
 
@@ -76,4 +80,4 @@ FROM (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_html_text": _OP1, "op4_decontaminate": decontaminate.ORACLE_SQL, "op6_chat_format": chat.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL}
+    return {"op1_html_text": _OP1, "op4_decontaminate": decontaminate.ORACLE_SQL, "op6_chat_format": chat.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL, "op13_structure_repair": repair.ORACLE_SQL}
