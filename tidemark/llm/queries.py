@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, chosen_path, decontaminate, html_text, language_id, license_scan, merkle, neighbours, personal_data, pieces, quality, repair
+from . import chat, chosen_path, decontaminate, html_text, language_id, license_scan, merkle, neighbours, personal_data, pieces, quality, repair, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digests(_table(spark, sf_dir, "documents"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.find(_table(spark, sf_dir, "documents")))
+
+
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digests(repair.damaged(_table(spark, sf_dir, "conversations")))
 
@@ -64,7 +68,7 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             op1_html_text, op2_personal_data, op3_ngram_join, op4_decontaminate, op5_quality, op6_chat_format, op7_neighbours, op8_pieces, op9_language_id, op10_license_scan,
-            op11_merkle_manifest, op13_structure_repair,
+            op11_merkle_manifest, op12_secret_scan, op13_structure_repair,
         )
     }
 
