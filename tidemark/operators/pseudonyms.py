@@ -1,9 +1,10 @@
 """Stand-ins for names, addresses, hosts, paths, tickets and ids in texts, the same everywhere, and the way back.
 
-A text is cut into tokens by one pattern (addresses and paths whole, else words and what is between them); joined they are the text. A token's shape says whether it is
-a URL, e-mail address, id, host, path, ticket or mention. Names of people, repositories, branches and an operator's terms are a table of any size: a
-word meets it in a join by the name's first token, and the tokens that follow are compared, so the longest name counts. At one
-place addresses and hashes go before names, names before other shapes; leftmost first, without overlaps. Stand-ins are numbered by kind in order of first
+A text is cut into tokens by one pattern (addresses and paths whole, else words and what is between them). A token's shape says whether it is a URL, e-mail
+address, id, host, path, ticket or mention. Names of people, repositories, branches and an operator's terms are a table of any size: a word meets it in a join by the
+name's first token, and the tokens that follow are compared, so the longest name counts; a bitmap of fixed size over the hashes of
+first tokens keeps nearly all other words from being joined at all. At one place addresses and hashes go before names, names before other shapes; leftmost first,
+without overlaps. Stand-ins are numbered by kind in order of first
 sight over the whole table (``PERSON_1``); case does not tell names, addresses, hosts and tickets apart, nor does white space tell names. A file
 keeps its extension. ``Pseudonymised.replaced`` leads back to the very text, spelling by spelling; ``keys`` to the first spelling of a stand-in.
 
@@ -13,12 +14,16 @@ count up to 64 characters, names of files and hosts up to 255, names up to NAME_
 
 from __future__ import annotations
 
+import ipaddress
+import re
+import zlib
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import model
 from ..sources.rounds import cut
 from . import rule_engine
 from .numbering import numbered
@@ -26,6 +31,8 @@ from .numbering import numbered
 KINDS = ("EMAIL", "PERSON", "TICKET", "URL", "HOST", "PATH", "BRANCH", "REPO", "TERM", "ID")
 SAME = "SAME"  # what looks like a stand-in already; it stands for itself
 NAME_TOKENS = 15
+#: Bits of the filter of first tokens: 1 MB.
+SLOTS = 1 << 23
 
 # fmt: off
 #: File extensions; names of build files; file-like names of frameworks; labels that end or don't end host names.
@@ -45,8 +52,8 @@ PROSE_PAIRS = ["and/or", "read/write", "client/server", "input/output", "true/fa
 #: Words of the classification, which are no names by themselves.
 VOCABULARY = sorted({word for rule in rule_engine.RULES for text in (rule[1], rule[2] or "", *rule[5]) for word in text.lower().replace("-", " ").replace(":", " ").split() if word.isalpha()})
 
-# Patterns without look-around or groups that repeat, so that other engines read them alike and long texts need no stack.
-_SPACE, _WORDY, _END = r" \t\n\x0b\f\r", r"\p{L}\p{N}_", ".,;:!?)]}'\""
+# Patterns without groups that repeat, of bounded starts, so that long texts take linear time and no stack.
+_SPACE, _WORDY, _END = r" \t\n\x0b\f\r", r"\w", ".,;:!?)]}'\""
 URL = rf"[A-Za-z][A-Za-z0-9+.-]{{0,30}}://[^{_SPACE}<>\"'`]+|[gG][iI][tT]@[^{_SPACE}:/]{{1,255}}:[^{_SPACE}<>\"'`]+|[wW][wW][wW]\.[^{_SPACE}<>\"'`]+"
 EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,255}\.[A-Za-z0-9-][A-Za-z0-9.-]*"
 UUID = rf"[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}[{_WORDY}]*"
@@ -59,113 +66,193 @@ WORD = rf"[{_WORDY}]+"
 OTHER = rf"[^{_WORDY}@/~.\\%+-]+|(?s:.)"
 TOKEN = "|".join([URL, EMAIL, UUID, IPV6, PATH, DOTTED, TICKET, MENTION, WORD, OTHER])
 INNER = "|".join([TICKET, WORD, OTHER])
-_PLACEHOLDER = f"^(?:{'|'.join(KINDS)})_[0-9]+$"
-
-
-def _is(token: Column, pattern: str) -> Column:
-    return token.rlike(f"^(?:{pattern})$") if "^" not in pattern[:1] else token.rlike(pattern)
-
-
-def _found(kind: str, core: Column, lead="", tail="", ext="") -> Column:
-    text = lambda c: F.lit(c) if isinstance(c, str) else c
-    return F.struct(F.lit(kind).alias("kind"), core.alias("core"), text(lead).alias("lead"), text(tail).alias("tail"), text(ext).alias("ext"))
-
-
-def _extension(name: Column) -> Column:
-    """``.ext`` of a file name with a known extension, else nothing."""
-    last = F.element_at(F.split(name, r"\."), -1)
-    return F.when((F.instr(name, ".") > 1) & F.lower(last).isin(EXTENSIONS), F.concat(F.lit("."), last)).otherwise("")
-
-
-def _ipv6(t: Column) -> Column:
-    """Eight groups, or fewer around one double colon; the last may be four decimal parts, which count as two groups."""
-    hexed = F.regexp_replace(t, r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}$", "0:0")
-    groups = F.size(F.filter(F.split(hexed, ":"), lambda g: g != ""))
-    whole = hexed.rlike("^[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){7}$")
-    short = (F.size(F.split(hexed, "::")) == 2) & ~F.contains(hexed, F.lit(":::")) & (groups <= 7) & ~hexed.rlike("[0-9a-fA-F]{5}|^:[^:]|[^:]:$|\\.")
-    return (whole | short) & t.rlike("[0-9]")
-
-
-def _dotted(core: Column, after: Column, tail: Column) -> Column:
-    labels = F.split(core, r"\.")
-    last, head = F.element_at(labels, -1), F.slice(labels, 1, F.size(labels) - 1)
-    four = core.rlike(r"^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}$") & F.forall(labels, lambda x: x.try_cast("int") <= 255)
-    host = _found("HOST", core, "", tail)
-    known = F.lower(last).isin(EXTENSIONS)
-    marked = F.exists(head, lambda x: x.rlike("[0-9-]")) & (core == F.lower(core))
-    code = F.exists(head, lambda x: F.lower(x).isin(CODE_LABELS))
-    out = F.when(four, host).when(~last.rlike("^[A-Za-z]+$"), None).when(F.lower(labels[0]).isin(FILE_STEMS), _found("PATH", core, "", tail))
-    out = out.when(known, F.when(~F.lower(core).isin(NOT_FILES), _found("PATH", core, "", tail, F.concat(F.lit("."), last))))
-    out = out.when((F.left(after, F.lit(1)) == "(") | F.exists(labels, lambda x: x.rlike("[a-z][A-Z]")), None).when(F.lower(last).isin(HOST_SUFFIXES), host).when(F.length(last) < 2, None)
-    return out.when(F.lower(last).isin(WORD_SUFFIXES), F.when(~code, host)).when(marked, host)
-
-
-def _path(core: Column, tail: Column) -> Column:
-    parts = F.filter(F.split(core, r"[/\\]"), lambda x: x != "")
-    low = F.lower(F.array_join(parts, "/"))
-    single = F.exists(parts, lambda x: x.rlike("^[^A-Z]$"))
-    pairs = PROSE_PAIRS + ["/".join(reversed(p.split("/"))) for p in PROSE_PAIRS]
-    prose = F.forall(parts, lambda x: x.rlike("^[0-9]+$")) | ((F.size(parts) == 2) & (single | low.isin(pairs)))
-    return F.when(~prose, _found("PATH", core, "", tail, _extension(F.element_at(parts, -1))))
-
-
-def _ticket(t: Column, before: Column, after: Column, vocabulary: list[str]) -> Column:
-    prefix, number = F.regexp_extract(t, "^(.*)-([0-9]+)$", 1), F.regexp_extract(t, "^(.*)-([0-9]+)$", 2)
-    runs_on = after.rlike(rf"^[{_WORDY}]") & ~after.startswith("_")
-
-    def key(p, before):
-        loose = (F.length(p) >= 2) & (F.length(p) <= 10) & p.rlike("^[A-Za-z]+$") & ~F.lower(p).isin(TICKET_STOPS + vocabulary) & ~before.rlike(r"[-._]$") & ~after.rlike(r"^\.[0-9]")
-        return ~F.upper(p).isin(NOT_TICKETS) & ~runs_on & (~p.rlike("[a-z]") | (before.endswith("[") & after.startswith("]") & p.rlike("^[A-Za-z]+$")) | loose)
-
-    part = F.element_at(F.split(prefix, "_"), -1)
-    lead = F.left(t, F.length(prefix) - F.length(part))
-    return F.when(key(prefix, before), _found("TICKET", t)).when(F.contains(prefix, F.lit("_")) & (F.length(part) >= 2) & key(part, F.lit("")), _found("TICKET", F.concat(part, F.lit("-"), number), lead))
-
-
-def _word(t: Column, before: Column) -> Column:
-    mixed = (F.length(t) >= 32) | (t.rlike("[0-9]") & t.rlike("[a-fA-F]"))
-    git = F.substr(t, F.lit(2))
-    out = F.when(t.rlike(_PLACEHOLDER), _found(SAME, t)).when(t.rlike("^[0-9a-fA-F]{7,}$") & mixed, _found("ID", t))
-    out = out.when(t.rlike("^[gG][0-9a-fA-F]{7,}$") & ((F.length(git) >= 32) | (git.rlike("[0-9]") & git.rlike("[a-fA-F]"))), _found("ID", git, F.left(t, F.lit(1))))
-    return out.when(t.rlike("^[A-Za-z]{1,4}[0-9]{4,}$") & ~F.upper(F.regexp_replace(t, "[0-9]+$", "")).isin(NOT_TICKETS), _found("ID", t))
-
-
-def shape(t: Column, before: Column, after: Column, vocabulary: list[str], ids: list[str]) -> Column:
-    """What a token is by its shape: (kind, core, lead, tail, ext), lead and tail being left beside the stand-in, which ext is added to; null if nothing."""
-    core = F.rtrim(t, F.lit(_END))
-    tail = F.substr(t, F.length(core) + 1)
-    mention = F.rtrim(F.substr(t, F.lit(2)), F.lit("./-"))
-    out = F
-    for pattern in ids:
-        out = out.when(_is(t, pattern), _found("ID", t))
-    out = out.when(_is(t, URL) & (core != ""), _found("URL", core, "", tail)).when(_is(t, EMAIL), _found("EMAIL", core, "", tail)).when(_is(t, UUID), _found("ID", t))
-    out = out.when(t.rlike("^[0-9a-fA-F:.]+$") & F.contains(t, F.lit(":")), F.when(_ipv6(core) & ~after.rlike(rf"^[{_WORDY}:]") & ~before.rlike(r"[A-Za-z0-9_:.]$"), _found("HOST", core, "", tail)))
-    out = out.when(t.startswith("@"), F.when(_is(t, MENTION) & ~before.rlike(r"[A-Za-z0-9_.@/]$"), _found("PERSON", mention, "@", F.substr(t, F.length(mention) + 2))))
-    out = out.when(t.rlike(r"[/\\]"), F.when(_is(core, PATH), _path(core, tail))).when(F.contains(core, F.lit(".")), _dotted(core, after, tail))
-    return out.when(_is(t, TICKET), _ticket(t, before, after, vocabulary)).when(t.rlike(rf"^[{_WORDY}]+$"), _word(t, before))
-
-
-def tokens(text: Column, vocabulary: list[str] = VOCABULARY, ids: list[str] = ()) -> Column:
-    """The tokens of a text; dotted names and paths that are neither are cut further, so that names in them are seen."""
-    pattern = "|".join([*ids, TOKEN])
-    first = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-
-    def cut_up(t, i):
-        odd = t.rlike(r"[A-Za-z0-9_@].*[./\\:-]|[./\\:@-].*[A-Za-z0-9_]")
-        kept = odd & shape(t, F.coalesce(F.get(first, i - 1), F.lit("")), F.coalesce(F.get(first, i + 1), F.lit("")), list(vocabulary), list(ids)).isNull()
-        return F.when(kept, F.regexp_extract_all(t, F.lit(f"({INNER})"), F.lit(1))).otherwise(F.array(t))
-
-    return F.flatten(F.transform(first, cut_up))
+_PLACEHOLDER = re.compile(f"(?:{'|'.join(KINDS)})_[0-9]+")
+
+
+_TOKEN, _INNER, _WORDS = re.compile(TOKEN), re.compile(INNER), re.compile(WORD)
+_URL, _EMAIL, _UUID, _DOTTED, _TICKET, _MENTION, _PATH = (re.compile(f"(?:{p})") for p in (URL, EMAIL, UUID, DOTTED, TICKET, MENTION, PATH))
+_SETS = {name: frozenset(v.lower() for v in values) for name, values in (("ext", EXTENSIONS), ("stem", FILE_STEMS), ("not file", NOT_FILES), ("host", HOST_SUFFIXES), ("word", WORD_SUFFIXES), ("code", CODE_LABELS), ("not ticket", NOT_TICKETS), ("stop", TICKET_STOPS))}
+_PAIRS = frozenset(PROSE_PAIRS) | {"/".join(reversed(p.split("/"))) for p in PROSE_PAIRS}
+
+
+def _wordy(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+def _extension(name: str) -> str:
+    stem, dot, last = name.rpartition(".")
+    return dot + last if stem and last.lower() in _SETS["ext"] else ""
+
+
+def _host_or_file(name: str, after: str) -> tuple | None:
+    labels = name.split(".")
+    last, head = labels[-1], labels[:-1]
+    low = last.lower()
+    if len(labels) == 4 and all(x.isdigit() and len(x) <= 3 and int(x) <= 255 for x in labels):
+        return "HOST", ""
+    if not (last.isascii() and last.isalpha()):
+        return None
+    if labels[0].lower() in _SETS["stem"]:
+        return "PATH", ""
+    if low in _SETS["ext"]:
+        return None if name.lower() in _SETS["not file"] else ("PATH", "." + last)
+    if after == "(" or re.search("[a-z][A-Z]", name):
+        return None
+    if low in _SETS["word"]:
+        host = not any(x.lower() in _SETS["code"] for x in head)
+    else:
+        host = low in _SETS["host"] or (len(last) > 1 and name == name.lower() and any(re.search("[0-9-]", x) for x in head))
+    return ("HOST", "") if host else None
+
+
+def _is_path(text: str) -> bool:
+    parts = [x for x in re.split(r"[/\\]", text) if x]
+    if all(x.isdigit() for x in parts):
+        return False
+    return len(parts) != 2 or not (any(len(x) == 1 and not x.isupper() for x in parts) or "/".join(parts).lower() in _PAIRS)
+
+
+def _is_key(prefix: str, before: str, after: str, vocabulary) -> bool:
+    if prefix.lower() in _SETS["not ticket"] or (after[:1] and after[0].isalnum()):
+        return False
+    letters = prefix.isascii() and prefix.isalpha()
+    if prefix == prefix.upper() or (letters and before == "[" and after[:1] == "]"):
+        return True
+    return letters and 2 <= len(prefix) <= 10 and prefix.lower() not in _SETS["stop"] and prefix.lower() not in vocabulary and before not in ("-", ".", "_") and not re.match(r"\.[0-9]", after)
+
+
+def _is_ipv6(text: str) -> bool:
+    try:
+        return bool(ipaddress.IPv6Address(text)) and any(c.isdigit() for c in text)
+    except ValueError:
+        return False
+
+
+def _is_hash(text: str) -> bool:
+    return len(text) >= 32 or (any(c.isdigit() for c in text) and any(c.isalpha() for c in text))
+
+
+def shape(token: str, before: str, after: str, vocabulary) -> tuple | None:
+    """What a token is by its shape: (kind, start and end of what is replaced, extension kept, rank); ``before`` is the character there, ``after`` some that follow."""
+    core = token.rstrip(_END)
+    size, next_ = len(core), (token[len(core) :] + after)[:1]
+    if _URL.fullmatch(token) and core:
+        return "URL", 0, size, "", 0
+    if _EMAIL.fullmatch(token):
+        return "EMAIL", 0, size, "", 0
+    if _UUID.fullmatch(token):
+        return "ID", 0, len(token), "", 0
+    if ":" in token:
+        core = token if _is_ipv6(token) else core  # an address may end in a double colon
+        next_ = (token[len(core) :] + after)[:1]
+        alone = not (before and (_wordy(before) or before in ":.")) and not (next_ and (_wordy(next_) or next_ == ":"))
+        return ("HOST", 0, len(core), "", 2) if alone and _is_ipv6(core) else None
+    if token[0] == "@":
+        name = token[1:].rstrip("./-")
+        return ("PERSON", 1, 1 + len(name), "", 2) if name and not (before and (before in "_.@/" or (before.isascii() and before.isalnum()))) else None
+    if "/" in token or "\\" in token:
+        return ("PATH", 0, size, _extension(re.split(r"[/\\]", core)[-1]), 2) if _PATH.fullmatch(core) and _is_path(core) else None
+    if "." in core:
+        found = _host_or_file(core, next_)
+        return (found[0], 0, size, found[1], 2) if found else None
+    if _TICKET.fullmatch(token):
+        prefix = token.rpartition("-")[0]
+        head, cut_, tail = prefix.rpartition("_")
+        if _is_key(prefix, before, after, vocabulary):
+            return "TICKET", 0, len(token), "", 2
+        return ("TICKET", len(head) + 1, len(token), "", 2) if cut_ and len(tail) >= 2 and _is_key(tail, "", after, vocabulary) else None
+    if _PLACEHOLDER.fullmatch(token):
+        return SAME, 0, len(token), "", 0
+    for start in (0, 1):
+        if (start == 0 or token[0] in "gG") and re.fullmatch("[0-9a-fA-F]{7,}", token[start:]) and _is_hash(token[start:]):
+            return "ID", start, len(token), "", 0
+    if re.fullmatch("[A-Za-z]{1,4}[0-9]{4,}", token) and token.rstrip("0123456789").lower() not in _SETS["not ticket"]:
+        return "ID", 0, len(token), "", 2
+    return None
+
+
+def tokens(text: str, vocabulary, ids: re.Pattern | None = None) -> tuple[list[int], list[str], dict[int, tuple]]:
+    """Starts and tokens in order, and the shapes by number of token. Dotted names and paths that are neither are cut further, so that names in them are seen."""
+    starts, found, shapes = [], [], {}
+    pattern = _TOKEN if ids is None else re.compile(f"(?:{ids.pattern})|{TOKEN}")
+
+    def add(at: int, token: str, whole: bool) -> None:
+        if token.isalpha() and len(token) < 32 or not any(map(str.isalnum, token)):
+            told = None
+        elif ids is not None and ids.fullmatch(token):
+            told = ("ID", 0, len(token), "", 0)
+        else:
+            end = at + len(token)
+            told = shape(token, text[at - 1 : at] if at else "", text[end : end + 2], vocabulary)
+            if told is None and whole and not _WORDS.fullmatch(token):
+                for inner in _INNER.finditer(token):
+                    add(at + inner.start(), inner.group(), False)
+                return
+        if told is not None:
+            shapes[len(found)] = told
+        starts.append(at)
+        found.append(token)
+
+    at = 0
+    for token in pattern.findall(text):  # every character is in a token
+        if token.isalpha() and len(token) < 32 or token.isspace():
+            starts.append(at)
+            found.append(token)
+        else:
+            add(at, token, True)
+        at += len(token)
+    return starts, found, shapes
+
+
+def _normal(token: str) -> str:
+    return re.sub(r"\s+", " ", token).replace("’", "'").lower()
+
+
+def _slot(first: str) -> int:
+    return zlib.crc32(first.encode()) % SLOTS
+
+
+_SPAN = "k binary, doc_id long, start long, end long, kind string, core string, ext string, rank int, first string, run array<string>, inside boolean"
+_FIELDS = ("k", "doc_id", "start", "end", "kind", "core", "ext", "rank", "first", "run", "inside")
+
+
+def _scan(batches, bitmap: bytes, width: int, vocabulary, ids):
+    """Shapes, and the runs of tokens that may be names (kind null), of each text."""
+    pattern = re.compile("|".join(f"(?:{p})" for p in ids)) if ids else None
+    vocabulary, known = frozenset(vocabulary), {}
+    for batch in batches:
+        out = []
+        for k, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("k", "doc_id", "text"))):
+            starts, found, shapes = tokens(text, vocabulary, pattern)
+            for i, (kind, a, b, ext, rank) in shapes.items():
+                out.append((k, doc_id, starts[i] + a, starts[i] + b, kind, found[i][a:b], ext, rank, None, None, None))
+            for i, token in enumerate(found):
+                hit = known.get(token)
+                if hit is None:
+                    slot = _slot(token.lower())
+                    hit = bool(bitmap[slot >> 3] >> (slot & 7) & 1)
+                    if len(known) < 100_000:
+                        known[token] = hit
+                if hit:
+                    back = text[max(0, starts[i] - 200) : starts[i]].rstrip(" \t")
+                    out.append((k, doc_id, starts[i], None, None, None, None, None, token.lower(), found[i : i + width], bool(back) and back[-1] not in ".!?:;\n*->#([\"'"))
+            if len(out) > 20_000:
+                yield from _spans(out)
+                out = []
+        yield from _spans(out)
+
+
+_ARROW = pa.schema([("k", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("core", pa.string()), ("ext", pa.string()), ("rank", pa.int32()), ("first", pa.string()), ("run", pa.list_(pa.string())), ("inside", pa.bool_())])
+
+
+def _spans(rows):
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ARROW)], schema=_ARROW)
 
 
 def name_key(text: Column) -> Column:
     return F.replace(F.lower(F.trim(F.regexp_replace(text, rf"[{_SPACE}]+", " "))), F.lit("’"), F.lit("'"))
 
 
-def _normal(t: Column) -> Column:
-    return F.replace(F.lower(F.regexp_replace(t, rf"[{_SPACE}]+", " ")), F.lit("’"), F.lit("'"))
-
-
 def person_names(people: DataFrame, vocabulary: list[str] = VOCABULARY) -> DataFrame:
     """(name, kind, titled) of the people (name): the whole name and, of several words, each word and hyphenated part of three letters or more.
 
@@ -203,9 +290,27 @@ def names_of(docs: DataFrame, people: DataFrame | None = None, others: DataFrame
     rank = F.when(F.col("kind") == "TERM", 0).when(F.col("kind") == "REPO", 1).when(F.col("kind") == "BRANCH", 2).when(F.col("kind") == "PATH", 3).otherwise(4)
     spelled = F.when(F.col("titled"), F.trim("name")).otherwise(name_key(F.col("name")))
     best = rest.unionByName(folk).select(spelled.alias("spelled"), "kind", "titled", rank.alias("rank")).groupBy("spelled", "titled").agg(F.min_by("kind", "rank").alias("kind"))
-    pieces = F.transform(tokens(F.col("spelled"), vocabulary), lambda t: F.when(F.col("titled"), t).otherwise(_normal(t)))
+    words = tuple(vocabulary)
+
+    def cut_names(batches):
+        for batch in batches:
+            found = [tokens(name, frozenset(words))[1] for name in batch.column("spelled").to_pylist()]
+            found = [p if titled else [_normal(t) for t in p] for p, titled in zip(found, batch.column("titled").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("spelled", "titled", "kind")] + [pa.array(found, pa.list_(pa.string()))], ["spelled", "titled", "kind", "pieces"])
+
+    best = best.mapInArrow(cut_names, "spelled string, titled boolean, kind string, pieces array<string>")
     long = F.when(F.size("pieces") > NAME_TOKENS, F.raise_error(F.concat(F.lit("a name of too many tokens: "), "spelled"))).otherwise(F.size("pieces"))
-    return best.select("spelled", pieces.alias("pieces"), "kind", "titled", F.length("spelled").alias("length")).where(F.size("pieces") > 0).select(F.lower(F.col("pieces")[0]).alias("first"), "pieces", "kind", "titled", "length", long.cast("int").alias("n"))
+    return best.select("spelled", "pieces", "kind", "titled", F.length("spelled").alias("length")).where(F.size("pieces") > 0).select(F.lower(F.col("pieces")[0]).alias("first"), "pieces", "kind", "titled", "length", long.cast("int").alias("n"))
+
+
+def _bitmap(names: DataFrame) -> bytes:
+    """One bit a slot of a first token's hash, SLOTS bits whatever the number of names."""
+    slot = F.pmod(F.crc32(F.col("first").cast("binary")), F.lit(SLOTS))
+    parts = names.select((slot + 1).alias("slot")).groupBy(F.call_function("bitmap_bucket_number", F.col("slot")).alias("part")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("slot"))).alias("bits"))
+    out = bytearray(SLOTS // 8)
+    for row in parts.collect():
+        out[(row.part - 1) * 4096 : row.part * 4096] = row.bits
+    return bytes(out)
 
 
 def _leftmost(batches):
@@ -213,16 +318,16 @@ def _leftmost(batches):
     last, reach = None, -1
     for batch in batches:
         keep = []
-        for key, at, n in zip(batch.column("k").to_pylist(), batch.column("at").to_pylist(), batch.column("n").to_pylist()):
+        for key, start, end in zip(batch.column("k").to_pylist(), batch.column("start").to_pylist(), batch.column("end").to_pylist()):
             if key != last:
                 last, reach = key, -1
-            keep.append(at >= reach)
-            reach = at + n if at >= reach else reach
+            keep.append(start >= reach)
+            reach = end if start >= reach else reach
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 class Pseudonymised(NamedTuple):
-    """``texts``: doc_id, text; ``keys``: kind, stand_in, original, n_uses; ``replaced``: the place of each stand-in in its text, in order, with its spelling."""
+    """``texts``: doc_id, text; ``keys``: kind, stand_in, original, n_uses; ``replaced``: where the stand-ins of a text are, in order, and the spellings they took the place of."""
 
     texts: DataFrame
     keys: DataFrame
@@ -234,26 +339,40 @@ def _row_key(doc_id: Column, text: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, names: DataFrame, vocabulary: list[str] = VOCABULARY, ids: list[str] = ()) -> DataFrame:
-    """(k, doc_id, at, n, kind, core, lead, tail, ext): what is replaced in each distinct (doc_id, text): n tokens from token ``at``."""
+    """(k, doc_id, start, end, kind, core, ext): what is replaced in each distinct (doc_id, text), in code points."""
     text = F.col("text").cast("string")
-    rows = docs.where(text.isNotNull()).select(_row_key(F.col("doc_id"), text).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), tokens(text, vocabulary, ids).alias("t"))
-
-    width = names.agg(F.max("n")).first()[0] or 1  # one number, at most NAME_TOKENS
-    near = lambda i: F.coalesce(F.get("t", i), F.lit(""))
-    seen = lambda t, i: F.struct(i.alias("at"), t.alias("token"), near(i - 1).alias("before"), near(i - 2).alias("earlier"), near(i + 1).alias("after"), F.slice("t", i + 1, width).alias("run"))
-    wordy = F.filter(F.transform("t", lambda t, i: F.when(t.rlike(r"[\p{L}\p{N}]"), seen(t, i))), lambda s: s.isNotNull())
-    words = rows.select("k", "doc_id", F.explode(wordy).alias("w")).select("k", "doc_id", "w.*")
-    spaced = F.when(F.col("before").rlike(r"^[ \t]+$"), F.when(F.col("earlier") == "", ".").otherwise(F.col("earlier"))).when(F.col("at") == 0, ".").otherwise(F.col("before"))
-    inside = ~F.rtrim(spaced, F.lit(" \t")).rlike(r"[.!?:;\n*>#(\[\"'-]$|^$")
-    words = words.select("k", "doc_id", "at", "run", inside.alias("inside"), shape(F.col("token"), F.col("before"), F.col("after"), list(vocabulary), list(ids)).alias("s"))
-    shaped = words.where("s is not null").select("k", "doc_id", "at", F.lit(1).alias("n"), "s.*", F.when(F.col("s.kind").isin("URL", "EMAIL", SAME) | ((F.col("s.kind") == "ID") & F.col("s.core").rlike("^[0-9a-fA-F-]{7,}$")), 0).otherwise(2).alias("rank"), F.length("s.core").alias("size"))
-    met = words.select("k", "doc_id", "at", "run", "inside", F.lower(F.col("run")[0]).alias("first")).join(names, "first")
+    rows = docs.where(text.isNotNull()).select(_row_key(F.col("doc_id"), text).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    bitmap, width = _bitmap(names), names.agg(F.max("n")).first()[0] or 1  # at most NAME_TOKENS
+    scanned = cut(rows.mapInArrow(lambda batches: _scan(batches, bitmap, width, vocabulary, list(ids)), _SPAN))
+    shaped = scanned.where("kind is not null").select("k", "doc_id", "start", "end", "kind", "core", "ext", "rank")
+    met = scanned.where("kind is null").select("k", "doc_id", "start", "first", "run", "inside").join(names, "first")
     mine = F.slice("run", 1, F.col("n"))
-    equal = F.when(F.col("titled"), (mine == F.col("pieces")) & F.col("inside")).otherwise(F.transform(mine, _normal) == F.col("pieces"))
-    named = met.where(equal).select("k", "doc_id", "at", "n", "kind", F.array_join(mine, "").alias("core"), F.lit("").alias("lead"), F.lit("").alias("tail"), F.lit("").alias("ext"), F.lit(1).alias("rank"), F.col("length").alias("size"))
-    both = shaped.unionByName(named).distinct().repartition("k").sortWithinPartitions("k", "at", "rank", F.desc("size"), "kind")
-    out = "k binary, doc_id long, at int, n int, kind string, core string, lead string, tail string, ext string, rank int, size int"
-    return both.mapInArrow(_leftmost, out).drop("rank", "size")
+    normal = F.transform(mine, lambda t: F.replace(F.lower(F.regexp_replace(t, rf"[{_SPACE}]+", " ")), F.lit("’"), F.lit("'")))
+    equal = F.when(F.col("titled"), (mine == F.col("pieces")) & F.col("inside")).otherwise(normal == F.col("pieces"))
+    core = F.array_join(mine, "")
+    named = met.where(equal).select("k", "doc_id", "start", (F.col("start") + F.length(core)).alias("end"), "kind", core.alias("core"), F.lit("").alias("ext"), F.lit(1).alias("rank"))
+    both = shaped.unionByName(named).distinct().repartition("k").sortWithinPartitions("k", "start", "rank", F.desc("end"), "kind")
+    return both.mapInArrow(_leftmost, "k binary, doc_id long, start long, end long, kind string, core string, ext string, rank int").drop("rank")
+
+
+def _rewritten(batches):
+    """Texts with their parts ``r`` (start, end, new) replaced."""
+    for batch in batches:
+        out = []
+        for text, parts in zip(batch.column("text").to_pylist(), batch.column("r").to_pylist()):
+            if text is not None and parts:
+                ends = [0, *(p["end"] for p in parts)]
+                text = "".join(x for p, e in zip(parts, ends) for x in (text[e : p["start"]], p["new"])) + text[ends[-1] :]
+            out.append(text)
+        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), pa.array(out, pa.string())], ["k", "doc_id", "text"])
+
+
+def _replace(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """(k, doc_id, text) with the parts (k, start, end, new) replaced; k is the key of a row's id and former text, null of a null text."""
+    text = F.col("text").cast("string")
+    by_text = parts.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("start", "end", "new"))).alias("r"))
+    rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.when(text.isNotNull(), _row_key(F.col("doc_id").cast("long"), text)).alias("k")).join(by_text, "k", "left")
+    return rows.select("k", "doc_id", "text", "r").mapInArrow(_rewritten, "k binary, doc_id long, text string")
 
 
 def pseudonymise(docs: DataFrame, people: DataFrame | None = None, others: DataFrame | None = None, ids: list[str] = (), vocabulary: list[str] = VOCABULARY) -> Pseudonymised:
@@ -263,30 +382,31 @@ def pseudonymise(docs: DataFrame, people: DataFrame | None = None, others: DataF
     kind, core = F.col("kind"), F.col("core")
     key = F.when(kind.isin("URL", "PATH", "BRANCH", "ID", SAME), core).when(kind.isin("PERSON", "REPO", "TERM"), name_key(core)).otherwise(F.lower(core))
     found = found.withColumn("key", key)
-    first = F.struct("doc_id", "k", "at")
+    first = F.struct("doc_id", "k", "start")
     seen = found.groupBy("kind", "key").agg(F.min(first).alias("_first"), F.min_by("core", first).alias("original"), F.count("*").alias("n_uses"))
     seen = seen.select("kind", "key", "original", "n_uses", "_first.*")
-    keys = cut(numbered(seen, ["kind"], ["doc_id", "k", "at", "key"]).select("kind", "key", "original", "n_uses", F.when(F.col("kind") == SAME, F.col("key")).otherwise(F.concat_ws("_", "kind", F.col("n").cast("string"))).alias("stand_in")))
-    placed = found.join(keys.select("kind", "key", "stand_in"), ["kind", "key"])
-    by_text = placed.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("at", "n", "lead", F.concat("stand_in", "ext").alias("stand_in"), "tail", "core"))).alias("r"))
-    text = F.col("text").cast("string")
-    rows = docs.select("doc_id", "text", F.when(text.isNotNull(), _row_key(F.col("doc_id"), text)).alias("k")).join(by_text, "k", "left")
-    end = lambda i: F.when(i > 0, F.get("r", i - 1)["at"] + F.get("r", i - 1)["n"]).otherwise(0)
-    gaps = F.transform("r", lambda o, i: F.concat(F.array_join(F.slice("t", end(i) + 1, o["at"] - end(i)), ""), o["lead"]))
-    rows = rows.withColumn("t", F.when(F.col("r").isNotNull(), tokens(text, vocabulary, ids))).withColumn("gap", gaps)
-    rest = F.array_join(F.slice("t", end(F.size("r")) + 1, F.size("t")), "")
-    new = F.concat(F.array_join(F.flatten(F.transform("r", lambda o, i: F.array(F.get("gap", i), o["stand_in"], o["tail"]))), ""), rest)
-    texts = rows.select("doc_id", F.when(F.col("r").isNull(), text).otherwise(new).alias("text"))
-    kept = F.transform("r", lambda o, i: F.struct((F.length(F.get("gap", i)) + F.when(i > 0, F.length(F.get("r", i - 1)["tail"])).otherwise(0)).alias("gap"), o["stand_in"].alias("stand_in"), o["core"].alias("original")))
-    replaced = rows.where("r is not null").select("doc_id", F.posexplode(kept).alias("place", "o"), _row_key(F.col("doc_id"), new).alias("k"))
-    return Pseudonymised(texts, keys.where(F.col("kind") != SAME).drop("key"), replaced.select("k", "doc_id", "place", "o.*").distinct())
+    keys = cut(numbered(seen, ["kind"], ["doc_id", "k", "start", "key"]).select("kind", "key", "original", "n_uses", F.when(F.col("kind") == SAME, F.col("key")).otherwise(F.concat_ws("_", "kind", F.col("n").cast("string"))).alias("stand_in")))
+    placed = cut(found.join(keys.select("kind", "key", "stand_in"), ["kind", "key"]).withColumn("new", F.concat("stand_in", "ext")).where("kind <> 'SAME'"))
+    texts = _replace(docs, placed.select("k", "start", "end", "new"))
+    moved = F.sum(F.length("new") - (F.col("end") - F.col("start"))).over(Window.partitionBy("k").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    at = F.col("start") + F.coalesce(moved, F.lit(0))
+    replaced = placed.select("k", at.alias("start"), (at + F.length("new")).alias("end"), "stand_in", F.col("core").alias("original"))
+    new_keys = texts.where("k is not null").select("k", _row_key(F.col("doc_id"), F.col("text")).alias("new_k")).distinct()
+    replaced = replaced.join(new_keys, "k").select(F.col("new_k").alias("k"), "start", "end", "stand_in", "original").distinct()
+    return Pseudonymised(texts.drop("k"), keys.where(F.col("kind") != SAME).drop("key"), replaced)
 
 
 def restored(texts: DataFrame, replaced: DataFrame) -> DataFrame:
     """(doc_id, text) as it was, from pseudonymised texts and what was replaced in them."""
-    text = F.col("text").cast("string")
-    by_text = replaced.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("place", "gap", "stand_in", "original"))).alias("r"))
-    rows = texts.select("doc_id", "text", F.when(text.isNotNull(), _row_key(F.col("doc_id"), text)).alias("k")).join(by_text, "k", "left")
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out"))
-    back = F.aggregate("r", start, lambda s, o: F.struct((s["at"] + o["gap"] + F.length(o["stand_in"])).alias("at"), F.concat(s["out"], F.array(F.substr(text, s["at"], o["gap"]), o["original"])).alias("out")), lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, s["at"])))
-    return rows.select("doc_id", F.when(F.col("r").isNull(), text).otherwise(back).alias("text"))
+    return _replace(texts, replaced.select("k", "start", "end", F.col("original").alias("new"))).drop("k")
+
+
+def pseudonymised_documents(spark, sf_dir):
+    """Every document with its stand-ins: digest and length of the new text. Names are those that the documents teach."""
+    texts = pseudonymise(model.table(spark, sf_dir, "documents")).texts
+    return texts.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"))
+
+
+def pseudonym_keys(spark, sf_dir):
+    """The key table of the documents' stand-ins."""
+    return pseudonymise(model.table(spark, sf_dir, "documents")).keys
