@@ -142,7 +142,7 @@ def shape(token: str, before: str, after: str, vocabulary) -> tuple | None:
         return "EMAIL", 0, size, "", 0
     if _UUID.fullmatch(token):
         return "ID", 0, len(token), "", 0
-    if ":" in token:
+    if re.fullmatch("[0-9a-fA-F:.]*:[0-9a-fA-F:.]*", token):
         core = token if _is_ipv6(token) else core  # an address may end in a double colon
         next_ = (token[len(core) :] + after)[:1]
         alone = not (before and (_wordy(before) or before in ":.")) and not (next_ and (_wordy(next_) or next_ == ":"))
