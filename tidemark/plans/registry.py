@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators import delivery, report, tracker
 from ..operators.classify import CLASSIFIED
 from ..sources.model import PRELUDE
-from . import auditing_sql, evaluation_sql, linking_sql, planning_sql, rules_sql, selection_sql, signals_sql, text_sql, upkeep_sql
+from . import audit_sql, auditing_sql, evaluation_sql, linking_sql, planning_sql, rules_sql, selection_sql, signals_sql, text_sql, upkeep_sql
 
 _ISO = "strftime({0}, '%G-W%V')"
 _CAL = "strftime({0}, '%Y-W%W')"
@@ -98,7 +98,7 @@ _ALL = {
     "page_text": (tracker.page_text, "SELECT page_id, length(t) AS n_chars, CAST(CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS BIGINT) AS words FROM (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM pages)", ()),
     "redacted": (tracker.redacted, "SELECT doc_id, sha256(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '<email>', 'g')) AS text_sha256 FROM documents", ()),
     "freshness": (tracker.freshness, "SELECT event_type, count(*) AS n, CAST(date_diff('microsecond', max(ts), TIMESTAMP '2024-02-15') // 1000000 AS DOUBLE) / 3600.0 AS age_hours, (date_diff('microsecond', max(ts), TIMESTAMP '2024-02-15') // 1000000) / 3600.0 > 48 AS stale FROM events GROUP BY event_type", ()),
-} | planning_sql.QUERIES | linking_sql.QUERIES | auditing_sql.QUERIES | evaluation_sql.QUERIES | upkeep_sql.QUERIES | selection_sql.QUERIES | signals_sql.QUERIES | text_sql.QUERIES
+} | planning_sql.QUERIES | linking_sql.QUERIES | auditing_sql.QUERIES | evaluation_sql.QUERIES | upkeep_sql.QUERIES | selection_sql.QUERIES | audit_sql.queries(CLASSIFIED) | signals_sql.QUERIES | text_sql.QUERIES
 
 
 def queries() -> dict:
