@@ -33,7 +33,7 @@ def test_upper_median_takes_the_upper_middle(spark):
 
 
 def test_reverts_and_words(spark):
-    texts = [("fix: revert y", False), ("reverted z", True), ('Revert "x"', True), ("revertible", False)]
+    texts = [("fix: revert y", True), ("reverted z", False), ('Revert "x"', True), ("revertible", False), ("revert(api): y", True), ("  REVERT it", True), ("fixes: the --revert flag", False), ("fix(revert): x", True), ("fixed x and revert", True), ("fix x\nrevert y", False), ("feat: revert y", False), ("fix--no-revert", True)]
     for text, want in texts:
         assert _one(spark, textfx.is_revert(F.lit(text))) == want
     assert _one(spark, textfx.word_count(F.lit("  a b\n c "))) == 3

@@ -51,8 +51,7 @@ def test_citations_of_every_document(spark, monkeypatch):
     assert {line for line, _ in got.values()} == {1, 2, 3, 4, 5, 6} and {v for _, v in got.values()} == {"verified", "moved", "missing"}
 
 
-def test_untracked_has_authors_and_whole_subjects(spark, given, monkeypatch):
-    monkeypatch.setattr(report.cascade, "RULES", [("made", "boilerplate", "^bump version", 0.9), *report.cascade.RULES])
+def test_untracked_has_authors_and_whole_subjects(spark, given):
     day, long = dt.datetime(2024, 1, 1), "feat: a subject that is much longer than forty characters"
     rows = [commit(1, day, message=long + "\r\nbody"), commit(2, day, message="wip\nnext line"), commit(3, day, message="Bump version to 2"), commit(4, day, ticketed=True), commit(5, day, is_merge=True)]
     rows = [r[:4] + (("Dev 100" if r[0] == 1 else "Dev 7"),) + r[5:] for r in rows]

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-REVERT = r"(?i)^revert[ :\"(]|(?i)^reverted "
+#: Subjects that take something back (a word that is an option, like --revert, doesn't), and subjects that nobody writes by hand.
+REVERT = r"(?i)^\s*revert\b|^\s*fix\w*\b(?:\S*?\brevert\b|.*\s(?:[^\s-]\S*?)?\brevert\b)"
+BOILERPLATE = r"^[Mm]erge branch|^[Mm]erge pull request|^[Bb]ump version|^[Uu]pdate package-lock|^[Uu]pdate yarn\.lock|[Gg]enerated by|[Aa]uto-generated"
 TICKET = r"\b[A-Z][A-Z0-9]+-[0-9]+\b"
 
 
@@ -15,8 +17,12 @@ def first_line(message) -> Column:
 
 def is_revert(message) -> Column:
     """Whether the first line says that something is taken back."""
-    line = F.lower(first_line(message))
-    return line.startswith("revert ") | line.startswith('revert"') | line.startswith("revert:") | line.startswith("reverted ")
+    return first_line(message).rlike(REVERT)
+
+
+def is_boilerplate(message, changed: Column) -> Column:
+    """Whether a subject's wording or more than 5,000 changed lines tell that nobody wrote a commit by hand."""
+    return first_line(message).rlike(BOILERPLATE) | (changed > 5000)
 
 
 def ticket(message) -> Column:

@@ -16,11 +16,13 @@ from .linking import ticket_links
 Z = 1.959963984540054
 
 
-def stratum(rule: Column, category: Column, confidence: Column) -> Column:
-    """Catch-all before unknown, then by tier and confidence."""
+def stratum(method: Column, rule: Column, category: Column, confidence: Column) -> Column:
+    """One of nine: the catch-all rule before unknown, then by tier, patterns by confidence too."""
+    regex = method == "regex"
     return (
-        F.when(rule == "any", "catch_all").when((rule == "none") | F.lower(category).isin("uncategorized", "unknown"), "unknown").when(rule == "override", "other")
-        .when(confidence >= 0.9, "regex_high").when(confidence.between(0.55, 0.7), "regex_mid").otherwise("regex_other")
+        F.when(rule == "catch-all", "catch_all").when(rule.isNull() | F.lower(category).isin("uncategorized", "unknown"), "unknown").when(method == "exact", "exact")
+        .when(regex & (confidence >= 0.9), "regex_high").when(regex & confidence.between(0.55, 0.7), "regex_mid").when(regex, "regex_other")
+        .when(method.isin("weighted_sum", "fuzzy"), method).otherwise("other")
     )
 
 
@@ -30,7 +32,7 @@ def _population(spark, sf_dir, weeks: int = 100) -> DataFrame:
     newest = rows.agg(F.max("ts").alias("newest"))
     rows = rows.join(F.broadcast(newest), F.col("ts") >= F.col("newest") - F.expr(f"interval {weeks * 7} days"))  # one row
     rows = cascade.classify(rows)
-    return rows.withColumn("stratum", stratum(F.col("rule_id"), F.col("category"), F.col("confidence")))
+    return rows.withColumn("stratum", stratum(F.col("method"), F.col("rule_id"), F.col("category"), F.col("confidence")))
 
 
 def strata(spark, sf_dir):
@@ -82,7 +84,7 @@ def stratum_accuracy(spark, sf_dir):
 def merge_scaling(spark, sf_dir):
     """Each stratum less its share of merges, as seen in every seventh commit."""
     rows = cascade.classify(model.commits(spark, sf_dir))
-    rows = rows.groupBy(stratum(F.col("rule_id"), F.col("category"), F.col("confidence")).alias("stratum")).agg(F.count("*").alias("population"), F.count_if(F.col("id") % 7 == 0).alias("n"), F.count_if((F.col("id") % 7 == 0) & F.col("is_merge")).alias("merges"))
+    rows = rows.groupBy(stratum(F.col("method"), F.col("rule_id"), F.col("category"), F.col("confidence")).alias("stratum")).agg(F.count("*").alias("population"), F.count_if(F.col("id") % 7 == 0).alias("n"), F.count_if((F.col("id") % 7 == 0) & F.col("is_merge")).alias("merges"))
     gone = F.when(F.col("n") > 0, F.least(F.floor(F.col("population") * F.col("merges") / F.greatest("n", F.lit(1)) + 0.5), "population")).otherwise(0).cast("long")
     return rows.select("stratum", "population", gone.alias("removed"), (F.col("population") - gone).alias("kept"))
 
@@ -114,7 +116,7 @@ def repredict(sample: DataFrame, commits: DataFrame, rules: list[tuple] | None =
 def repredicted(spark, sf_dir):
     """The short classification of all commits beside the whole cascade's: how many rows change."""
     commits = model.commits(spark, sf_dir)
-    sample = cascade.classify(commits).select("sha", "repository", "category", F.col("category").alias("before"))
+    sample = cascade.former(commits).select("sha", "repository", "category", F.col("category").alias("before"))
     rows = repredict(sample, commits).groupBy("before", F.col("category").alias("after")).agg(F.count("*").alias("n"))
     return rows.withColumn("changed", ~F.col("before").eqNullSafe(F.col("after")))
 

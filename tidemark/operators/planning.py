@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import planning
+from ..functions import planning, textfx
 from ..functions.similarity import jaro_winkler
 from ..sources import model
 from ..sources.rounds import cut
@@ -92,6 +92,5 @@ def precision_curve(spark, sf_dir):
 
 def boilerplate(spark, sf_dir):
     """Commits that a pattern on the first line, or over 5,000 changed lines, tell as generated."""
-    line = F.split_part("message", F.lit("\n"), F.lit(1))
-    rows = model.commits(spark, sf_dir).withColumn("boilerplate", line.rlike(r"^[Mm]erge |^[Bb]ump version|^[Uu]pdate (package-lock|yarn\.lock)|[Gg]enerated by|[Aa]uto-generated") | (F.col("insertions") + F.col("deletions") > 5000))
+    rows = model.commits(spark, sf_dir).withColumn("boilerplate", textfx.is_boilerplate(F.col("message"), F.col("insertions") + F.col("deletions")))
     return rows.groupBy("repository", "boilerplate").agg(F.count("*").alias("n"))

@@ -9,7 +9,6 @@ from ..functions import scoring, textfx
 from ..functions.timefx import iso_week
 from ..sources import model
 from . import classify as cascade
-from . import rule_engine
 
 
 #: Factors of the activity score and their weights.
@@ -26,9 +25,9 @@ def _n(condition, name):
 
 
 def author_summary(spark, sf_dir):
-    """Longest name of each address (first in byte order among the longest), totals and the span of activity."""
+    """Longest name of each address (of several, the one seen first, then the first by spelling), totals and the span of activity."""
     rows = model.commits(spark, sf_dir).where("not is_merge")
-    name = F.max_by("author_name", F.struct(F.octet_length("author_name"), -F.substr("author_name", F.lit(5)).cast("int"))).alias("name")
+    name = F.min_by("author_name", F.struct(-F.octet_length("author_name"), "ts", "author_name")).alias("name")
     return rows.groupBy("author_email").agg(name, F.count("*").alias("commits"), F.sum("insertions").alias("insertions"), F.sum("deletions").alias("deletions"), F.sum("files_changed").alias("files"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
 
 
@@ -75,11 +74,13 @@ def _merged(spark, sf_dir):
 
 
 def pr_cycle_stats(spark, sf_dir):
-    """Cycle times between half an hour and 720 hours: mean, upper median, merges per week that has merges."""
-    rows = _merged(spark, sf_dir).where("h between 0.5 and 720").withColumn("w", iso_week("merged_at"))
-    secs = F.sum(F.timestamp_diff("SECOND", F.col("created_at"), F.col("merged_at")))
-    out = rows.agg(F.count("*").alias("merged"), F.try_divide(secs, F.count("*") * 3600.0).alias("avg_hours"), F.try_divide(F.count("*"), F.countDistinct("w")).alias("per_week"))
-    return out.crossJoin(F.broadcast(scoring.upper_middle(rows, "h"))).select("merged", "avg_hours", "median_hours", "per_week")  # two single rows
+    """Cycle times between half an hour and 720 hours: count, mean, upper median; and merges of any cycle time per week that has merges, 0 without."""
+    rows = _merged(spark, sf_dir)
+    kept = F.when(F.col("h").between(0.5, 720), F.timestamp_diff("SECOND", F.col("created_at"), F.col("merged_at")))
+    n = F.count(kept)
+    per_week = F.coalesce(F.try_divide(F.count("merged_at"), F.countDistinct(iso_week("merged_at"))), F.lit(0.0))
+    out = rows.agg(n.alias("merged"), F.try_divide(F.sum(kept), n * 3600.0).alias("avg_hours"), per_week.alias("per_week"))
+    return out.crossJoin(F.broadcast(scoring.upper_middle(rows.where("h between 0.5 and 720"), "h"))).select("merged", "avg_hours", "median_hours", "per_week")  # two single rows
 
 
 def weekly_velocity(spark, sf_dir):
@@ -222,7 +223,7 @@ def debt_rollup(spark, sf_dir):
 
 def untracked(spark, sf_dir):
     """Commits without a ticket that aren't boilerplate: the author's name over all commits, and the whole first line."""
-    rows = _classified(spark, sf_dir).where("not ticketed and category <> 'boilerplate'")
+    rows = model.commits(spark, sf_dir).where("not is_merge and not ticketed").where(~F.coalesce(textfx.is_boilerplate(F.col("message"), F.col("insertions") + F.col("deletions")), F.lit(False)))
     names = author_summary(spark, sf_dir).select("author_email", "name")
     subject = F.regexp_replace(F.split_part("message", F.lit("\n"), F.lit(1)), "\r$", "")
     return rows.join(names, "author_email", "left").select("sha", F.coalesce("name", "author_name").alias("author"), "repository", "ts", subject.alias("subject"))
@@ -231,11 +232,8 @@ def untracked(spark, sf_dir):
 def classified_commits(spark, sf_dir):
     """The whole cascade with its built-in rules, with every nineteenth commit overridden by hand."""
     rows = model.commits(spark, sf_dir).select("id", "sha", "message", "is_merge")
-    cores = spark.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:  # a small file is one split, and the cascade is all computation
-        rows = rows.repartition(cores)
     overrides = rows.where("id % 19 = 0").select("sha", F.lit("platform").alias("work_type"))
-    return rule_engine.classify(rows, overrides=overrides).select("sha", "rule_id", "category", "subcategory", "confidence", "method", "top_level", "bucket", "ticket_id")
+    return cascade.classify(rows, overrides).select("sha", *cascade.VERDICT)
 
 
 def bucket_counts(spark, sf_dir):

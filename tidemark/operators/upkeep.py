@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..sources import model
 from .linking import _choice
 
-#: File names and endings that nobody writes by hand.
-GENERATED_NAMES = ["Cargo.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "go.sum", "Gemfile.lock", "composer.lock"]
-GENERATED_ENDINGS = ["lock", "svg", "png", "jpg", "gif", "ico", "pdf", "snap", "map"]
-TEST_PATH = r"(^|/)(tests?|__tests__|spec|benches)/|(^|/)test_[^/]*$|_test\.(rs|go|py)$|\.(spec|test)\.[a-z]+$"
+#: File names that nobody writes by hand, and endings of configuration and prose.
+GENERATED_NAMES = ["Cargo.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "go.sum", "Gemfile.lock", "composer.lock", "CHANGELOG.md"]
+GENERATED_ENDINGS = ["toml", "md", "tsv", "csv", "json", "yaml", "yml", "lock", "txt", "cfg", "ini", "xml", "svg"]
+#: Parts of lower-cased paths of tests.
+TEST_PATH = r"(^|/)(tests|test|__tests__|spec|benches)(/|$)|(^|/)tests\.rs$|_tests?\.rs$|_test\.(go|py)$|(^|/)test_[^/]*$|\.(test|spec)\.[^/]*$"
 
 
 def is_generated(path: Column) -> Column:
@@ -30,7 +31,7 @@ def glob(pattern: str) -> str:
 def path_kinds(spark, sf_dir):
     """Lines changed in tests, generated files and code."""
     path = F.concat("path", F.when(F.col("insertions") % 9 == 0, ".svg").when(F.col("insertions") % 9 == 1, "/Cargo.lock").when(F.col("insertions") % 9 == 2, "/tests/a.rs").otherwise(""))
-    kind = F.when(is_generated(path), "generated").when(path.rlike(TEST_PATH), "test").otherwise("code")
+    kind = F.when(is_generated(path), "generated").when(F.lower(path).rlike(TEST_PATH), "test").otherwise("code")
     return model.files(spark, sf_dir).groupBy(kind.alias("kind")).agg(F.count("*").alias("touches"), F.sum(F.col("insertions") + F.col("deletions")).alias("lines"))
 
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from ..operators import evaluation
-from ..operators.classify import CLASSIFIED
+from .rules_sql import CLASSIFIED
 from .linking_sql import _LINKS
 
-_STRATUM = "CASE WHEN rule_id = 'any' THEN 'catch_all' WHEN rule_id = 'none' OR category IN ('uncategorized', 'unknown') THEN 'unknown' WHEN confidence >= 0.9::DOUBLE THEN 'regex_high' WHEN confidence BETWEEN 0.55::DOUBLE AND 0.7::DOUBLE THEN 'regex_mid' ELSE 'regex_other' END"
+_STRATUM = """CASE WHEN rule_id = 'catch-all' THEN 'catch_all' WHEN rule_id IS NULL OR lower(category) IN ('uncategorized', 'unknown') THEN 'unknown' WHEN method = 'exact' THEN 'exact'
+  WHEN method = 'regex' AND confidence >= 0.9::DOUBLE THEN 'regex_high' WHEN method = 'regex' AND confidence BETWEEN 0.55::DOUBLE AND 0.7::DOUBLE THEN 'regex_mid' WHEN method = 'regex' THEN 'regex_other'
+  WHEN method IN ('weighted_sum', 'fuzzy') THEN method ELSE 'other' END"""
 _POPULATION = f"population AS (SELECT *, {_STRATUM} AS stratum FROM classified WHERE NOT is_merge AND ts >= (SELECT max(ts) FROM commits WHERE NOT is_merge) - INTERVAL 700 DAY)"
 _SIZES = "sizes AS (SELECT stratum, count(*) AS n FROM {0} GROUP BY 1)"
 _FILLED = """ranked AS (SELECT *, n * (count(*) OVER () - row_number() OVER (ORDER BY n, stratum) + 1) <= 200 - coalesce(sum(n) OVER (ORDER BY n, stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS whole FROM sizes),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import linking as fx
 from ..operators import linking
-from ..operators.classify import CLASSIFIED
+from .rules_sql import CLASSIFIED
 
 
 def _q(text: str) -> str:

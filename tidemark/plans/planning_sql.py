@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.planning import BOT_PARTS, BOT_WORDS
 from ..operators import planning
-from ..operators.classify import CLASSIFIED
+from .rules_sql import CLASSIFIED
 
 
 def _pick(values: list[str], n: int) -> str:
@@ -33,5 +33,5 @@ QUERIES = {
     "fuzzy_members": (planning.fuzzy_members, "SELECT domain, name, member, score FROM (SELECT *, row_number() OVER (PARTITION BY domain, name ORDER BY score DESC, member) AS place FROM (SELECT domain, name, member, round(jaro_winkler_similarity(name, member), 9) AS score FROM seen JOIN members USING (domain)) WHERE score >= 0.85::DOUBLE) WHERE place = 1", (_SEEN,)),
     "reachability": (planning.reachability, "SELECT id, count(*) AS tags, min(tag) AS first_tag FROM reached GROUP BY id", (_EDGES,)),
     "precision_curve": (planning.precision_curve, f"SELECT confidence, n, n * 100.0::DOUBLE / max(n) OVER () AS coverage_pct, hits * 100.0::DOUBLE / n AS precision_pct FROM (SELECT confidence, CAST(sum(k) OVER w AS BIGINT) AS n, CAST(sum(h) OVER w AS BIGINT) AS hits FROM (SELECT confidence, count(*) AS k, {_RIGHT} AS h FROM classified WHERE NOT is_merge GROUP BY 1) WINDOW w AS (ORDER BY confidence DESC ROWS UNBOUNDED PRECEDING))", (CLASSIFIED,)),
-    "boilerplate": (planning.boilerplate, r"SELECT repository, regexp_matches(split_part(message, chr(10), 1), '^[Mm]erge |^[Bb]ump version|^[Uu]pdate (package-lock|yarn\.lock)|[Gg]enerated by|[Aa]uto-generated') OR insertions + deletions > 5000 AS boilerplate, count(*) AS n FROM commits GROUP BY 1, 2", ()),
+    "boilerplate": (planning.boilerplate, r"SELECT repository, regexp_matches(split_part(message, chr(10), 1), '^[Mm]erge branch|^[Mm]erge pull request|^[Bb]ump version|^[Uu]pdate package-lock|^[Uu]pdate yarn\.lock|[Gg]enerated by|[Aa]uto-generated') OR insertions + deletions > 5000 AS boilerplate, count(*) AS n FROM commits GROUP BY 1, 2", ()),
 }

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from ..functions import textfx
 from ..operators import delivery, report, tracker
-from ..operators.classify import CLASSIFIED
+from .rules_sql import CLASSIFIED
 from ..sources.model import PRELUDE
 from . import audit_sql, auditing_sql, evaluation_sql, linking_sql, planning_sql, rules_sql, selection_sql, signals_sql, text_sql, upkeep_sql
 
 _ISO = "strftime({0}, '%G-W%V')"
 _CAL = "strftime({0}, '%Y-W%W')"
-_REVERT = "(starts_with(lower(message), 'revert ') OR starts_with(lower(message), 'revert\"') OR starts_with(lower(message), 'revert:') OR starts_with(lower(message), 'reverted '))"
+_REVERT = f"regexp_matches(split_part(message, chr(10), 1), '{textfx.REVERT}')"
 
 
 def _if(condition: str) -> str:
@@ -20,8 +21,8 @@ _ACTIVITY = f"""SELECT {_ISO.format('ts')} AS week_label, author_email, reposito
   {_if('ticketed')} AS ticketed, {_if('is_ai_assisted')} AS ai_assisted, {_if(_REVERT)} AS reverts, {_if("category = 'bugfix'")} AS bugfixes, {_if("category = 'feature'")} AS features FROM classified WHERE NOT is_merge GROUP BY 1, 2, 3"""
 _HOURS = "date_diff('microsecond', created_at, merged_at) // 1000000"
 _CYCLE = f"SELECT *, {_HOURS} AS s, ({_HOURS}) / 3600.0 AS h FROM pull_requests WHERE state = 'merged'"
-_CYCLES = f"""SELECT count(*) AS merged, CAST(sum(s) AS DOUBLE) / count(*) / 3600.0 AS avg_hours, list_sort(list(CAST(h AS DOUBLE)))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median_hours,
-  count(*) / count(DISTINCT {_ISO.format('merged_at')}) AS per_week FROM ({_CYCLE}) WHERE h BETWEEN 0.5 AND 720"""
+_CYCLES = f"""SELECT count(*) FILTER (WHERE kept) AS merged, CAST(sum(s) FILTER (WHERE kept) AS DOUBLE) / count(*) FILTER (WHERE kept) / 3600.0 AS avg_hours, list_sort(list(CAST(h AS DOUBLE)) FILTER (WHERE kept))[CAST(floor(count(*) FILTER (WHERE kept) / 2) AS BIGINT) + 1] AS median_hours,
+  count(*) / count(DISTINCT {_ISO.format('merged_at')}) AS per_week FROM (SELECT *, h BETWEEN 0.5 AND 720 AS kept FROM ({_CYCLE}))"""
 _EFFORT = """efforts AS (SELECT *, log2(loc + 1) + 1.5::DOUBLE * log2(n_files + 1) + (1 - 0.3::DOUBLE * least(test_loc / greatest(loc, 1), 1.0::DOUBLE)) AS score
   FROM (SELECT commit_id, CAST(sum(insertions + deletions) AS BIGINT) AS loc, count(DISTINCT path) AS n_files, CAST(sum(CASE WHEN regexp_matches(path, '_test\\.rs$') THEN insertions + deletions ELSE 0 END) AS BIGINT) AS test_loc FROM files GROUP BY commit_id))"""
 _FAILED = """failures AS (SELECT deploy_id, repo, f.id AS commit_id FROM (SELECT d.deploy_id, d.repo, arg_min({'id': c.id, 'm': c.message}, (c.ts, c.id)) AS f FROM deployments d JOIN activity c
@@ -35,7 +36,7 @@ _Z = "1.959963984540054::DOUBLE"
 
 #: name: (query, SELECT, further common table expressions)
 _ALL = {
-    "author_summary": (report.author_summary, "SELECT author_email, arg_max(author_name, octet_length(encode(author_name)) * 1000 - CAST(substr(author_name, 5) AS INTEGER)) AS name, count(*) AS commits, CAST(sum(insertions) AS BIGINT) AS insertions, CAST(sum(deletions) AS BIGINT) AS deletions, CAST(sum(files_changed) AS BIGINT) AS files, min(ts) AS first_at, max(ts) AS last_at FROM commits WHERE NOT is_merge GROUP BY author_email", ()),
+    "author_summary": (report.author_summary, "SELECT author_email, arg_min(author_name, ROW(-strlen(author_name), ts, author_name)) AS name, count(*) AS commits, CAST(sum(insertions) AS BIGINT) AS insertions, CAST(sum(deletions) AS BIGINT) AS deletions, CAST(sum(files_changed) AS BIGINT) AS files, min(ts) AS first_at, max(ts) AS last_at FROM commits WHERE NOT is_merge GROUP BY author_email", ()),
     "repository_summary": (report.repository_summary, "SELECT repository, count(*) AS commits, count(DISTINCT author_email) AS authors, CAST(sum(insertions) AS BIGINT) AS insertions, CAST(sum(deletions) AS BIGINT) AS deletions FROM commits WHERE NOT is_merge GROUP BY repository", ()),
     "repository_top_categories": (report.repository_top_categories, "SELECT * FROM (SELECT repository, category, n, CAST(row_number() OVER (PARTITION BY repository ORDER BY n DESC, category) AS INTEGER) AS place FROM (SELECT repository, category, count(*) AS n FROM classified WHERE NOT is_merge GROUP BY 1, 2)) WHERE place <= 5", (CLASSIFIED,)),
     "weekly_activity": (report.weekly_activity, _ACTIVITY, (CLASSIFIED,)),
@@ -61,7 +62,7 @@ _ALL = {
     "monthly_trajectory": (report.monthly_trajectory, "SELECT strftime(ts, '%Y-%m') AS month, count(DISTINCT author_email) AS authors, count(DISTINCT sha) AS commits FROM commits GROUP BY 1 ORDER BY 1 DESC LIMIT 12", ()),
     "churn": (report.churn, "SELECT path, count(DISTINCT commit_id) AS commits, count(DISTINCT author_email) AS authors, CAST(sum(insertions) AS BIGINT) AS insertions, CAST(sum(deletions) AS BIGINT) AS deletions, CASE WHEN count(DISTINCT commit_id) >= 20 THEN 'red' WHEN count(DISTINCT commit_id) >= 5 THEN 'amber' ELSE 'green' END AS severity FROM touched GROUP BY path ORDER BY commits DESC, path LIMIT 20", (_TOUCHED,)),
     "debt_rollup": (report.debt_rollup, "SELECT tier, dimension, repository, count(*) AS n FROM (SELECT repository, CASE WHEN insertions > 400 THEN 'high' WHEN insertions > 150 THEN 'medium' ELSE 'low' END AS tier, top_level AS dimension FROM classified WHERE NOT is_merge) GROUP BY GROUPING SETS ((tier), (dimension), (repository, tier), (tier, dimension), ())", (CLASSIFIED,)),
-    "untracked": (report.untracked, "SELECT sha, name AS author, repository, ts, regexp_replace(split_part(message, chr(10), 1), '\\r$', '') AS subject FROM classified JOIN (SELECT author_email, arg_min(author_name, ROW(-strlen(author_name), CAST(substr(author_name, 5) AS INTEGER))) AS name FROM commits WHERE NOT is_merge GROUP BY 1) USING (author_email) WHERE NOT is_merge AND NOT ticketed AND category <> 'boilerplate'", (CLASSIFIED,)),
+    "untracked": (report.untracked, f"SELECT sha, name AS author, repository, ts, regexp_replace(split_part(message, chr(10), 1), '\\r$', '') AS subject FROM commits JOIN (SELECT author_email, arg_min(author_name, ROW(-strlen(author_name), ts, author_name)) AS name FROM commits WHERE NOT is_merge GROUP BY 1) USING (author_email) WHERE NOT is_merge AND NOT ticketed AND NOT (regexp_matches(split_part(message, chr(10), 1), '{textfx.BOILERPLATE}') OR insertions + deletions > 5000)", ()),
     "classified_commits": (report.classified_commits, rules_sql.SELECT, (rules_sql.MORE,)),
     "bucket_counts": (report.bucket_counts, "SELECT bucket, count(*) AS n, count(DISTINCT author_email) AS authors FROM classified WHERE NOT is_merge GROUP BY bucket", (CLASSIFIED,)),
     "tickets": (report.tickets, f"SELECT sha, coalesce(nullif(regexp_extract(message, '\\b([A-Z][A-Z0-9]+-[0-9]+)\\b', 1), ''), nullif(regexp_extract(message, '(#[0-9]+)', 1), '')) AS ticket, {_REVERT} AS is_revert, CAST(len(string_split(trim(message), ' ')) AS BIGINT) AS words FROM commits", ()),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from ..functions import textfx
 from ..operators import contributors, evaluation, selection, upkeep, work_items
-from ..operators.classify import CLASSIFIED
-from . import rules_sql
+from ..operators.classify import FORMER_SQL
 from .linking_sql import _q
+from .rules_sql import CLASSIFIED
 
-_REVERTED = "regexp_matches(line, '^(revert[ :\"]|reverted )')"
+_REVERTED = f"regexp_matches(line, '{textfx.REVERT}')"
 _AT = "strftime(ts, '%Y-%m-%dT%H:%M:%SZ')"
 _WEEKS = f"""weeks AS (SELECT author_email, isoyear(ts) * 100 + week(ts) AS yw, count(*) AS n, count(*) FILTER (WHERE {_REVERTED}) AS r, count(*) FILTER (WHERE category = 'bugfix') AS b, count(*) FILTER (WHERE ticketed) AS t
   FROM classified WHERE NOT is_merge GROUP BY 1, 2)"""
@@ -53,5 +54,5 @@ QUERIES = {
     "pull_request_items": (work_items.pull_request_items, "SELECT repository, count(*) AS links, min(number) AS first, max(identifier) AS last FROM (SELECT DISTINCT 'org/' || repository AS repository, number, identifier FROM named JOIN pull_requests ON slug = 'org/' || repository AND number = pr_number WHERE number > 0) GROUP BY 1", (_URLS,)),
     "contributor_queries": (contributors.contributor_queries, "SELECT query, coalesce(e, n, a) AS id, CASE WHEN e IS NOT NULL THEN 'email' WHEN n IS NOT NULL THEN 'name' WHEN a IS NOT NULL THEN 'alias' ELSE 'none' END AS how FROM asked LEFT JOIN (SELECT 'dev' || s_suppkey || '@example.com' AS low, min(s_suppkey) AS e FROM supplier GROUP BY 1) USING (low) LEFT JOIN (SELECT 'dev ' || (s_suppkey % 12) AS low, min(s_suppkey) AS n FROM supplier GROUP BY 1) USING (low) LEFT JOIN parts USING (query)", (_ASKED,)),
     "walk_states": (upkeep.walk_states_of_events, "SELECT repository, finished, first_head AS head, at_ AS changed_at FROM (SELECT repository, arg_max(k, ROW(ts, k)) = 'purchase' AS finished, arg_max(event_id, ROW(ts, event_id)) FILTER (WHERE k = 'purchase') AS first_head, max(ts) AS at_ FROM (SELECT 'repo' || (user_id % 25) AS repository, event_type AS k, ts, event_id FROM events WHERE event_type IN ('view', 'purchase')) GROUP BY 1)", ()),
-    "repredicted": (evaluation.repredicted, "SELECT c.category AS before, n.category AS after, count(*) AS n, c.category IS DISTINCT FROM n.category AS changed FROM classified c JOIN plain n USING (sha) GROUP BY 1, 2, 4", (CLASSIFIED, rules_sql.MORE.replace("judged AS", "judged2 AS").replace("FROM judged)", "FROM judged2)"), "plain AS (SELECT sha, category FROM judged2)")),
+    "repredicted": (evaluation.repredicted, "SELECT c.category AS before, n.category AS after, count(*) AS n, c.category IS DISTINCT FROM n.category AS changed FROM former c JOIN classified n USING (sha) GROUP BY 1, 2, 4", (CLASSIFIED, FORMER_SQL)),
 }

@@ -10,7 +10,7 @@ def _list(values: list[str]) -> str:
     return ", ".join(_q(v) for v in values)
 
 
-_KINDS = f"""kinds AS (SELECT n, CASE WHEN name IN ({_list(upkeep.GENERATED_NAMES)}) OR split_part(name, '.', -1) IN ({_list(upkeep.GENERATED_ENDINGS)}) THEN 'generated' WHEN regexp_matches(p, {_q(upkeep.TEST_PATH)}) THEN 'test' ELSE 'code' END AS kind
+_KINDS = f"""kinds AS (SELECT n, CASE WHEN name IN ({_list(upkeep.GENERATED_NAMES)}) OR split_part(name, '.', -1) IN ({_list(upkeep.GENERATED_ENDINGS)}) THEN 'generated' WHEN regexp_matches(lower(p), {_q(upkeep.TEST_PATH)}) THEN 'test' ELSE 'code' END AS kind
   FROM (SELECT *, split_part(p, '/', -1) AS name FROM (SELECT insertions + deletions AS n, path || CASE insertions % 9 WHEN 0 THEN '.svg' WHEN 1 THEN '/Cargo.lock' WHEN 2 THEN '/tests/a.rs' ELSE '' END AS p FROM files)))"""
 _BRANCHES = f"branches AS (SELECT {_choice(['release/', 'release/x/', 'feature/a/b-', 'hotfix-', 'hotix-', 'main'], 'id')} || (id % 5) AS branch FROM commits)"
 _WALKS = "walks AS (SELECT repository, CAST(substr(repository, 5) AS INTEGER) AS k FROM commits GROUP BY repository)"
