@@ -71,15 +71,16 @@ def features(column: pa.Array, dims: int = DIMS) -> np.ndarray:
 def _svm(x: np.ndarray, y: np.ndarray, steps: int = 150, c: float = 10.0) -> np.ndarray:
     """Weights and bias of a linear machine for y in -1, 1: squared hinge, accelerated full-batch descent, classes weighted alike."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
-    w = v = np.zeros(x.shape[1])
+    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
+    y, w = y.astype(np.float32), np.zeros(x.shape[1], np.float32)  # of x's own type, or each step would copy x
+    v = w
     rate = 1.0 / (1.0 + 4 * c)
     for k in range(steps):
         slack = np.maximum(0, 1 - y * (x @ v))
         grad = v - 2 * c * (x.T @ (share * y * slack))
         new = v - rate * grad
         w, v = new, new + k / (k + 3) * (new - w)
-    return w.astype(np.float32)
+    return w
 
 
 def _pairs(x: np.ndarray, label: np.ndarray) -> dict:
