@@ -27,7 +27,7 @@ def _n(condition, name):
 def author_summary(spark, sf_dir):
     """Longest name of each address (of several, the one seen first, then the first by spelling), totals and the span of activity."""
     rows = model.commits(spark, sf_dir).where("not is_merge")
-    name = F.min_by("author_name", F.struct(-F.octet_length("author_name"), "ts", "author_name")).alias("name")
+    name = F.min_by("author_name", F.struct(F.col("author_name").isNull(), -F.octet_length("author_name"), "ts", "author_name")).alias("name")
     return rows.groupBy("author_email").agg(name, F.count("*").alias("commits"), F.sum("insertions").alias("insertions"), F.sum("deletions").alias("deletions"), F.sum("files_changed").alias("files"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
 
 

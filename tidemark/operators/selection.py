@@ -212,3 +212,29 @@ def failure_proxy(spark, sf_dir):
     rows = cascade.classify(model.commits(spark, sf_dir).where("not is_merge"))
     fixes, reverts = F.count_if(F.col("category") == "bugfix"), F.count_if(textfx.is_revert(F.col("message")))
     return rows.groupBy("repository").agg(F.count("*").alias("commits"), F.coalesce(F.try_divide(F.greatest(fixes, reverts), F.count("*")), F.lit(0.0)).alias("rate"))
+
+
+def period_summary(commits: DataFrame, shas: DataFrame, deployments: DataFrame, pull_requests: DataFrame, start, end) -> DataFrame:
+    """One row for a period over all repositories: frequency and lead time with their sources, failure rate, recovery hours and level.
+
+    ``commits``: ts, message, category, is_merge; ``shas``: sha, ts of all commits, merges too. Weeks are those with commits. The failure rate is the greater of bugfixes and reverts over
+    commits; recovery the mean gap between one commit that is a bugfix or a revert and the next, 0 with fewer than two. A period without commits has no failures and one week. A missing lead time counts as endless."""
+    fix, back = F.coalesce(F.col("category") == "bugfix", F.lit(False)), F.coalesce(textfx.is_revert(F.col("message")), F.lit(False))
+    at = F.when(fix | back, F.col("ts"))
+    n = between(commits, "ts", start, end).where("not is_merge").agg(
+        F.count("*").alias("n"), F.countDistinct(iso_week("ts")).alias("weeks"), F.greatest(F.count_if(fix), F.count_if(back)).alias("bad"), F.count(at).alias("m"), seconds(F.min(at), F.max(at)).alias("span")
+    )
+    weeks = n.first().weeks  # one number
+    rate = F.coalesce(F.try_divide("bad", "n"), F.lit(0.0))
+    gap = F.when(F.col("m") < 2, F.lit(0.0)).otherwise(F.col("span") / (F.col("m") - 1) / 3600.0)
+    both = delivery_sources(deployments, shas, pull_requests, start, end, weeks).crossJoin(F.broadcast(n.select(rate.alias("failure_rate"), gap.alias("mttr_hours"))))  # two single rows
+    grade = delivery.level(F.col("per_week"), F.coalesce("lead_hours", F.lit(float("inf"))), F.col("failure_rate"), F.col("mttr_hours"))
+    return both.withColumn("level", grade)
+
+
+def delivery_period(spark, sf_dir):
+    """The summary of the year that has deployments, and of one that has none."""
+    rows = cascade.classify(model.activity(spark, sf_dir))
+    shas, deployments, pulls = model.commits(spark, sf_dir), model.deployments(spark, sf_dir), model.pull_requests(spark, sf_dir)
+    out = [period_summary(rows, shas, deployments, pulls, f"{year}-01-01", f"{year}-12-31").withColumn("period", F.lit(name)) for name, year in (("with", 2024), ("without", 1990))]
+    return out[0].union(out[1])

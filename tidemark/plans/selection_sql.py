@@ -48,6 +48,12 @@ QUERIES = {
   FROM (SELECT count(*) FILTER (WHERE status = 'success') AS deployments, count(DISTINCT CASE WHEN status = 'success' THEN strftime(triggered_at, '%Y-W%W') END) AS weeks, count(*) AS n, count(*) FILTER (WHERE deploy_id IN (SELECT deploy_id FROM bad)) AS f FROM deployments WHERE triggered_at >= TIMESTAMP '2024-01-10'),
   (SELECT CAST(sum(s) AS DOUBLE) / count(*) / 3600.0 AS lead_hours FROM took WHERE status = 'success'), (SELECT CAST(sum(date_diff('microsecond', detected_at, resolved_at) // 1000000) AS DOUBLE) / count(resolved_at) / 3600.0 AS mttr_hours FROM incidents)""", (_BAD, _TOOK)),
     "delivery_origin": (selection.delivery_origin, f"{_period('with', 2024)} UNION ALL {_period('without', 1990)}", (_TOOK, _CYCLES)),
+    "delivery_period": (selection.delivery_period, f"""SELECT o.*, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE bad / n END AS failure_rate, gap AS mttr_hours,
+  CASE WHEN o.per_week >= 1 AND coalesce(lead_hours, 1e300) < 1 AND bad / greatest(n, 1) < 0.15 AND gap < 1 THEN 'elite' WHEN o.per_week >= 0.25 AND coalesce(lead_hours, 1e300) < 168 AND bad / greatest(n, 1) < 0.3 AND gap < 24 THEN 'high'
+       WHEN o.per_week >= 0.04 AND coalesce(lead_hours, 1e300) < 720 AND bad / greatest(n, 1) < 0.3 AND gap < 168 THEN 'medium' ELSE 'low' END AS level
+  FROM (SELECT period, per_week * 52 / greatest(weeks, 1) AS per_week, frequency_source, lead_hours, lead_source FROM ({_period('with', 2024)}), (SELECT weeks FROM hotfixes) UNION ALL SELECT period, per_week * 52, frequency_source, lead_hours, lead_source FROM ({_period('without', 1990)})) o
+  JOIN (SELECT 'with' AS period, n, bad, gap FROM hotfixes UNION ALL SELECT 'without', 0, 0, 0.0) USING (period)""", (_TOOK, _CYCLES, """hotfixes AS (SELECT count(*) AS n, count(DISTINCT strftime(ts, '%G-W%V')) AS weeks, count(*) FILTER (WHERE message LIKE 'hotfix%') AS bad,
+  CAST(date_diff('microsecond', min(ts) FILTER (WHERE message LIKE 'hotfix%'), max(ts) FILTER (WHERE message LIKE 'hotfix%')) // 1000000 AS DOUBLE) / (count(*) FILTER (WHERE message LIKE 'hotfix%') - 1) / 3600.0 AS gap FROM activity WHERE NOT is_merge)""")),
     "failure_proxy": (selection.failure_proxy, f"SELECT repository, count(*) AS commits, greatest(count(*) FILTER (WHERE category = 'bugfix'), count(*) FILTER (WHERE {_REVERTED})) / count(*) AS rate FROM classified WHERE NOT is_merge GROUP BY 1", (CLASSIFIED,)),
     "work_item_fields": (work_items.work_item_fields, """SELECT CASE WHEN o_orderkey % 5 < 4 THEN who END AS reporter, count(*) AS n, count(*) FILTER (WHERE o_orderkey % 5 IN (0, 3)) AS described,
   count(DISTINCT CASE o_orderkey % 5 WHEN 0 THEN 'P-' || (o_orderkey % 50) WHEN 1 THEN '' || (o_orderkey % 40) WHEN 2 THEN 'L-' || (o_orderkey % 30) END) AS parents, min(CASE WHEN o_orderkey % 5 < 4 THEN CAST(o_orderdate AS DATE)::TIMESTAMP END) AS first_at, CAST(sum(CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 45 BETWEEN 1 AND 40 THEN o_orderkey % 45 END) AS DOUBLE) AS points FROM items GROUP BY 1""", (_ITEMS,)),
