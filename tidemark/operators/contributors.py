@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import linking
 from ..sources import model
+from ..sources.rounds import cut
+from . import near_names
 
 
 def _grams(text: Column, n: int) -> Column:
@@ -35,8 +38,24 @@ def alias_hits(queries: DataFrame, authors: DataFrame) -> DataFrame:
     return rarest.join(runs, "run").join(low, "id").where(F.contains("text", F.col("low"))).select("query", "id")
 
 
-def find(queries: DataFrame, authors: DataFrame) -> DataFrame:
-    """query, id, how of distinct queries: authors (id, canonical_email, canonical_name, aliases) by address, else name, else part of an alias.
+def fuzzy_allowed(aliases: DataFrame, configured: bool | None = None) -> bool:
+    """Whether names may be guessed: as configured, else only without an alias table, as whoever isn't in a loaded one is nobody of it. An empty table is none."""
+    return aliases.isEmpty() if configured is None else configured
+
+
+def _guesses(asked: DataFrame, authors: DataFrame):
+    """Hits by spelling: names alike by 0.85, else, dots, hyphens and underscores taken as blanks, by 0.82; ties go to the name that sorts first, then the smallest id."""
+    for place, spelled, least in ((4, F.lower, 0.85), (5, linking.normalised, 0.82)):
+        known = authors.where("canonical_name is not null").groupBy(spelled("canonical_name").alias("member")).agg(F.min("id").alias("id"))
+        mine = asked.where("query is not null").select("query", spelled("query").alias("name"))
+        guessed = near_names.best(mine.select("name"), known.select("member"), least).join(known, "member")
+        hits = cut(mine.join(guessed, "name").select("query", F.struct(F.lit(place).alias("place"), "id", F.lit("fuzzy" if place == 4 else "normalised").alias("how")).alias("hit")))
+        yield hits
+        asked = asked.join(hits, "query", "left_anti")
+
+
+def find(queries: DataFrame, authors: DataFrame, fuzzy: bool = False) -> DataFrame:
+    """query, id, how of distinct queries: authors (id, canonical_email, canonical_name, aliases) by address, else name, else part of an alias, else with ``fuzzy`` by spelling.
 
     Letters count in any case; of several authors the one with the smallest id. Without any, id is null and how is none."""
     asked = queries.select("query").distinct()
@@ -49,6 +68,9 @@ def find(queries: DataFrame, authors: DataFrame) -> DataFrame:
     rest = asked.join(found, "query", "left_anti")
     parts = alias_hits(rest, authors).groupBy("query").agg(F.min("id").alias("id"))
     found = found.union(parts.select("query", F.struct(F.lit(3).alias("place"), "id", F.lit("alias").alias("how")).alias("hit")))
+    if fuzzy:
+        for hits in _guesses(rest.join(parts, "query", "left_anti"), authors):
+            found = found.union(hits)
     best = found.groupBy("query").agg(F.min("hit").alias("hit")).withColumnRenamed("query", "_query")
     return asked.join(best, F.col("query").eqNullSafe(F.col("_query")), "left").select("query", "hit.id", F.coalesce("hit.how", F.lit("none")).alias("how"))
 
