@@ -1,5 +1,8 @@
 """Hand-made pages: articles that end in links, long furniture, odd markup, odd rows."""
 
+import time
+
+import numpy as np
 import pytest
 
 from tidemark.llm import html_text
@@ -74,3 +77,25 @@ def test_tree_uses_flags_and_own_links(tree):
         return {tree[0]} | features(tree[2]) | features(tree[3]) if isinstance(tree, tuple) else set()
 
     assert {1, 7, 8} <= features(tree)
+
+
+@pytest.mark.parametrize("page", ["<svg>" * 400_000, "<div></p>" * 300_000, "<li><ul>" + "<div>" * 150_000 + "<li>x</li>" * 150_000])
+def test_megabytes_of_odd_tags_take_linear_time(page):
+    start = time.process_time()
+    html_text.blocks(page)
+    assert time.process_time() - start < 20
+
+
+def test_neighbours_decide_outside_of_articles():
+    """Short lines beside long text stay, the same lines among links go; the tree splits on the blocks before and after."""
+    tree = html_text.grow(html_text.LABELLED)
+    used = lambda t: {t[0]} | used(t[2]) | used(t[3]) if isinstance(t, tuple) else set()
+    assert used(tree) & {2, 3, 4, 5}
+    blind = html_text.LABELLED.copy()
+    blind[:, 2:6] = 0
+    blind = html_text.grow(np.asarray(blind))
+    page = f"<div class=wrap><h1>Title</h1><p>Short intro.</p><p>{SAYS}</p><p>The end.</p></div>"
+    assert html_text.extract(page, tree)[0] == f"Title Short intro. {SAYS} The end." != html_text.extract(page, blind)[0]
+    line = "Some nine words that stand among these links here."
+    page = f"<div><div>{LINKS}</div><p>{line}</p><div>{LINKS}</div><p>{SAYS}</p><div>{LINKS}</div><p>Short intro.</p><div>{LINKS}</div></div>"
+    assert html_text.extract(page, tree)[0] == SAYS

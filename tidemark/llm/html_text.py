@@ -81,13 +81,20 @@ LABELLED = np.array([
     [12, 0.00, 30, 0.00, 3, 1.00, 0, 0, 0, 1], [9, 0.00, 22, 0.00, 14, 0.00, 0, 0, 0, 1], [11, 0.09, 13, 0.00, 2, 1.00, 0, 0, 0, 1], [10, 0.00, 0, 0.00, 12, 0.00, 0, 0, 0, 1],
     [5, 0.00, 0, 0.00, 44, 0.00, 1, 0, 0, 1], [3, 0.00, 50, 0.00, 46, 0.00, 1, 0, 0, 1], [4, 0.00, 25, 0.00, 3, 1.00, 0, 0, 0, 0], [3, 0.00, 0, 0.00, 0, 0.00, 0, 0, 0, 0],
     [1, 1.00, 0, 0.00, 45, 0.00, 0, 0, 0, 0], [1, 1.00, 12, 0.00, 60, 0.00, 0, 0, 0, 0], [5, 0.80, 45, 0.00, 50, 0.00, 0, 0, 0, 0], [7, 0.60, 0, 0.00, 30, 0.00, 0, 0, 0, 0],
+    # In neither, short: titles, first and last lines beside long text; lines of any shortness among links.
+    [1, 0.00, 0, 0.00, 2, 0.00, 1, 0, 0, 1], [2, 0.00, 1, 0.00, 40, 0.00, 0, 0, 0, 1], [2, 0.00, 40, 0.00, 0, 0.00, 0, 0, 0, 1], [3, 0.00, 60, 0.00, 4, 0.00, 0, 0, 0, 1],
+    [5, 0.00, 30, 0.00, 45, 0.00, 0, 0, 0, 1], [4, 0.00, 35, 0.00, 2, 0.00, 0, 0, 0, 1], [2, 0.00, 28, 0.00, 33, 0.00, 1, 0, 0, 1], [6, 0.00, 2, 1.00, 50, 0.00, 1, 0, 0, 1],
+    [9, 0.00, 4, 1.00, 3, 1.00, 0, 0, 0, 0], [8, 0.00, 5, 1.00, 2, 1.00, 0, 0, 0, 0], [12, 0.00, 3, 1.00, 4, 1.00, 0, 0, 0, 0], [6, 0.00, 2, 1.00, 0, 0.00, 0, 0, 0, 0],
+    [10, 0.00, 6, 1.00, 0, 0.00, 0, 0, 0, 0], [2, 0.00, 3, 1.00, 2, 0.00, 0, 0, 0, 0], [14, 0.00, 2, 1.00, 3, 1.00, 0, 0, 0, 0], [7, 0.00, 2, 1.00, 4, 1.00, 0, 0, 0, 0],
+    [40, 0.00, 3, 1.00, 2, 1.00, 0, 0, 0, 1], [25, 0.00, 4, 1.00, 45, 0.00, 0, 0, 0, 1], [30, 0.00, 2, 1.00, 10, 0.00, 0, 0, 0, 1], [60, 0.00, 5, 1.00, 4, 1.00, 0, 0, 0, 1],
+    [20, 0.00, 6, 1.00, 20, 0.00, 0, 0, 0, 1], [50, 0.00, 2, 1.00, 12, 0.00, 0, 0, 0, 1], [1, 0.00, 0, 0.00, 0, 0.00, 0, 0, 0, 0], [2, 0.00, 0, 0.00, 0, 0.00, 0, 0, 0, 0],
     # In neither, on a page that has an article elsewhere: prose of any length.
     [60, 0.00, 55, 0.00, 40, 0.00, 0, -1, 0, 0], [35, 0.05, 8, 0.00, 50, 0.02, 0, -1, 0, 0], [12, 0.00, 0, 0.00, 48, 0.00, 0, -1, 0, 0], [4, 0.00, 3, 1.00, 48, 0.00, 1, -1, 0, 0],
     [20, 0.00, 60, 0.00, 0, 0.00, 0, -1, 0, 0], [150, 0.00, 40, 0.00, 3, 1.00, 0, -1, 0, 0], [1, 1.00, 2, 1.00, 30, 0.00, 0, -1, 0, 0], [9, 0.00, 70, 0.00, 12, 0.00, 0, -1, 0, 0],
 ])
 
 
-def grow(rows: np.ndarray, depth: int = 5):
+def grow(rows: np.ndarray, depth: int = 9):
     """A tree as nested (feature, bound, below or equal, above) with shares of main text at its leaves."""
     share = rows[:, -1].mean()
     if depth == 0 or share in (0.0, 1.0):
@@ -165,6 +172,8 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
     """Text, words, link density, heading, in an article (-1: the page has one elsewhere), in furniture of each flat block that has text."""
     out: list[tuple[str, int, float, int, int, int]] = []
     stack: list[tuple[str, int, int]] = []  # element, in an article, in furniture
+    places: dict[str, list[int]] = {}  # where the open elements of a name are in the stack
+    endless: set[str] = set()  # names of skipped parts that no closing tag follows
     parts: list[str] = []
     linked, links, heading, at, n = 0, 0, 0, 0, len(page)
 
@@ -186,13 +195,17 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
             if links:
                 linked += len(raw.split())
 
+    def drop(k: int) -> None:
+        for element in stack[k:]:
+            places[element[0]].pop()
+        del stack[k:]
+
     def leave(name: str, inside=()) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                del stack[k:]
-                return
-            if stack[k][0] in inside:
-                return
+        """Closes the last open element of a name, unless one of ``inside`` was opened since."""
+        last = lambda one: places[one][-1] if places.get(one) else -1
+        k = last(name)
+        if k >= 0 and all(last(one) <= k for one in inside):
+            drop(k)
 
     while at < n:
         tag = _next_tag(page, at)
@@ -209,7 +222,9 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
         closing, name, attributes, alone = m.group(1), m.group(2).lower(), m.group(3), m.group(4)
         if name in SKIPPED:
             if not closing and not alone:
-                end = re.compile(rf"</{name}\b[^<>]*>?", re.I).search(page, at)
+                end = None if name in endless else re.compile(rf"</{name}\b[^<>]*>?", re.I).search(page, at)
+                if end is None:
+                    endless.add(name)
                 at = end.end() if end else n if name in RAW else at
             continue
         if name == "a":
@@ -223,11 +238,12 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
                 leave(name)
                 continue
             if stack and stack[-1][0] == "p":
-                stack.pop()
+                drop(len(stack) - 1)
             if name in SIBLINGS:
                 leave(name, SIBLINGS[name])
             if not alone:
                 _, main, furniture = stack[-1] if stack else ("", 0, 0)
+                places.setdefault(name, []).append(len(stack))
                 stack.append((name, *_part(name, attributes, main, furniture)))
     close()
     if any(b[4] for b in out):
