@@ -73,12 +73,12 @@ def queries() -> dict:
     }
 
 
-#: The main text of pages as the tables have them: what one article element holds.
+#: The main text of pages as the tables have them: what one article element holds; an ampersand's reference may lack its semicolon.
 _OP1 = r"""
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars
-FROM (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(
+FROM (SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(
         regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '<[^>]*>', ' ', 'g'),
-        '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text
+        '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text
       FROM pages)
 """
 
