@@ -1,9 +1,9 @@
 """Stand-ins for names, addresses, hosts, paths, tickets and ids in texts, the same everywhere, and the way back.
 
 A text is cut into tokens by one pattern (addresses and paths whole, else words and what is between them). A token's shape says whether it is a URL, e-mail
-address, id, host, path, ticket or mention. Names of people, repositories, branches and an operator's terms are a table of any size: a word meets it in a join by the
-name's first token, and the tokens that follow are compared, so the longest name counts; a bitmap of fixed size over the hashes of
-first tokens keeps nearly all other words from being joined at all. At one place addresses and hashes go before names, names before other shapes; leftmost first,
+address, id, host, path, ticket or mention. Names of people, repositories, branches and an operator's terms are a table of any size: runs of tokens meet it in a join by
+the whole name, so the longest name counts, and a first token that many names share costs nothing; bitmaps of fixed size over the hashes of names
+and of their beginnings keep nearly all other runs from being joined at all. At one place addresses and hashes go before names, names before other shapes; leftmost first,
 without overlaps. Stand-ins are numbered by kind in order of first
 sight over the whole table (``PERSON_1``); case does not tell names, addresses, hosts and tickets apart, nor does white space tell names. A file
 keeps its extension. ``Pseudonymised.replaced`` leads back to the very text, spelling by spelling; ``keys`` to the first spelling of a stand-in.
@@ -24,14 +24,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import model
-from ..sources.rounds import cut
+from ..sources.rounds import stored
 from . import rule_engine
 from .numbering import numbered
 
 KINDS = ("EMAIL", "PERSON", "TICKET", "URL", "HOST", "PATH", "BRANCH", "REPO", "TERM", "ID")
 SAME = "SAME"  # what looks like a stand-in already; it stands for itself
 NAME_TOKENS = 15
-#: Bits of the filter of first tokens: 1 MB.
+#: Bits of each of the two filters, of names and of their beginnings: 1 MB.
 SLOTS = 1 << 23
 
 # fmt: off
@@ -208,41 +208,81 @@ def _normal(token: str) -> str:
     return re.sub(r"\s+", " ", token).replace("’", "'").lower()
 
 
-def _slot(first: str) -> int:
-    return zlib.crc32(first.encode()) % SLOTS
+#: What precedes the tokens of names that count as spelled (``titled``), and of those that are lower-cased.
+_EXACT, _LOWERED = b"1", b"0"
+_SPAN = "k binary, doc_id long, start long, end long, kind string, core string, ext string, rank int, name string"
 
 
-_SPAN = "k binary, doc_id long, start long, end long, kind string, core string, ext string, rank int, first string, run array<string>, inside boolean"
-_FIELDS = ("k", "doc_id", "start", "end", "kind", "core", "ext", "rank", "first", "run", "inside")
+def _set(bitmap: bytes, crc: int) -> int:
+    slot = crc % SLOTS
+    return bitmap[slot >> 3] >> (slot & 7) & 1
 
 
-def _scan(batches, bitmap: bytes, width: int, vocabulary, ids):
-    """Shapes, and the runs of tokens that may be names (kind null), of each text."""
+def _scan(batches, begun: bytes, whole: bytes, vocabulary, ids):
+    """Shapes, and the runs of tokens that may be names (kind null; name as in ``names_of``), of each text."""
     pattern = re.compile("|".join(f"(?:{p})" for p in ids)) if ids else None
-    vocabulary, known = frozenset(vocabulary), {}
+    vocabulary, known, lowered = frozenset(vocabulary), {}, {}
+    titles, lows = zlib.crc32(_EXACT), zlib.crc32(_LOWERED)
+
+    def low(token: str) -> bytes:
+        out = lowered.get(token)
+        if out is None:
+            out = _normal(token).encode() + b"\0"
+            if len(lowered) < 100_000:
+                lowered[token] = out
+        return out
+
+    def first(token: str) -> tuple | None:
+        """The hashes of a token that begins a name: lower-cased, as spelled."""
+        a, b = zlib.crc32(low(token), lows), zlib.crc32(token.encode() + b"\0", titles)
+        a, b = a if _set(begun, a) else None, b if _set(begun, b) else None
+        return None if a is None and b is None else (a, b)
+
+    def runs(found: list[str], i: int, crc: int, form):
+        """Ends of the runs of tokens from i on that may be names."""
+        last = min(len(found), i + NAME_TOKENS)
+        while True:
+            i += 1
+            if _set(whole, crc):
+                yield i
+            if i == last:
+                return
+            crc = zlib.crc32(form(found[i]), crc)
+            if not _set(begun, crc):
+                return
+
     for batch in batches:
         out = []
         for k, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("k", "doc_id", "text"))):
             starts, found, shapes = tokens(text, vocabulary, pattern)
             for i, (kind, a, b, ext, rank) in shapes.items():
-                out.append((k, doc_id, starts[i] + a, starts[i] + b, kind, found[i][a:b], ext, rank, None, None, None))
+                out.append((k, doc_id, starts[i] + a, starts[i] + b, kind, found[i][a:b], ext, rank, None))
             for i, token in enumerate(found):
-                hit = known.get(token)
-                if hit is None:
-                    slot = _slot(token.lower())
-                    hit = bool(bitmap[slot >> 3] >> (slot & 7) & 1)
+                hit = known.get(token, known)
+                if hit is known:
+                    hit = first(token)
                     if len(known) < 100_000:
                         known[token] = hit
-                if hit:
-                    back = text[max(0, starts[i] - 200) : starts[i]].rstrip(" \t")
-                    out.append((k, doc_id, starts[i], None, None, None, None, None, token.lower(), found[i : i + width], bool(back) and back[-1] not in ".!?:;\n*->#([\"'"))
+                if hit is None:
+                    continue
+                at = starts[i]
+                if hit[0] is not None:
+                    for j in runs(found, i, hit[0], low):
+                        core = "".join(found[i:j])
+                        out.append((k, doc_id, at, at + len(core), None, core, "", 1, "\0".join(["0", *(low(t)[:-1].decode() for t in found[i:j])])))
+                if hit[1] is not None:
+                    back = text[max(0, at - 200) : at].rstrip(" \t")
+                    if back and back[-1] not in ".!?:;\n*->#([\"'":
+                        for j in runs(found, i, hit[1], lambda t: t.encode() + b"\0"):
+                            core = "".join(found[i:j])
+                            out.append((k, doc_id, at, at + len(core), None, core, "", 1, "\0".join(["1", *found[i:j]])))
             if len(out) > 20_000:
                 yield from _spans(out)
                 out = []
         yield from _spans(out)
 
 
-_ARROW = pa.schema([("k", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("core", pa.string()), ("ext", pa.string()), ("rank", pa.int32()), ("first", pa.string()), ("run", pa.list_(pa.string())), ("inside", pa.bool_())])
+_ARROW = pa.schema([("k", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("core", pa.string()), ("ext", pa.string()), ("rank", pa.int32()), ("name", pa.string())])
 
 
 def _spans(rows):
@@ -271,9 +311,12 @@ def person_names(people: DataFrame, vocabulary: list[str] = VOCABULARY) -> DataF
 def learned(docs: DataFrame) -> DataFrame:
     """(name, kind) that texts teach: local parts of addresses, names before an address in trailers (``Reviewed-by: Jo Doe <jo@x.y>``), and branches of merge subjects."""
     text = F.col("text").cast("string")
-    local = F.transform(F.regexp_extract_all(text, F.lit(f"({EMAIL})"), F.lit(1)), lambda e: F.substring_index(e, "@", 1))
-    trailers = F.transform(F.regexp_extract_all(text, F.lit(r"(?im)^[ \t>*-]{0,20}[a-z][a-z-]{0,40}(?:-by|-with|-to|author)[ \t]*:[ \t]*([^<\n,;]{1,200})<"), F.lit(1)), lambda n: F.trim(n))
-    branches = F.concat(F.regexp_extract_all(text, F.lit(r"(?i)\bmerge (?:remote-tracking )?branch(?:es)? ['\"]([^'\"\n]{1,255})['\"]"), F.lit(1)), F.regexp_extract_all(text, F.lit(rf"(?i)\bmerge pull request #[0-9]{{1,20}} from ([^{_SPACE}]{{1,255}})"), F.lit(1)))
+    low = F.lower(text)
+    every = lambda may, pattern: F.when(may, F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    local = F.transform(every(F.contains(text, F.lit("@")), f"({EMAIL})"), lambda e: F.substring_index(e, "@", 1))
+    trailers = F.transform(every(F.contains(text, F.lit("<")) & F.contains(text, F.lit(":")), r"(?im)^[ \t>*-]{0,20}[a-z][a-z-]{0,40}(?:-by|-with|-to|author)[ \t]*:[ \t]*([^<\n,;]{1,200})<"), lambda n: F.trim(n))
+    merged = F.contains(low, F.lit("merge "))
+    branches = F.concat(every(merged, r"(?i)\bmerge (?:remote-tracking )?branch(?:es)? ['\"]([^'\"\n]{1,255})['\"]"), every(merged, rf"(?i)\bmerge pull request #[0-9]{{1,20}} from ([^{_SPACE}]{{1,255}})"))
     branches = F.filter(F.transform(branches, lambda b: F.rtrim(b, F.lit(_END))), lambda b: (b != "") & ~F.lower(F.regexp_replace(b, "^(?:origin|upstream)/", "")).isin(PUBLIC_BRANCHES))
     of = lambda kind, names: F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(kind).alias("kind")))
     found = docs.where(text.isNotNull()).select(F.explode(F.concat(of("PERSON", local), of("PERSON", trailers), of("BRANCH", branches))).alias("f"))
@@ -281,8 +324,8 @@ def learned(docs: DataFrame) -> DataFrame:
 
 
 def names_of(docs: DataFrame, people: DataFrame | None = None, others: DataFrame | None = None, vocabulary: list[str] = VOCABULARY) -> DataFrame:
-    """(first, pieces, kind, titled, length) of all names: ``people`` (name) and ``others`` (name, kind) as given, and what the texts teach. A term goes before a repository, branch, path and person of its spelling."""
-    taught = cut(learned(docs))
+    """(name, pieces, kind, titled) of all names, ``name`` their tokens as runs of tokens are compared: ``people`` (name) and ``others`` (name, kind) as given, and what the texts teach. A term goes before a repository, branch, path and person of its spelling."""
+    taught = stored(learned(docs))
     folk = taught.where("kind = 'PERSON'").select("name")
     folk = person_names(folk if people is None else folk.union(people.select("name")), vocabulary)
     rest = taught.where("kind <> 'PERSON'").select("name", "kind")
@@ -299,20 +342,32 @@ def names_of(docs: DataFrame, people: DataFrame | None = None, others: DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("spelled", "titled", "kind")] + [pa.array(found, pa.list_(pa.string()))], ["spelled", "titled", "kind", "pieces"])
 
     best = best.mapInArrow(cut_names, "spelled string, titled boolean, kind string, pieces array<string>")
-    long = F.when(F.size("pieces") > NAME_TOKENS, F.raise_error(F.concat(F.lit("a name of too many tokens: "), "spelled"))).otherwise(F.size("pieces"))
-    return best.select("spelled", "pieces", "kind", "titled", F.length("spelled").alias("length")).where(F.size("pieces") > 0).select(F.lower(F.col("pieces")[0]).alias("first"), "pieces", "kind", "titled", "length", long.cast("int").alias("n"))
+    long = F.when(F.size("pieces") > NAME_TOKENS, F.raise_error(F.concat(F.lit("a name of too many tokens: "), "spelled"))).otherwise(F.size("pieces")).cast("int")
+    pieces = F.when(long > 0, F.col("pieces"))
+    return best.where(F.size("pieces") > 0).select(_joined(F.col("titled"), pieces).alias("name"), pieces.alias("pieces"), "kind", "titled")
+
 
+def _joined(titled: Column, pieces: Column) -> Column:
+    return F.concat_ws("\0", F.when(titled, "1").otherwise("0"), pieces)
 
-def _bitmap(names: DataFrame) -> bytes:
-    """One bit a slot of a first token's hash, SLOTS bits whatever the number of names."""
-    slot = F.pmod(F.crc32(F.col("first").cast("binary")), F.lit(SLOTS))
-    parts = names.select((slot + 1).alias("slot")).groupBy(F.call_function("bitmap_bucket_number", F.col("slot")).alias("part")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("slot"))).alias("bits"))
+
+def _bitmap(keys: Column, names: DataFrame) -> bytes:
+    """One bit a slot of a key's hash, SLOTS bits whatever the number of names. ``keys``: arrays."""
+    slot = F.pmod(F.crc32(F.col("key").cast("binary")), F.lit(SLOTS))
+    parts = names.select(F.explode(keys).alias("key")).select((slot + 1).alias("slot")).groupBy(F.call_function("bitmap_bucket_number", F.col("slot")).alias("part")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("slot"))).alias("bits"))
     out = bytearray(SLOTS // 8)
     for row in parts.collect():
         out[(row.part - 1) * 4096 : row.part * 4096] = row.bits
     return bytes(out)
 
 
+def _bitmaps(names: DataFrame) -> tuple[bytes, bytes]:
+    """Of the beginnings of names, token by token, and of whole names; a token's hash goes on from the one before, after a mark for titled ones."""
+    mark, ends = F.when(F.col("titled"), _EXACT.decode()).otherwise(_LOWERED.decode()), F.sequence(F.lit(1), F.size("pieces"))
+    upto = lambda n: F.concat(mark, F.array_join(F.slice("pieces", 1, n), "\0"), F.lit("\0"))
+    return _bitmap(F.transform(ends, upto), names), _bitmap(F.array(upto(F.size("pieces"))), names)
+
+
 def _leftmost(batches):
     """Of the candidates of each text, by place, the first that doesn't overlap the one before."""
     last, reach = None, -1
@@ -342,16 +397,14 @@ def occurrences(docs: DataFrame, names: DataFrame, vocabulary: list[str] = VOCAB
     """(k, doc_id, start, end, kind, core, ext): what is replaced in each distinct (doc_id, text), in code points."""
     text = F.col("text").cast("string")
     rows = docs.where(text.isNotNull()).select(_row_key(F.col("doc_id"), text).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    bitmap, width = _bitmap(names), names.agg(F.max("n")).first()[0] or 1  # at most NAME_TOKENS
-    scanned = cut(rows.mapInArrow(lambda batches: _scan(batches, bitmap, width, vocabulary, list(ids)), _SPAN))
-    shaped = scanned.where("kind is not null").select("k", "doc_id", "start", "end", "kind", "core", "ext", "rank")
-    met = scanned.where("kind is null").select("k", "doc_id", "start", "first", "run", "inside").join(names, "first")
-    mine = F.slice("run", 1, F.col("n"))
-    normal = F.transform(mine, lambda t: F.replace(F.lower(F.regexp_replace(t, rf"[{_SPACE}]+", " ")), F.lit("’"), F.lit("'")))
-    equal = F.when(F.col("titled"), (mine == F.col("pieces")) & F.col("inside")).otherwise(normal == F.col("pieces"))
-    core = F.array_join(mine, "")
-    named = met.where(equal).select("k", "doc_id", "start", (F.col("start") + F.length(core)).alias("end"), "kind", core.alias("core"), F.lit("").alias("ext"), F.lit(1).alias("rank"))
-    both = shaped.unionByName(named).distinct().repartition("k").sortWithinPartitions("k", "start", "rank", F.desc("end"), "kind")
+    begun, whole = _bitmaps(names)
+    session = docs.sparkSession
+    tasks = 4 * max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))  # mostly computation, and texts differ in length
+    scanned = stored(rows.repartition(tasks, "k").mapInArrow(lambda batches: _scan(batches, begun, whole, vocabulary, list(ids)), _SPAN))
+    named = scanned.where("kind is null").drop("kind").join(names.select("name", "kind"), "name")
+    spans = ["k", "doc_id", "start", "end", "kind", "core", "ext", "rank"]
+    # equal spans overlap, so of rows that agree in id and text one is left
+    both = scanned.where("kind is not null").select(*spans).union(named.select(*spans)).repartition("k").sortWithinPartitions("k", "start", "rank", F.desc("end"), "kind")
     return both.mapInArrow(_leftmost, "k binary, doc_id long, start long, end long, kind string, core string, ext string, rank int").drop("rank")
 
 
@@ -375,25 +428,39 @@ def _replace(texts: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.select("k", "doc_id", "text", "r").mapInArrow(_rewritten, "k binary, doc_id long, text string")
 
 
-def pseudonymise(docs: DataFrame, people: DataFrame | None = None, others: DataFrame | None = None, ids: list[str] = (), vocabulary: list[str] = VOCABULARY) -> Pseudonymised:
-    """Texts with stand-ins, the key table, and the spellings replaced. ``people`` (name) and ``others`` (name, kind REPO, TERM, BRANCH or PATH) are names known beforehand; ``ids`` are patterns of record ids."""
-    docs = docs.select("doc_id", "text")
-    found = cut(occurrences(docs, cut(names_of(docs, people, others, vocabulary)), vocabulary, ids))
+def _found(docs: DataFrame, people: DataFrame | None, others: DataFrame | None, ids: list[str], vocabulary: list[str]) -> DataFrame:
+    """What is replaced, with the key under which stand-ins are given."""
+    found = occurrences(docs, stored(names_of(docs, people, others, vocabulary)), vocabulary, ids)
     kind, core = F.col("kind"), F.col("core")
     key = F.when(kind.isin("URL", "PATH", "BRANCH", "ID", SAME), core).when(kind.isin("PERSON", "REPO", "TERM"), name_key(core)).otherwise(F.lower(core))
-    found = found.withColumn("key", key)
+    return stored(found.withColumn("key", key))
+
+
+def _keys(found: DataFrame) -> DataFrame:
+    """(kind, key, original, n_uses, stand_in) of what is replaced."""
     first = F.struct("doc_id", "k", "start")
     seen = found.groupBy("kind", "key").agg(F.min(first).alias("_first"), F.min_by("core", first).alias("original"), F.count("*").alias("n_uses"))
     seen = seen.select("kind", "key", "original", "n_uses", "_first.*")
-    keys = cut(numbered(seen, ["kind"], ["doc_id", "k", "start", "key"]).select("kind", "key", "original", "n_uses", F.when(F.col("kind") == SAME, F.col("key")).otherwise(F.concat_ws("_", "kind", F.col("n").cast("string"))).alias("stand_in")))
-    placed = cut(found.join(keys.select("kind", "key", "stand_in"), ["kind", "key"]).withColumn("new", F.concat("stand_in", "ext")).where("kind <> 'SAME'"))
+    return stored(numbered(seen, ["kind"], ["doc_id", "k", "start", "key"]).select("kind", "key", "original", "n_uses", F.when(F.col("kind") == SAME, F.col("key")).otherwise(F.concat_ws("_", "kind", F.col("n").cast("string"))).alias("stand_in")))
+
+
+def _shown(keys: DataFrame) -> DataFrame:
+    return keys.where(F.col("kind") != SAME).drop("key")
+
+
+def pseudonymise(docs: DataFrame, people: DataFrame | None = None, others: DataFrame | None = None, ids: list[str] = (), vocabulary: list[str] = VOCABULARY) -> Pseudonymised:
+    """Texts with stand-ins, the key table, and the spellings replaced. ``people`` (name) and ``others`` (name, kind REPO, TERM, BRANCH or PATH) are names known beforehand; ``ids`` are patterns of record ids."""
+    docs = docs.select("doc_id", "text")
+    found = _found(docs, people, others, ids, vocabulary)
+    keys = _keys(found)
+    placed = found.join(keys.select("kind", "key", "stand_in"), ["kind", "key"]).withColumn("new", F.concat("stand_in", "ext")).where("kind <> 'SAME'")
     texts = _replace(docs, placed.select("k", "start", "end", "new"))
     moved = F.sum(F.length("new") - (F.col("end") - F.col("start"))).over(Window.partitionBy("k").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     at = F.col("start") + F.coalesce(moved, F.lit(0))
     replaced = placed.select("k", at.alias("start"), (at + F.length("new")).alias("end"), "stand_in", F.col("core").alias("original"))
     new_keys = texts.where("k is not null").select("k", _row_key(F.col("doc_id"), F.col("text")).alias("new_k")).distinct()
     replaced = replaced.join(new_keys, "k").select(F.col("new_k").alias("k"), "start", "end", "stand_in", "original").distinct()
-    return Pseudonymised(texts.drop("k"), keys.where(F.col("kind") != SAME).drop("key"), replaced)
+    return Pseudonymised(texts.drop("k"), _shown(keys), replaced)
 
 
 def restored(texts: DataFrame, replaced: DataFrame) -> DataFrame:
@@ -408,5 +475,5 @@ def pseudonymised_documents(spark, sf_dir):
 
 
 def pseudonym_keys(spark, sf_dir):
-    """The key table of the documents' stand-ins."""
-    return pseudonymise(model.table(spark, sf_dir, "documents")).keys
+    """The key table of the documents' stand-ins; no text is rewritten for it."""
+    return _shown(_keys(_found(model.table(spark, sf_dir, "documents").select("doc_id", "text"), None, None, [], VOCABULARY)))
