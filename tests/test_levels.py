@@ -1,5 +1,6 @@
 """Delivery levels at each bound, test paths, first commits after deployments, near people and middles against plain Python."""
 
+import collections
 import datetime as dt
 import random
 
@@ -43,6 +44,17 @@ def test_first_commit_after(spark):
     assert {r.deploy_id: r.id for r in got} == want and len(got) == len(want)
 
 
+def test_near_people_of_few_words(spark, monkeypatch):
+    """Words that many people have: each pair once, and pairs spread over tasks."""
+    monkeypatch.setattr(tracker, "BLOCK", 16)
+    people = [(k, 0 if k < 390 else 1, f"dev{k % 4}") for k in range(400)]
+    got = tracker.near_people(spark.createDataFrame(people, "id long, domain long, local string")).withColumn("task", F.spark_partition_id()).collect()
+    want = {(a, b) for a, d, x in people for b, e, y in people if a < b and d == e and x != y}
+    assert len(got) == len(want) and {(r.id, r.other) for r in got} == want and {(r.edits, r.confidence) for r in got} == {(1, 0.85)}
+    tasks = collections.Counter(r.task for r in got)
+    assert max(tasks.values()) < len(got) / 4
+
+
 def test_near_people(spark):
     rng = random.Random(1)
     people = [(k, rng.randrange(2), "".join(rng.choice("abc") for _ in range(rng.randrange(0, 6)))) for k in range(80)]

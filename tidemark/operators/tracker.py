@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..functions.timefx import quarter, quarter_index, seconds
 from ..sources import model
+from ..sources.rounds import stored
 from . import classify as cascade
+from .numbering import numbered
+
+#: People of one local part that a pairing of blocks takes from a side, so at most BLOCK squared pairs.
+BLOCK = 512
 
 
 def completions_per_quarter(spark, sf_dir):
@@ -97,12 +102,22 @@ def _shorter(words):
 def near_people(people: DataFrame) -> DataFrame:
     """id, other, edits, confidence of people (id, domain, local) of one domain with local parts one or two edits apart.
 
-    Two words within two edits have a form in common after at most two deletions each, so they meet on (domain, form), never all pairs of a domain."""
-    forms = people.select("id", "domain", "local", F.explode(_shorter(_shorter(F.array("local")))).alias("form"))
-    other = forms.select(F.col("id").alias("other"), "domain", F.col("local").alias("other_local"), "form")
-    pairs = forms.join(other, ["domain", "form"]).where("id < other").select("id", "other", "local", "other_local").distinct()
-    pairs = pairs.withColumn("edits", F.levenshtein("local", "other_local").cast("long")).where("edits between 1 and 2")
-    return pairs.select("id", "other", "edits", F.when(F.col("edits") == 1, 0.85).otherwise(0.78).alias("confidence"))
+    Two words within two edits have a form in common after at most two deletions each, so distinct words of a domain meet on (domain, form), never all pairs,
+    and are compared once, however many people have them. People are then paired by their words: a word's people in blocks of BLOCK, and a pair of blocks is a
+    group of a join, so that words that many people have are spread over the tasks. A pair a row remains, as the result asks for each."""
+    people = people.select("id", "domain", "local").where("id is not null").distinct()
+    words = people.select("domain", "local").distinct()
+    forms = words.select("domain", "local", F.explode(_shorter(_shorter(F.array("local")))).alias("form"))
+    met = forms.join(forms.withColumnRenamed("local", "other_local"), ["domain", "form"]).where("local < other_local").select("domain", "local", "other_local").distinct()
+    near = met.withColumn("edits", F.levenshtein("local", "other_local").cast("long")).where("edits between 1 and 2")
+    placed = numbered(people.select("domain", "local", "id"), ["domain", "local"], ["id"], "_n")
+    blocks = stored(placed.groupBy("domain", "local", F.floor((F.col("_n") - 1) / BLOCK).alias("_block")).agg(F.collect_list("id").alias("ids")))  # at most BLOCK ids
+    first = blocks.select("domain", "local", F.col("ids").alias("_a"))
+    second = blocks.select("domain", F.col("local").alias("other_local"), F.col("ids").alias("_b"))
+    tasks = 4 * max(people.sparkSession.sparkContext.defaultParallelism, int(people.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = near.join(first, ["domain", "local"]).join(second, ["domain", "other_local"]).repartition(tasks)
+    pairs = dealt.select("edits", F.explode("_a").alias("_x"), "_b").select("edits", "_x", F.explode("_b").alias("_y")).where("_x <> _y")
+    return pairs.select(F.least("_x", "_y").alias("id"), F.greatest("_x", "_y").alias("other"), "edits", F.when(F.col("edits") == 1, 0.85).otherwise(0.78).alias("confidence"))
 
 
 def same_names(spark, sf_dir):
