@@ -86,6 +86,19 @@ def test_attachment_links(spark):
     assert [tuple(r) for r in work_items.attachment_links(attachments, items, pulls).collect()] == [("OWN/repo", 5, "K-1")]
 
 
+def test_fields_are_read_once(spark):
+    """The same as path by path on odd items, with few calls that read the text."""
+    raws = ['{"user": "{\\"name\\": \\"x\\"}"}', '{"user": {"name": "", "login": "l"}}', '{"fields": "{\\"reporter\\": \\"x\\"}", "author": "a"}', '{"fields": {"fields": "f", "reporter": {"name": " n "}, "parent": {"id": 7.50}}}', '{"fields": null, "parent": [1], "created": 5}']
+    raws += ['{"fields": ["a"], "creator": 1.50, "estimate": "3"}', "[1]", "", '{"user": "a", broken', None, '{"fields": {"System.Parent": 12, "created": "2024-01-02T03:04:05Z"}, "body": "<p> a </p>"}', '{"user": {"login": {"a": 1}}, "author": {"id": 1}}', '{"user": true, "description": {"type": "doc"}, "body": "b"}']
+    items = spark.createDataFrame(list(enumerate(raws)), "id int, raw string")
+    raw = F.col("raw")
+    want = items.select("id", work_items.reporter(raw), work_items.description(raw), work_items.created(raw), work_items.parent(raw), work_items.story_points(raw))
+    got = work_items.fields_of(items)
+    assert list(map(tuple, got.orderBy("id").collect())) == list(map(tuple, want.orderBy("id").collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") + plan.count("jsontostructs") + plan.count("json_tuple") <= 4
+
+
 def test_story_points(spark):
     raws = ['{"fields": {"Story Points": "5", "customfield_10004": 8}, "estimate": 3}', '{"fields": {"story_points": 90, "customfield_10016": 2.5}}', '{"estimate": 3}', '{"fields": {"storyPoints": {"v": 1}}, "customfield_13737": " 8 "}', '{"fields": null}', "no", None]
     assert _values(spark, list(enumerate(raws)), "id int, raw string", work_items.story_points(F.col("raw"))) == [5.0, 2.5, 3.0, 8.0, None, None, None]

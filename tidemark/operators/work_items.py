@@ -60,22 +60,50 @@ def _keyed(key: str):
     return lambda field: field["key"] == key
 
 
+def _entries(text: Column) -> Column:
+    return F.array_sort(F.map_entries(F.from_json(text, "map<string,string>")))
+
+
+def _points(fields: Column) -> Column:
+    """Plausible points among entries, by name before by id."""
+    named = F.filter(fields, lambda f: F.lower(F.regexp_replace(f["key"], r"[^\p{L}\p{N}]", "")).isin(POINT_NAMES))
+    by_id = [F.filter(fields, _keyed(i)) for i in POINT_IDS]
+    ordered = [F.transform(entries, lambda f: F.trim(f["value"]).try_cast("double")) for entries in [named, *by_id]]
+    return F.coalesce(*[F.try_element_at(F.filter(values, lambda v: v.between(*POINTS)), F.lit(1)) for values in ordered])
+
+
 def story_points(raw: Column) -> Column:
     """Plausible points of a field by name (in order of names), else by id, in $.fields before the item itself; numbers or texts of numbers."""
-    tried = []
-    for text in (F.get_json_object(raw, "$.fields"), raw):
-        fields = F.array_sort(F.map_entries(F.from_json(text, "map<string,string>")))
-        named = F.filter(fields, lambda f: F.lower(F.regexp_replace(f["key"], r"[^\p{L}\p{N}]", "")).isin(POINT_NAMES))
-        by_id = [F.filter(fields, _keyed(i)) for i in POINT_IDS]
-        ordered = [F.transform(entries, lambda f: F.trim(f["value"]).try_cast("double")) for entries in [named, *by_id]]
-        tried += [F.try_element_at(F.filter(values, lambda v: v.between(*POINTS)), F.lit(1)) for values in ordered]
-    return F.coalesce(*tried)
+    return F.coalesce(*[_points(_entries(text)) for text in (F.get_json_object(raw, "$.fields"), raw)])
+
+
+def _place(path: str) -> tuple[bool, str]:
+    """Whether a path is in $.fields, and its last name."""
+    inner = path.startswith("$.fields")
+    return inner, path.removeprefix("$.fields").removeprefix("$").strip(".[]'")
 
 
 def fields_of(items: DataFrame) -> DataFrame:
-    """id, reporter, description, created_at, parent and points of items (id, raw as JSON text); null where no provider's path holds one or the text isn't JSON."""
+    """id, reporter, description, created_at, parent and points of items (id, raw as JSON text); null where no provider's path holds one or the text isn't JSON.
+
+    A text is read once for all names of the item and once for those of its fields, not once a path; only objects are looked into by path. Of a
+    name that an object repeats, the last counts."""
     raw = F.col("raw")
-    return items.select("id", reporter(raw).alias("reporter"), description(raw).alias("description"), created(raw).alias("created_at"), parent(raw).alias("parent"), story_points(raw).alias("points"))
+    paths = list(dict.fromkeys(REPORTER + DESCRIPTION + CREATED + PARENT))
+    outer, inner = ([path for path in paths if _place(path)[0] == inside] for inside in (False, True))
+    at = {path: f"_{k}" for k, path in enumerate(paths)}
+    rows = items.select("id", "raw", F.json_tuple("raw", "fields", *[_place(path)[1] for path in outer]).alias("_fields", *[at[path] for path in outer]))
+    # a text may hold JSON too, but is no object
+    object_ = ~raw.rlike(r'"fields"\s*:\s*"') | F.coalesce(*[F.get_json_object(raw, path) for path in inner]).isNotNull()
+    rows = rows.withColumn("_object", F.when(object_, F.col("_fields")))
+    rows = rows.select("*", F.json_tuple("_object", *[_place(path)[1] for path in inner]).alias(*[at[path] for path in inner]))
+    rows = rows.select("*", _entries(F.col("_fields")).alias("_inner"), _entries(raw).alias("_outer"))
+    scalar = lambda path: _filled(F.when(~F.ltrim(F.col(at[path])).rlike(r"^[{\[]"), F.col(at[path])))
+    within = lambda path, key: F.when(F.startswith(F.ltrim(F.col(at[path])), F.lit("{")), _scalar(raw, f"{path}.{key}"))
+    first = lambda of, keys: F.coalesce(*[within(path, key) if key else scalar(path) for path in of for key in ["", *keys]])
+    plain = F.coalesce(*[_filled(F.regexp_replace(scalar(path), "<[^>]*>", " ")) for path in DESCRIPTION])
+    time = F.coalesce(*[F.try_to_timestamp(scalar(path)) for path in CREATED])
+    return rows.select("id", first(REPORTER, PERSON).alias("reporter"), plain.alias("description"), time.alias("created_at"), first(PARENT, PARENT_KEYS).alias("parent"), F.coalesce(_points(F.col("_inner")), _points(F.col("_outer"))).alias("points"))
 
 
 def attachment_links(attachments: DataFrame, items: DataFrame, pull_requests: DataFrame) -> DataFrame:
@@ -100,7 +128,9 @@ def work_item_fields(spark, sf_dir):
     linear = text('{"creator": {"name": "", "emailAddress": "', who, '"}, "createdAt": "', day, '", "parent": {"identifier": "L-', (k % 30).cast("string"), '"}}')
     github = text('{"user": {"login": "', who, '"}, "created_at": "', day, '", "body": "Fix ', k.cast("string"), '"}')
     raw = F.when(k % 5 == 0, jira).when(k % 5 == 1, azure).when(k % 5 == 2, linear).when(k % 5 == 3, github).otherwise("not json")
-    rows = fields_of(model.table(spark, sf_dir, "orders").select(k.alias("id"), raw.alias("raw")))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # mostly computation, so no fewer tasks than cores
+    orders = model.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate").repartition(tasks)
+    rows = fields_of(orders.select(k.alias("id"), raw.alias("raw")))
     return rows.groupBy("reporter").agg(F.count("*").alias("n"), F.count("description").alias("described"), F.countDistinct("parent").alias("parents"), F.min("created_at").alias("first_at"), F.sum("points").alias("points"))
 
 
