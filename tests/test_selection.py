@@ -128,6 +128,19 @@ def test_walk_states(spark):
     assert {tuple(r) for r in got} == {("a", False, "h1", 3), ("b", False, None, 1), ("c", False, "x", 1), ("d", True, "y", 2)}
 
 
+def test_repredict_by_message(spark, monkeypatch):
+    """Equal messages are classified once; null ones are empty, merges are told apart, and other columns stay."""
+    rows = [(f"s{k}", "r", "fix: crash" if k % 3 else None, None if k % 5 == 4 else k % 2 == 0) for k in range(60)]
+    commits = spark.createDataFrame(rows, "sha string, repository string, message string, is_merge boolean")
+    sample = commits.select("sha", "repository", F.lit("old").alias("category"), F.col("sha").alias("message"))
+    seen, classify = [], evaluation.rule_engine.classify
+    monkeypatch.setattr(evaluation.rule_engine, "classify", lambda found, *a, **b: (seen.append(found.count()), classify(found, *a, **b))[1])
+    got = evaluation.repredict(sample, commits).collect()
+    want = {r.sha: (r.category, r.subcategory, r.confidence, r.method) for r in classify(commits).collect()}
+    assert seen == [6] and len(got) == 60
+    assert all((r.category, r.subcategory, r.confidence, r.method) == want[r.sha] and r.message == r.sha for r in got)
+
+
 def test_repredict(spark):
     commits = spark.createDataFrame([("s1", "r", "fix: crash", False), ("s2", "r", "PROJ-1 words", False)], "sha string, repository string, message string, is_merge boolean")
     sample = spark.createDataFrame([("s1", "r", "old", 2.0), ("s1", "r", "old", 3.0)], "sha string, repository string, category string, weight double")
