@@ -94,6 +94,27 @@ def test_names_that_share_their_first_token(spark):
     assert got == "PERSON_1 " * 500 + "PERSON_2 PERSON_3 PERSON_1.300 PERSON_1 7"
 
 
+def test_only_lively_parts_are_cut(spark, monkeypatch):
+    """Plain prose isn't cut into tokens; what is found, also around white space and marks, is what cutting all of a text finds."""
+    rng = random.Random(7)
+    terms = ["jane doe", "' foo", "(x) y", "o’brien", "a-b c", "été", "foo: bar", "blue falcon of the north"]
+    docs, others = spark.createDataFrame([(1, "x", "")], DOCS), spark.createDataFrame([(t, "TERM") for t in terms], "name string, kind string")
+    maps = ps._bitmaps(ps.names_of(docs, others=others).persist())
+
+    def found(texts, maps):
+        batch = pa.RecordBatch.from_pydict({"k": [str(k).encode() for k in range(len(texts))], "doc_id": list(range(len(texts))), "text": texts})
+        return sorted((repr(r) for b in ps._scan([batch], *maps, ps.VOCABULARY, []) for r in b.to_pylist() if r["kind"] or r["name"][2:].replace("\0", "") in terms + ["o'brien"]))
+
+    bits = ["jane", "DOE", "Jane  doe", "jane\ndoe", "' foo", "a' foo", "(x) y", "O'Brien,", "a-b", "c", "ÉTÉ.", "foo:", "foo", "bar", "::1", "ab::", "10.0.0.1", "x@y.zz", "utf-8", "e.g.", "PROJ-1", "[x1-2]", "node.js", "blue falcon of", "the north", "w" * 40, "plain", "\xa0", "\r\n", ")", ".", ":", "/", "-"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", " ", "\t"]) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    assert len(found(texts, maps)) > 1000 and found(texts, maps) == found(texts, (*maps[:2], " ", *maps[3:]))
+
+    cut, tokens = [], ps.tokens
+    monkeypatch.setattr(ps, "tokens", lambda text, *how: cut.append(len(text)) or tokens(text, *how))
+    assert len(found(["Plain words, and (more) of them. " * 1000 + "mail x@y.zz " + "and so on; " * 1000], maps)) == 1
+    assert sum(cut) < 500
+
+
 def test_numbers_along_groups(spark):
     rng = random.Random(5)
     rows = [(rng.choice(["a", "b", None]), k, rng.random()) for k in range(2000)]

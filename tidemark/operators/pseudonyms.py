@@ -17,9 +17,13 @@ from __future__ import annotations
 import ipaddress
 import re
 import zlib
+from bisect import bisect_left, bisect_right
+from itertools import accumulate, compress, repeat
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +35,9 @@ from .numbering import numbered
 KINDS = ("EMAIL", "PERSON", "TICKET", "URL", "HOST", "PATH", "BRANCH", "REPO", "TERM", "ID")
 SAME = "SAME"  # what looks like a stand-in already; it stands for itself
 NAME_TOKENS = 15
+#: Tokens that a task remembers.
+MARKS = 200_000
+IN_CONTEXT = object()  # a shape that depends on what is before and after a token
 #: Bits of each of the two filters, of names and of their beginnings: 1 MB.
 SLOTS = 1 << 23
 
@@ -65,11 +72,13 @@ MENTION = r"@[A-Za-z0-9_][A-Za-z0-9_./-]*(?:\[bot\])?"
 WORD = rf"[{_WORDY}]+"
 OTHER = rf"[^{_WORDY}@/~.\\%+-]+|(?s:.)"
 TOKEN = "|".join([URL, EMAIL, UUID, IPV6, PATH, DOTTED, TICKET, MENTION, WORD, OTHER])
+# Most tokens, told by their ends without a try of each pattern: a word before nothing that goes on, and what can't begin another pattern. They cut as TOKEN does.
+PLAIN = rf"[{_WORDY}]++(?![@:/~.\\%+-](?![{_SPACE}]))|[^{_WORDY}@:/~.\\%+-][^{_WORDY}@/~.\\%+-]*+"
 INNER = "|".join([TICKET, WORD, OTHER])
 _PLACEHOLDER = re.compile(f"(?:{'|'.join(KINDS)})_[0-9]+")
 
 
-_TOKEN, _INNER, _WORDS = re.compile(TOKEN), re.compile(INNER), re.compile(WORD)
+_INNER, _WORDS = re.compile(INNER), re.compile(WORD)
 _URL, _EMAIL, _UUID, _DOTTED, _TICKET, _MENTION, _PATH = (re.compile(f"(?:{p})") for p in (URL, EMAIL, UUID, DOTTED, TICKET, MENTION, PATH))
 _SETS = {name: frozenset(v.lower() for v in values) for name, values in (("ext", EXTENSIONS), ("stem", FILE_STEMS), ("not file", NOT_FILES), ("host", HOST_SUFFIXES), ("word", WORD_SUFFIXES), ("code", CODE_LABELS), ("not ticket", NOT_TICKETS), ("stop", TICKET_STOPS))}
 _PAIRS = frozenset(PROSE_PAIRS) | {"/".join(reversed(p.split("/"))) for p in PROSE_PAIRS}
@@ -171,45 +180,68 @@ def shape(token: str, before: str, after: str, vocabulary) -> tuple | None:
     return None
 
 
-def tokens(text: str, vocabulary, ids: re.Pattern | None = None) -> tuple[list[int], list[str], dict[int, tuple]]:
-    """Starts and tokens in order, and the shapes by number of token. Dotted names and paths that are neither are cut further, so that names in them are seen."""
-    starts, found, shapes = [], [], {}
-    pattern = _TOKEN if ids is None else re.compile(f"(?:{ids.pattern})|{TOKEN}")
-
-    def add(at: int, token: str, whole: bool) -> None:
-        if token.isalpha() and len(token) < 32 or not any(map(str.isalnum, token)):
-            told = None
-        elif ids is not None and ids.fullmatch(token):
-            told = ("ID", 0, len(token), "", 0)
-        else:
-            end = at + len(token)
-            told = shape(token, text[at - 1 : at] if at else "", text[end : end + 2], vocabulary)
-            if told is None and whole and not _WORDS.fullmatch(token):
-                for inner in _INNER.finditer(token):
-                    add(at + inner.start(), inner.group(), False)
-                return
-        if told is not None:
-            shapes[len(found)] = told
-        starts.append(at)
-        found.append(token)
-
-    at = 0
-    for token in pattern.findall(text):  # every character is in a token
-        if token.isalpha() and len(token) < 32 or token.isspace():
-            starts.append(at)
-            found.append(token)
-        else:
-            add(at, token, True)
-        at += len(token)
-    return starts, found, shapes
+class _Marks(dict):
+    """By token, what is told of it alone, kept for the first MARKS of them: None of a plain one, else (hash of a name's beginning lower-cased, as spelled, shape).
+
+    ``begun`` is the bitmap of beginnings, if names matter; the shape of a token of more than one word is IN_CONTEXT."""
+
+    def __init__(self, vocabulary, ids: list[str] = (), begun: bytes | None = None):
+        self.vocabulary, self.begun = frozenset(vocabulary), begun
+        self.ids = re.compile("|".join(f"(?:{p})" for p in ids)) if ids else None
+        self.pattern = re.compile("|".join([f"(?:{p})" for p in ids] + [PLAIN, TOKEN]))
+
+    def __missing__(self, token: str) -> tuple | None:
+        a = b = told = None
+        if self.begun is not None:
+            a, b = zlib.crc32(_low(token), _LOWS), zlib.crc32(token.encode() + b"\0", _TITLES)
+            a, b = a if _set(self.begun, a) else None, b if _set(self.begun, b) else None
+        if not (token.isalpha() and len(token) < 32) and any(map(str.isalnum, token)):
+            if self.ids is not None and self.ids.fullmatch(token):
+                told = ("ID", 0, len(token), "", 0)
+            else:
+                told = shape(token, "", "", self.vocabulary) if _WORDS.fullmatch(token) else IN_CONTEXT
+        mark = None if a is None and b is None and told is None else (a, b, told)
+        if len(self) < MARKS:
+            self[token] = mark
+        return mark
+
+
+def tokens(text: str, known: _Marks) -> tuple[list[int], list[str], list[tuple | None], dict[int, tuple]]:
+    """Starts, tokens and marks in order, and the shapes by number of token. Dotted names and paths that are neither are cut further, so that names in them are seen."""
+
+    def marked(found):
+        marks = [*map(known.__getitem__, found)]
+        return [*accumulate(map(len, found), initial=0)], found, marks, {i: marks[i][2] for i in compress(range(len(found)), marks) if marks[i][2] is not None}
+
+    def in_context(i):
+        return shape(found[i], text[starts[i] - 1 : starts[i]] if starts[i] else "", text[starts[i + 1] : starts[i + 1] + 2], known.vocabulary)
+
+    starts, found, marks, shapes = marked(known.pattern.findall(text))  # every character is in a token
+    told = {starts[i]: in_context(i) for i, s in shapes.items() if s is IN_CONTEXT}
+    if None in told.values():
+        parts, last = [], 0
+        for i in shapes:
+            if told.get(starts[i], shapes[i]) is None:
+                parts += found[last:i] + _INNER.findall(found[i])
+                last = i + 1
+        whole = {at: s for at, s in told.items() if s is not None}
+        starts, found, marks, shapes = marked(parts + found[last:])
+        told = {starts[i]: whole[starts[i]] if starts[i] in whole else in_context(i) for i, s in shapes.items() if s is IN_CONTEXT}
+    shapes = {i: told[starts[i]] if s is IN_CONTEXT else s for i, s in shapes.items()}
+    return starts, found, marks, {i: s for i, s in shapes.items() if s is not None}
 
 
 def _normal(token: str) -> str:
-    return re.sub(r"\s+", " ", token).replace("’", "'").lower()
+    return token.lower() if token.isalnum() else re.sub(r"\s+", " ", token).replace("’", "'").lower()
+
+
+def _low(token: str) -> bytes:
+    return _normal(token).encode() + b"\0"
 
 
 #: What precedes the tokens of names that count as spelled (``titled``), and of those that are lower-cased.
 _EXACT, _LOWERED = b"1", b"0"
+_TITLES, _LOWS = zlib.crc32(_EXACT), zlib.crc32(_LOWERED)
 _SPAN = "k binary, doc_id long, start long, end long, kind string, core string, ext string, rank int, name string"
 
 
@@ -218,29 +250,123 @@ def _set(bitmap: bytes, crc: int) -> int:
     return bitmap[slot >> 3] >> (slot & 7) & 1
 
 
-def _scan(batches, begun: bytes, whole: bytes, vocabulary, ids):
+#: What of a chunk's start belongs to the white space before it; how much text is split at a time.
+_LEAD, _AT_ONCE = re.compile(rf"[^{_WORDY}@/~.\\%+-]*"), 1 << 20
+_AROUND = re.compile(rf"[^{_WORDY}@:/~.\\%+-]*\0(?:[^{_WORDY}@:/~.\\%+-]*\.?|:)")
+
+
+def _blanked(text: str) -> str:
+    """The text with spaces for all white space of _SPACE."""
+    for c in "\n\t\r\x0b\f":
+        text = text.replace(c, " ")
+    return text
+
+
+class _Lively:
+    """Which chunks (what is between white space) may hold a shape or begin a name; the other ones, most of a text, are not cut into tokens at all.
+
+    ``opens``: first characters of the names whose first token goes on over white space, as a chunk may only end in them."""
+
+    def __init__(self, known: _Marks, opens: str):
+        self.known, self.opens = known, opens
+        self.bits = np.frombuffer(known.begun, np.uint8)
+        self.seen, self.lively, self.around = set(), set(), {}
+
+    def learn(self, chunks: set[str]) -> None:
+        if len(self.seen) > MARKS:
+            self.seen, self.lively = set(), set()
+        new = chunks - self.seen
+        self.seen |= new
+        of = [c for c in new if c.isalpha() and len(c) < 32]
+        words = of[:]
+        for chunk in new.difference(of):
+            word = chunk[:-1]
+            if not word.isalpha():
+                word = chunk.strip(",.;:!?()[]{}\"'*")
+            if word.isalpha() and len(word) < 32 and self._quiet(chunk.replace(word, "\0", 1)):
+                words.append(word)
+                of.append(chunk)
+            elif self._told(chunk):
+                self.lively.add(chunk)
+        if words:
+            every = "\0\n".join(words) + "\0"
+            hit = self._begins(every.lower(), _LOWS, len(words)) | self._begins(every, _TITLES, len(words))
+            self.lively.update(of[i] for i in np.flatnonzero(hit).tolist())
+
+    def _begins(self, words: str, mark: int, n: int):
+        slots = np.fromiter(map(zlib.crc32, words.encode().split(b"\n"), repeat(mark)), np.int64, n) % SLOTS
+        return self.bits[slots >> 3] >> (slots & 7) & 1
+
+    def _quiet(self, around: str) -> bool:
+        """Whether marks around a word (\\0) neither make another token of it nor matter by themselves."""
+        quiet = self.around.get(around)
+        if quiet is None:
+            quiet = _AROUND.fullmatch(around) is not None and not self._told(around.partition("\0")[2], 0)
+            if len(self.around) < MARKS:
+                self.around[around] = quiet
+        return quiet
+
+    def _told(self, chunk: str, start: int | None = None) -> bool:
+        """By a chunk's own tokens: marks at its ends go on over white space, so they count only at a text's ends (``_windows``) or if a name opens with them."""
+        found = self.known.pattern.findall(chunk[_LEAD.match(chunk).end() if start is None else start :])
+        if found and _LEAD.fullmatch(found[-1]):
+            found.pop()
+        if any(map(self.known.__getitem__, found)):
+            return True
+        at = len(chunk)
+        while self.opens and at and _LEAD.fullmatch(chunk[at - 1]):
+            at -= 1
+        return any(c in self.opens for c in chunk[at : at + 1] + _normal(chunk[at:]))
+
+
+def _windows(text: str, chunks: list[str], lively: set[str], known: _Marks, longest: int):
+    """(offset, first and last token that count, starts, tokens, marks, shapes) of the parts of a text around lively chunks, with the tokens that follow as far as a name may go."""
+    at = [*compress(range(len(chunks)), map(lively.__contains__, chunks))]
+    if _LEAD.match(chunks[0]).end() and at[:1] != [0]:
+        at.insert(0, 0)
+    if _LEAD.match(chunks[-1][-1:]).end() and at[-1:] != [len(chunks) - 1]:
+        at.append(len(chunks) - 1)
+    if not at:
+        return
+    starts = [0, *accumulate(map((1).__add__, map(len, chunks)))]
+    first = 0
+    while first < len(at):
+        more = longest // 2 + 1
+        while True:
+            last = first
+            while last + 1 < len(at) and at[last + 1] - at[last] <= more:
+                last += 1
+            low, end = max(0, starts[at[first]] - 1), starts[at[last] + 1] - 1
+            stop = min(at[last] + 1 + more, len(chunks))
+            got = tokens(text[low : starts[stop] - 1], known)
+            upto = bisect_left(got[0], end - low, 0, len(got[1]))
+            if stop == len(chunks) or len(got[1]) - upto > longest:
+                break
+            more *= 2
+        yield (low, int(low > 0), upto, *got)
+        first = last + 1
+
+
+def _scan(batches, begun: bytes, whole: bytes, opens: str, longest: int, vocabulary, ids):
     """Shapes, and the runs of tokens that may be names (kind null; name as in ``names_of``), of each text."""
-    pattern = re.compile("|".join(f"(?:{p})" for p in ids)) if ids else None
-    vocabulary, known, lowered = frozenset(vocabulary), {}, {}
-    titles, lows = zlib.crc32(_EXACT), zlib.crc32(_LOWERED)
-
-    def low(token: str) -> bytes:
-        out = lowered.get(token)
-        if out is None:
-            out = _normal(token).encode() + b"\0"
-            if len(lowered) < 100_000:
-                lowered[token] = out
-        return out
-
-    def first(token: str) -> tuple | None:
-        """The hashes of a token that begins a name: lower-cased, as spelled."""
-        a, b = zlib.crc32(low(token), lows), zlib.crc32(token.encode() + b"\0", titles)
-        a, b = a if _set(begun, a) else None, b if _set(begun, b) else None
-        return None if a is None and b is None else (a, b)
+    known = _Marks(vocabulary, ids, begun)
+    quick = None if ids or " " in opens else _Lively(known, opens)
+
+    def parts(texts: list[str]):
+        """The windows of each text; all of it where a token may hold any white space."""
+        if quick is None:
+            for text in texts:
+                got = tokens(text, known)
+                yield [(0, 0, len(got[1]), *got)]
+            return
+        cut = [_blanked(text).split(" ") for text in texts]
+        quick.learn(set().union(*cut))
+        for text, chunks in zip(texts, cut):
+            yield _windows(text, chunks, quick.lively, known, longest)
 
     def runs(found: list[str], i: int, crc: int, form):
         """Ends of the runs of tokens from i on that may be names."""
-        last = min(len(found), i + NAME_TOKENS)
+        last = min(len(found), i + longest)
         while True:
             i += 1
             if _set(whole, crc):
@@ -251,34 +377,36 @@ def _scan(batches, begun: bytes, whole: bytes, vocabulary, ids):
             if not _set(begun, crc):
                 return
 
-    for batch in batches:
-        out = []
-        for k, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("k", "doc_id", "text"))):
-            starts, found, shapes = tokens(text, vocabulary, pattern)
+    def spans(k, doc_id, text, windows):
+        for low, begin, upto, starts, found, marks, shapes in windows:
             for i, (kind, a, b, ext, rank) in shapes.items():
-                out.append((k, doc_id, starts[i] + a, starts[i] + b, kind, found[i][a:b], ext, rank, None))
-            for i, token in enumerate(found):
-                hit = known.get(token, known)
-                if hit is known:
-                    hit = first(token)
-                    if len(known) < 100_000:
-                        known[token] = hit
-                if hit is None:
-                    continue
-                at = starts[i]
-                if hit[0] is not None:
-                    for j in runs(found, i, hit[0], low):
+                if begin <= i < upto:
+                    yield k, doc_id, low + starts[i] + a, low + starts[i] + b, kind, found[i][a:b], ext, rank, None
+            for i in compress(range(begin, upto), marks[begin:upto]):
+                (lowered, spelled, _), at = marks[i], low + starts[i]
+                if lowered is not None:
+                    for j in runs(found, i, lowered, _low):
                         core = "".join(found[i:j])
-                        out.append((k, doc_id, at, at + len(core), None, core, "", 1, "\0".join(["0", *(low(t)[:-1].decode() for t in found[i:j])])))
-                if hit[1] is not None:
+                        yield k, doc_id, at, at + len(core), None, core, "", 1, "\0".join(["0", *map(_normal, found[i:j])])
+                if spelled is not None:
                     back = text[max(0, at - 200) : at].rstrip(" \t")
                     if back and back[-1] not in ".!?:;\n*->#([\"'":
-                        for j in runs(found, i, hit[1], lambda t: t.encode() + b"\0"):
+                        for j in runs(found, i, spelled, lambda t: t.encode() + b"\0"):
                             core = "".join(found[i:j])
-                            out.append((k, doc_id, at, at + len(core), None, core, "", 1, "\0".join(["1", *found[i:j]])))
-            if len(out) > 20_000:
-                yield from _spans(out)
-                out = []
+                            yield k, doc_id, at, at + len(core), None, core, "", 1, "\0".join(["1", *found[i:j]])
+
+    for batch in batches:
+        out, ends = [], [0, *accumulate(pc.utf8_length(batch.column("text")).to_pylist())]
+        at = 0
+        while at < batch.num_rows:
+            n = max(1, bisect_right(ends, ends[at] + _AT_ONCE) - 1 - at)
+            rows = [batch.column(c).slice(at, n).to_pylist() for c in ("k", "doc_id", "text")]
+            at += n
+            for k, doc_id, text, windows in zip(*rows, parts(rows[2])):
+                out.extend(spans(k, doc_id, text, windows))
+                if len(out) > 20_000:
+                    yield from _spans(out)
+                    out = []
         yield from _spans(out)
 
 
@@ -319,7 +447,7 @@ def learned(docs: DataFrame) -> DataFrame:
     branches = F.concat(every(merged, r"(?i)\bmerge (?:remote-tracking )?branch(?:es)? ['\"]([^'\"\n]{1,255})['\"]"), every(merged, rf"(?i)\bmerge pull request #[0-9]{{1,20}} from ([^{_SPACE}]{{1,255}})"))
     branches = F.filter(F.transform(branches, lambda b: F.rtrim(b, F.lit(_END))), lambda b: (b != "") & ~F.lower(F.regexp_replace(b, "^(?:origin|upstream)/", "")).isin(PUBLIC_BRANCHES))
     of = lambda kind, names: F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(kind).alias("kind")))
-    found = docs.where(text.isNotNull()).select(F.explode(F.concat(of("PERSON", local), of("PERSON", trailers), of("BRANCH", branches))).alias("f"))
+    found = docs.where(F.contains(text, F.lit("@")) | (F.contains(text, F.lit("<")) & F.contains(text, F.lit(":"))) | merged).select(F.explode(F.concat(of("PERSON", local), of("PERSON", trailers), of("BRANCH", branches))).alias("f"))
     return found.select("f.name", "f.kind").where("name <> ''").distinct()
 
 
@@ -336,8 +464,9 @@ def names_of(docs: DataFrame, people: DataFrame | None = None, others: DataFrame
     words = tuple(vocabulary)
 
     def cut_names(batches):
+        known = _Marks(words)
         for batch in batches:
-            found = [tokens(name, frozenset(words))[1] for name in batch.column("spelled").to_pylist()]
+            found = [tokens(name, known)[1] for name in batch.column("spelled").to_pylist()]
             found = [p if titled else [_normal(t) for t in p] for p, titled in zip(found, batch.column("titled").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("spelled", "titled", "kind")] + [pa.array(found, pa.list_(pa.string()))], ["spelled", "titled", "kind", "pieces"])
 
@@ -361,11 +490,13 @@ def _bitmap(keys: Column, names: DataFrame) -> bytes:
     return bytes(out)
 
 
-def _bitmaps(names: DataFrame) -> tuple[bytes, bytes]:
-    """Of the beginnings of names, token by token, and of whole names; a token's hash goes on from the one before, after a mark for titled ones."""
+def _bitmaps(names: DataFrame) -> tuple[bytes, bytes, str, int]:
+    """Of the beginnings of names, token by token, and of whole names; a token's hash goes on from the one before, after a mark for titled ones. And the first characters of names whose first token goes on over white space, and the most tokens of a name."""
     mark, ends = F.when(F.col("titled"), _EXACT.decode()).otherwise(_LOWERED.decode()), F.sequence(F.lit(1), F.size("pieces"))
     upto = lambda n: F.concat(mark, F.array_join(F.slice("pieces", 1, n), "\0"), F.lit("\0"))
-    return _bitmap(F.transform(ends, upto), names), _bitmap(F.array(upto(F.size("pieces"))), names)
+    first = F.col("pieces")[0]
+    told = names.select(F.collect_set(F.when(first.rlike(r"(?U)\s"), F.left(first, F.lit(1)))), F.coalesce(F.max(F.size("pieces")), F.lit(0))).first()
+    return _bitmap(F.transform(ends, upto), names), _bitmap(F.array(upto(F.size("pieces"))), names), "".join(" " if c.isspace() else c for c in told[0]), told[1]
 
 
 def _leftmost(batches):
@@ -397,10 +528,10 @@ def occurrences(docs: DataFrame, names: DataFrame, vocabulary: list[str] = VOCAB
     """(k, doc_id, start, end, kind, core, ext): what is replaced in each distinct (doc_id, text), in code points."""
     text = F.col("text").cast("string")
     rows = docs.where(text.isNotNull()).select(_row_key(F.col("doc_id"), text).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    begun, whole = _bitmaps(names)
+    begun, whole, opens, longest = _bitmaps(names)
     session = docs.sparkSession
     tasks = 4 * max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))  # mostly computation, and texts differ in length
-    scanned = stored(rows.repartition(tasks, "k").mapInArrow(lambda batches: _scan(batches, begun, whole, vocabulary, list(ids)), _SPAN))
+    scanned = stored(rows.repartition(tasks, "k").mapInArrow(lambda batches: _scan(batches, begun, whole, opens, longest, vocabulary, list(ids)), _SPAN))
     named = scanned.where("kind is null").drop("kind").join(names.select("name", "kind"), "name")
     spans = ["k", "doc_id", "start", "end", "kind", "core", "ext", "rank"]
     # equal spans overlap, so of rows that agree in id and text one is left
@@ -411,13 +542,12 @@ def occurrences(docs: DataFrame, names: DataFrame, vocabulary: list[str] = VOCAB
 def _rewritten(batches):
     """Texts with their parts ``r`` (start, end, new) replaced."""
     for batch in batches:
-        out = []
-        for text, parts in zip(batch.column("text").to_pylist(), batch.column("r").to_pylist()):
-            if text is not None and parts:
-                ends = [0, *(p["end"] for p in parts)]
-                text = "".join(x for p, e in zip(parts, ends) for x in (text[e : p["start"]], p["new"])) + text[ends[-1] :]
-            out.append(text)
-        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), pa.array(out, pa.string())], ["k", "doc_id", "text"])
+        changed = pc.is_valid(batch.column("r"))
+        some, out = batch.filter(changed), []
+        for text, parts in zip(some.column("text").to_pylist(), some.column("r").to_pylist()):
+            ends = [0, *(p["end"] for p in parts)]
+            out.append("".join(x for p, e in zip(parts, ends) for x in (text[e : p["start"]], p["new"])) + text[ends[-1] :])
+        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), pc.replace_with_mask(batch.column("text"), changed, pa.array(out, batch.column("text").type))], ["k", "doc_id", "text"])
 
 
 def _replace(texts: DataFrame, parts: DataFrame) -> DataFrame:
