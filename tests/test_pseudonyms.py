@@ -115,6 +115,46 @@ def test_only_lively_parts_are_cut(spark, monkeypatch):
     assert sum(cut) < 500
 
 
+def test_dense_names(spark, monkeypatch):
+    """Names that are every second word: nothing is cut into tokens for them, what is found goes on as one row a text and one a spelling, and it is what cutting every text finds."""
+    rng = random.Random(11)
+    terms = ["est", "jan", "jan.7", "jan doe", "jan. est", "ab (c", "été", "x-y", "for", "ΟΔΟΣ", "doe's", "naïve ab"]
+    others = spark.createDataFrame([(t, "TERM") for t in terms], "name string, kind string")
+    people = spark.createDataFrame([("Frank Grace Jan",)], "name string")
+    names = ps.names_of(spark.createDataFrame([(1, "x", "")], DOCS), people, others).persist()
+    maps = ps._bitmaps(names)
+    bits = ["est", "Est,", "(JAN)", "jan.", "jan", "doe", "Doe:", "7", "jan.7", "ab", "(c", "ab (c", "ÉTÉ", "été.", "x-y", "For", "οδος", "ΟΔΟΣ", "doe's", "Frank", "Grace,", "grace", "frank", "plain", "words", ":", "a@b.cd", "PROJ-1", "Naïve", "\xa0", "😀est", "w" * 40, ".", "..", "e.g."]
+    texts = ["".join(rng.choice(bits) + rng.choice([" ", " ", " ", "", "\n", "\t", "  "]) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    known = {r.name: r.kind for r in names.collect()}
+
+    def spans(text):
+        """By all tokens and the names themselves."""
+        whole = [r for b in ps._scan([pa.RecordBatch.from_pydict({"k": [b"x"], "doc_id": [1], "text": [text]})], *maps[:2], " ", *maps[3:], ps.VOCABULARY, []) for r in b.to_pylist()]
+        reach, rows = -1, [(r["start"], r["rank"], -r["end"], r["kind"] or known[r["name"]], r["core"], r["ext"]) for r in whole if r["kind"] or r["name"] in known]
+        for start, _, end, kind, core, ext in sorted(rows):
+            if start >= reach:
+                reach = -end
+                yield start, -end, kind, core, ext
+
+    uses, want = {}, []
+    for text in texts:
+        new, at = "", 0
+        for start, end, kind, core, ext in spans(text):
+            new, at = new + text[at:start] + f"{kind}_{ext}", end
+            uses[kind] = uses.get(kind, 0) + 1
+        want.append(new + text[at:])
+    out = run(spark, [*enumerate(texts), *enumerate(texts)], people=people, others=others)
+    got = {r.doc_id: re.sub(f"({'|'.join(ps.KINDS)})_[0-9]+", r"\1_", r.text) for r in out.texts.collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    assert {r.kind: r.n for r in out.keys.groupBy("kind").agg({"n_uses": "sum"}).withColumnRenamed("sum(n_uses)", "n").collect()} == uses and uses["TERM"] > 2000 and uses["PERSON"] > 50
+
+    cut, tokens = [], ps.tokens
+    monkeypatch.setattr(ps, "tokens", lambda text, *how: cut.append(len(text)) or tokens(text, *how))
+    text = "Plain est, and (for) some jan. The est for more " * 1000
+    assert sum(b.num_rows for b in ps._scan([pa.RecordBatch.from_pydict({"k": [b"x"], "doc_id": [1], "text": [text]})], *ps._bitmaps(names.where("name not like '%jan%doe' and name not like '%jan%est'")), ps.VOCABULARY, [])) >= 5000
+    assert sum(cut) == 0
+
+
 def test_numbers_along_groups(spark):
     rng = random.Random(5)
     rows = [(rng.choice(["a", "b", None]), k, rng.random()) for k in range(2000)]
