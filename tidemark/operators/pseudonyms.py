@@ -262,7 +262,7 @@ _TITLED = frozenset(w.capitalize() for w in NAME_STOPS)
 _BLANK, _LETTER, _MARK, _DOT, _COLON, _ELSE = range(6)
 _BLANKS, _TOLD_AT_ONCE = " \t\n\x0b\f\r", 1 << 17
 #: A word's hash is the sum of its characters times powers of a factor, so sums along a text give those of all its words.
-_FACTOR, _MIX, _BITS64 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
+_FACTOR, _MIX = 0x9E3779B1, 0x85EBCA6B
 
 
 @functools.cache
@@ -272,14 +272,14 @@ def _characters():
     lows = [c.lower() if c != "Σ" else "" for c in every]
     kinds = {c: _BLANK for c in _BLANKS} | {".": _DOT, ":": _COLON} | dict.fromkeys("@/~\\%+-_", _ELSE)
     told = [kinds[c] if c in kinds else _LETTER if c.isalpha() and len(low) == 1 else _ELSE if c.isalnum() else _MARK for c, low in zip(every, lows)]
-    return np.array([*told, _ELSE], np.uint8), np.array([*(ord(low) if len(low) == 1 else 0 for low in lows), 0], np.uint64)
+    return np.array([*told, _ELSE], np.uint8), np.array([*(ord(low) if len(low) == 1 else 0 for low in lows), 0], np.uint32)
 
 
 @functools.lru_cache(4)
 def _powers(base: int, n: int):
-    out = np.full(n, base, np.uint64)
+    out = np.full(n, base, np.uint32)
     out[0] = 1
-    return np.cumprod(out)
+    return np.cumprod(out, dtype=np.uint32)
 
 
 def _word_slot(word: str) -> int | None:
@@ -287,7 +287,7 @@ def _word_slot(word: str) -> int | None:
     kinds = _characters()[0]
     if not word or len(word) >= 32 or any(kinds[min(ord(c), 1 << 16)] != _LETTER for c in word):
         return None
-    return ((sum(ord(c) * pow(_FACTOR, i, 1 << 64) for i, c in enumerate(word)) * _MIX) & _BITS64) >> (65 - SLOTS.bit_length())
+    return (sum(ord(c) * pow(_FACTOR, i, 1 << 32) for i, c in enumerate(word)) * _MIX) % (1 << 32) >> (33 - SLOTS.bit_length())
 
 
 def _blanked(text: str) -> str:
@@ -316,17 +316,23 @@ class _Chunks:
         kinds, self.lows = _characters()
         self.kinds = kinds.copy()
         self.kinds[[min(ord(c), 1 << 16) for c in marks + opens + ("’" if "'" in marks + opens else "")]] = _ELSE
+        self.latin = bytes(low if low < 256 else 0 for low in self.lows[:256].tolist()), self.kinds[:256].tobytes()
 
     def of_interest(self, text: str):
         """Starts and ends of the chunks of a text that ends in white space, without those that hold nothing by their characters and word."""
-        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        kinds = self.kinds.take(codes, mode="clip")
+        try:
+            codes = text.encode("latin-1")
+            lows, kinds = (np.frombuffer(codes.translate(table), np.uint8) for table in self.latin)
+        except UnicodeEncodeError:
+            codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            lows, kinds = (table.take(codes, mode="clip") for table in (self.lows, self.kinds))
+        codes = np.frombuffer(codes, lows.dtype)
         blanks = np.flatnonzero(kinds == _BLANK)
         cuts = np.unique(blanks[np.searchsorted(blanks, np.arange(_TOLD_AT_ONCE, len(codes), _TOLD_AT_ONCE))] + 1).tolist()
-        found = [(a, *self._of_interest(codes[a:b], kinds[a:b])) for a, b in zip([0, *cuts], [*cuts, len(codes)]) if a < b]
+        found = [(a, *self._of_interest(codes[a:b], lows[a:b], kinds[a:b])) for a, b in zip([0, *cuts], [*cuts, len(codes)]) if a < b]
         return np.concatenate([a + starts for a, starts, _ in found]), np.concatenate([a + ends for a, _, ends in found])
 
-    def _of_interest(self, codes, kinds):
+    def _of_interest(self, codes, lows, kinds):
         ends = np.flatnonzero(kinds == _BLANK)
         starts = np.concatenate([[0], ends[:-1] + 1])
         letter, other = kinds == _LETTER, kinds == _ELSE
@@ -342,12 +348,15 @@ class _Chunks:
         plain = np.flatnonzero(count == 1)
         a, b = np.flatnonzero(begins)[nth[plain]], np.flatnonzero(closes)[nth[plain]] + 1
         size = 1 << max(_TOLD_AT_ONCE.bit_length(), len(codes).bit_length())
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.lows.take(codes, mode="clip") * _powers(_FACTOR, size)[: len(codes)])])
-        slots = ((sums[b] - sums[a]) * _powers(pow(_FACTOR, -1, 1 << 64), size)[a] * np.uint64(_MIX)) >> np.uint64(65 - SLOTS.bit_length())
-        hit = lambda bits: (bits[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-        upper = codes[a] != self.lows.take(codes[a], mode="clip")
+        sums = np.zeros(len(codes) + 1, np.uint32)
+        np.cumsum(lows * _powers(_FACTOR, size)[: len(codes)], dtype=np.uint32, out=sums[1:])
+        slots = ((sums[b] - sums[a]) * _powers(pow(_FACTOR, -1, 1 << 32), size)[a] * np.uint32(_MIX)) >> np.uint32(33 - SLOTS.bit_length())
+        bit = lambda bits, of: bits[of >> np.uint32(3)] >> (of & np.uint32(7)).astype(np.uint8) & 1 != 0
+        told = bit(self.words, slots) | (b - a >= 32)
+        upper = np.flatnonzero(codes[a] != lows[a])
+        told[upper] |= bit(self.titles, slots[upper])
         keep = count > 1
-        keep[plain] = hit(self.words) | (upper & hit(self.titles)) | (b - a >= 32)
+        keep[plain] = told
         return starts[keep], ends[keep]
 
     def learn(self, chunks: set[str]) -> dict[str, list | object | None]:
@@ -588,9 +597,15 @@ def person_names(people: DataFrame, vocabulary: list[str] = VOCABULARY) -> DataF
     return whole.union(parts).distinct().select("name", F.lit("PERSON").alias("kind"), "titled")
 
 
+def _teaching(batches):
+    """The texts that may teach a name: a quick look before the patterns."""
+    for batch in batches:
+        yield batch.filter(pc.match_substring_regex(batch.column("text"), "[@<]|[mM][eE][rR][gG][eE] "))
+
+
 def learned(docs: DataFrame) -> DataFrame:
     """(name, kind) that texts teach: local parts of addresses, names before an address in trailers (``Reviewed-by: Jo Doe <jo@x.y>``), and branches of merge subjects."""
-    text = F.col("text").cast("string")
+    docs, text = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_teaching, "text string"), F.col("text")
     every = lambda may, pattern: F.when(may, F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
     near = F.filter(F.split(text, " "), lambda c: F.contains(c, F.lit("@")))  # an address is between spaces; a search from each character of a text takes long
     local = F.transform(F.flatten(F.transform(near, lambda c: F.regexp_extract_all(c, F.lit(f"({EMAIL})"), F.lit(1)))), lambda e: F.substring_index(e, "@", 1))
